@@ -23,7 +23,7 @@ from tripleloom.llm.common import batch, chunks, id_and_text
 from tripleloom.llm.features import byte_buckets
 from tripleloom.llm.quality_rules import repeated_words
 
-BITS, MOST_SAMPLE, ROUNDS, STEPS = 13, 4096, 50, 300
+BITS, MOST_SAMPLE, ROUNDS, STEPS, THRESHOLD = 13, 4096, 50, 300, 0.25
 UPPER = re.compile(rb"[A-Z]")
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 MARKS = b"#*$%&|<>!"
@@ -44,7 +44,7 @@ def votes(raw: bytes) -> tuple[int, ...]:
     again = 1 - len(set(lines)) / max(1, len(lines))
     choose = lambda bad, good: 0 if bad else 1 if good else -1
     return (
-        choose(n < 20, n >= 50),
+        choose(n < 3, n >= 50),
         choose(marks > 0.03, marks < 0.01),
         choose(upper > 0.3 * max(1, letters), upper < 0.1 * letters),
         choose(ended < 0.3, ended >= 0.6),
@@ -52,10 +52,11 @@ def votes(raw: bytes) -> tuple[int, ...]:
         choose(loud > 0.1, loud < 0.01),
         choose(again > 0.3, again == 0 and len(lines) > 1),
         choose(2 * repeated > max(1, n), n >= 50 and 5 * repeated < n),
+        choose(words.count(b"|") > 0.1 * max(1, n), False),
     )
 
 
-LABELLERS = 8
+LABELLERS = 9
 
 
 def code(v: tuple[int, ...]) -> int:
@@ -65,9 +66,12 @@ def code(v: tuple[int, ...]) -> int:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each of the 3^LABELLERS patterns; each labeller's accuracies (good, bad); the share of good."""
     every = (np.arange(3**LABELLERS)[:, None] // 3 ** np.arange(LABELLERS) % 3) - 1
-    prior, accuracy = 0.7, np.full((2, LABELLERS), 0.8)
+    # A labeller looks for one fault: it is rarely wrong on good documents and silent or wrong on most bad ones.
+    first = np.array([[0.995], [0.3]]).repeat(LABELLERS, 1)
+    prior, accuracy = 0.85, first.copy()
     weight = np.zeros(3**LABELLERS)
     weight[patterns] = counts
+    trust = 0.01 * weight.sum() + 5
     posterior = np.full(3**LABELLERS, prior)
     for _ in range(rounds):
         right = np.log(accuracy), np.log1p(-accuracy)
@@ -76,8 +80,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         posterior = 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
         for k, (p, hit) in enumerate(((posterior, 1), (1 - posterior, 0))):
             mass = weight * p
-            accuracy[k] = ((mass @ (every == hit)) + 4) / ((mass @ (every >= 0)) + 5)  # a prior of 4 right of 5
-        accuracy = np.clip(accuracy, 0.5, 0.999)  # a labeller is no worse than chance
+            accuracy[k] = ((mass @ (every == hit)) + trust * first[k]) / ((mass @ (every >= 0)) + trust)
+        accuracy[1] = np.maximum(accuracy[1], 2 * (1 - accuracy[0]))  # a bad vote is likelier on a bad document
+        accuracy = np.clip(accuracy, 0.01, 0.9999)
         prior = float(np.clip((weight @ posterior + 1) / (weight.sum() + 2), 0.01, 0.99))
     return posterior, accuracy, prior
 
@@ -119,7 +124,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_votes", pa.int64()), ("posterior
 
 
 def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
-    """doc_id, n_votes, posterior (of the labellers), score (of the scorer, 0 to 1), kept (score at least one half)."""
+    """doc_id, n_votes, posterior (of the labellers), score (of the scorer, 0 to 1), kept (score at least THRESHOLD)."""
     spark, rows = docs.sparkSession, id_and_text(docs)
 
     def patterns(batches):
@@ -150,6 +155,6 @@ def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
             for t, y in zip(texts, v, strict=True):
                 at, x = features(t, y)
                 score.append(1 / (1 + float(np.exp(-np.clip(x @ w[at] + bias, -50, 50)))))
-            yield batch(RESULT, b.column("doc_id"), [sum(x >= 0 for x in y) for y in v], [float(posterior[code(x)]) for x in v], score, [bool(t.strip()) and s >= 0.5 for t, s in zip(texts, score, strict=True)])
+            yield batch(RESULT, b.column("doc_id"), [sum(x >= 0 for x in y) for y in v], [float(posterior[code(x)]) for x in v], score, [bool(t.strip()) and s >= THRESHOLD for t, s in zip(texts, score, strict=True)])
 
     return rows.mapInArrow(run, "doc_id long, n_votes long, posterior double, score double, kept boolean")
