@@ -10,6 +10,7 @@ import os
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def chunks(batches, column: str, most_bytes: int = 16 << 20):
     """Arrow batches cut so that one holds at most about most_bytes of a column (or one row)."""
     for b in batches:
-        at, size, sizes = 0, 0, [len(x.as_buffer()) if x.is_valid else 0 for x in b.column(column)] if b.nbytes > most_bytes else []
+        at, size, sizes = 0, 0, [n or 0 for n in pc.binary_length(b.column(column)).to_pylist()] if b.nbytes > most_bytes else []
         for i, n in enumerate(sizes):
             if size + n > most_bytes and i > at:
                 yield b.slice(at, i - at)

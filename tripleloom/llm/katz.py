@@ -8,8 +8,8 @@ that would fill over a quarter of a bigram split (there are at most 4 times as m
 splits, which bounds what is broadcast) is split by pair, and its sums are added up afterwards.
 
 Order 2: counts are discounted by Good-Turing up to 5 (Katz's formula, so that the unigrams that
-occur once pay for the unknown word); where that is undefined - too few counts of counts, or a
-context all of whose counts are larger - by an absolute discount N1 / (N1 + 2 N2). The backoff
+occur once pay for the unknown word), with log-linear counts of counts where the raw ones give no
+discounts; where that is undefined too, and in a context all of whose counts are larger, by an absolute discount N1 / (N1 + 2 N2). The backoff
 weight of a context is what its discounts left over what its unseen words have among unigrams, so
 that probabilities over vocabulary and unknown word add up to one exactly. A token's probability is
 the discounted bigram if that was seen, else weight times the discounted unigram, else weight times
@@ -141,20 +141,34 @@ def runs(x: np.ndarray):
         yield from zip(x[at].tolist(), at.tolist(), [*at[1:].tolist(), len(x)], strict=True)
 
 
+def turing(n: list[float]) -> list[float] | None:
+    """Katz's factors for counts 1 to K, if all are in (0, 1] and the first is a discount."""
+    if not all(n[1:]) or (rest := (K + 1) * n[K + 1] / n[1]) == 1:
+        return None
+    d = [((r + 1) * n[r + 1] / n[r] / r - rest) / (1 - rest) for r in range(1, K + 1)]
+    return d if all(0 < x <= 1 for x in d) and d[0] < 1 else None
+
+
+def smoothed(n: list[float]) -> list[float] | None:
+    """Counts of counts on the line through their logarithms."""
+    at = np.array([r for r in range(1, K + 2) if n[r]])
+    if len(at) < 2:
+        return None
+    slope, level = np.polyfit(np.log(at), np.log([n[r] for r in at]), 1)
+    return [0.0, *np.exp(level + slope * np.log(np.arange(1, K + 2))).tolist()]
+
+
 class Discount:
-    """From the number of n-grams by count (1 to K + 1): discount factors, or an absolute discount."""
+    """From the number of n-grams by count (1 to K + 1): Good-Turing factors, from smoothed numbers if the raw ones give none; else an absolute discount."""
 
     def __init__(self, of: np.ndarray):
         n = [0.0, *map(float, of)]
         self.absolute = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.1
         self.factor = np.ones(K + 1)
-        self.good = all(n[1:])
-        if self.good:
-            rest = (K + 1) * n[K + 1] / n[1]
-            d = [((r + 1) * n[r + 1] / n[r] / r - rest) / (1 - rest) if rest != 1 else 0 for r in range(1, K + 1)]
-            self.good = all(0 < x <= 1 for x in d) and d[0] < 1
-            if self.good:
-                self.factor[1:] = d
+        d = turing(n) or (turing(line) if (line := smoothed(n)) else None)
+        self.good = d is not None
+        if d:
+            self.factor[1:] = d
 
     def discounted(self, count: np.ndarray, absolute: np.ndarray | bool) -> np.ndarray:
         c = count.astype(np.float64)

@@ -86,3 +86,15 @@ def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")
+
+
+def keep(docs: DataFrame, least: float = 0.5, modulus: int = 5) -> DataFrame:
+    """The rows, with all their columns, whose language identify() finds with a score of at least `least`."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out(modulus))))
+
+    def run(batches):
+        for b in chunks(batches, "text"):
+            found = [model.value.predict(t) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -108,3 +108,21 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
             yield batch(RESULT, b.column("doc_id"), *([f[k] for f in found] for k in range(5)), failed, [not f and x >= threshold for f, x in zip(failed, llr, strict=True)], llr)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that assess() keeps."""
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels))
+
+    def passes(text: str | None) -> bool:
+        raw = (text or "").encode()
+        words = raw.split()
+        if len(words) < MIN_WORDS or 100 * repeated_words(words) > MOST_REPEATED_PERCENT * len(words):
+            return False
+        return float(ratio.value[byte_buckets(raw, BITS)].mean()) >= threshold
+
+    def run(batches):
+        for b in chunks(batches, "text"):
+            yield b.filter(pa.array([passes(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

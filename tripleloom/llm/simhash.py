@@ -244,7 +244,12 @@ def classes(docs: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_
 
 
 def firsts(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that are the first of their class; of rows with one doc_id, one stays."""
-    keep = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast(T.LongType()) == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows, with all their columns, that are the first of their class; of rows with one doc_id, one stays.
+
+    A row without a doc_id cannot be told from another and stays.
+    """
+    found = classes(docs)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    twice = not keep.groupBy("_first").count().where("count > 1").isEmpty()
+    kept = docs.join(keep.distinct() if twice else keep, docs["doc_id"].cast(T.LongType()) == F.col("_first"), "left_semi")
+    return (kept.dropDuplicates(["doc_id"]) if twice else kept).unionByName(docs.where("doc_id is null"))
