@@ -94,20 +94,20 @@ class Block:
     def __init__(self, row: dict):
         flags = unpacked(row["b"])
         self.docs, self.train, self.missing = unpacked(row["a"]), flags % 2 > 0, flags > 1
-        self.sizes, self.words, self.stream = unpacked(row["c"]), expanded(row["d"]).split(b"\n"), unpacked(row["e"])
+        self.sizes, self.stream = unpacked(row["c"]), unpacked(row["e"])
+        self.words = expanded(row["d"]).split(b"\n") if row["d"] is not None else None
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.trains = np.repeat(self.train, self.sizes)
 
     def learn(self, answers: list[dict]) -> None:
         """Ids and training counts of the words."""
-        self.id, self.count = np.full(len(self.words), UNKNOWN), np.zeros(len(self.words), np.int64)
-        for a in answers:
-            at = unpacked(a["a"])
-            self.id[at], self.count[at] = unpacked(a["b"]), unpacked(a["c"])
+        at, ids, count = (np.concatenate([unpacked(a[f]) for a in answers]) for f in "abc")
+        self.id, self.count = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        self.id[at], self.count[at] = ids, count
 
     def pairs(self, splits: int, frequent: np.ndarray) -> None:
         """Distinct pairs of known context and word, ordered by split, context, word."""
-        n = len(self.words)
+        n = len(self.id)
         before = np.empty(len(self.stream), np.int64)
         before[1:] = self.stream[:-1]
         before[self.begins] = n  # the start
@@ -122,6 +122,24 @@ class Block:
         self.asked, self.split = self.asked[order], split[order]
 
 
+def steps(u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs in ascending order, packed as differences: of u, and of w where u stays."""
+    if not len(u):
+        return packed(u), packed(w)
+    stays = np.concatenate([[False], u[1:] == u[:-1]])
+    return packed(np.diff(u, prepend=0)), packed(w - np.where(stays, np.concatenate([[0], w[:-1]]), 0))
+
+
+def walked(du: bytes, dw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What steps() packed."""
+    du, dw = unpacked(du), unpacked(dw)
+    if not len(du):
+        return du, dw
+    begin = np.flatnonzero(np.concatenate([[True], du[1:] != 0]))
+    total = np.cumsum(dw)
+    return np.cumsum(du), total - np.repeat(total[begin] - dw[begin], np.diff(np.append(begin, len(dw))))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -267,7 +285,7 @@ def answer_unigrams(asked: DataFrame, splits: int) -> DataFrame:
 
 
 def gathered(blocks: DataFrame, *answers: DataFrame):
-    frame = blocks
+    frame = blocks.withColumn("d", F.lit(None).cast("binary"))  # the words' ids are in the answers
     for a in answers:
         frame = frame.unionByName(a)
     return frame.groupBy("block")
@@ -287,10 +305,9 @@ def answer_bigrams(asked: DataFrame, unigrams: Unigrams, frequent: np.ndarray) -
     def run(t: pa.Table) -> pa.Table:
         rows, out = t.to_pylist(), Rows()
         split = rows[0]["split"]
-        got = [[unpacked(r[f]) for f in FIELDS[:4]] for r in rows]
+        got = [(*walked(r["a"], r["b"]), unpacked(r["c"]), unpacked(r["d"])) for r in rows]
         size = [len(g[0]) for g in got]
         u, w, count_w, trained = (np.concatenate([g[k] for g in got]) for k in range(4))
-        u = np.concatenate([np.cumsum(g[0]) for g in got])
         us, iu = np.unique(u, return_inverse=True)
         ws, iw = np.unique(w, return_inverse=True)
         key, pair = np.unique((iu << 32) | iw, return_inverse=True)
@@ -310,8 +327,8 @@ def answer_bigrams(asked: DataFrame, unigrams: Unigrams, frequent: np.ndarray) -
             c = total[pair[mine]]
             need = np.unique(iu[mine][(c == 0) & ~often[iu[mine]]])
             out.add(r["block"], split, "counts", packed(2 * c + mixed_mode[iu[mine]]), packed(us[need]), packed(stats[need].ravel()), rest[need].astype("<f8").tobytes())
-        order = np.argsort(context, kind="stable")
-        out.add(-1, split, "bigrams", packed(np.diff(us[context[order]], prepend=0)), packed(ws[word[order]]), packed(count[order]), packed(np.concatenate([[len(count)], by_count(count)])))
+        # keys are in the order of context, then word
+        out.add(-1, split, "bigrams", *steps(us[context], ws[word]), packed(count), packed(np.concatenate([[len(count)], by_count(count)])))
         if often.any():
             out.add(-1, split, "frequent", packed(us[often]), packed(stats[often].ravel()), rest[often].astype("<f8").tobytes())
         return out.table()
@@ -360,7 +377,7 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
         out, block = Rows(), t["block"][0].as_py()
         for s, i, j in runs(k.split):
             at = k.asked[i:j]
-            out.add(block, s, "ask", packed(np.diff(k.u[at], prepend=0)), packed(k.w[at]), packed(k.count[k.word[at]]), packed(k.trained[at]))
+            out.add(block, s, "ask", *steps(k.u[at], k.w[at]), packed(k.count[k.word[at]]), packed(k.trained[at]))
         return out.table()
 
     second = answer_bigrams(gathered(blocks, of_words).applyInArrow(ask, DDL), unigrams, frequent)
