@@ -366,7 +366,7 @@ def hungarian_map(v):
 @query
 def ami(v):
     _, _, n = E._counts(_table(v).toPandas())
-    return v.spark.createDataFrame([(round(E.adjusted_mutual_information(n), 6),)], "ami double")
+    return v.spark.createDataFrame([(round(float(E.adjusted_mutual_information(n)), 6),)], "ami double")
 
 
 @query
