@@ -178,10 +178,10 @@ def test_quality_rules(spark, docs, empty):
 
 def test_quality_and_weak_labels_on_held_out_junk(spark):
     rng = random.Random(8)
-    good = [(i, text(rng, 120) + ".", 1) for i in range(150)]
-    bad = [(1000 + i, " ".join(w + "&&&" for w in text(rng, 120).split()), 0) for i in range(30)]
+    good = [(i, text(rng, 600) + ".", 1) for i in range(150)]
+    bad = [(1000 + i, " ".join(w + "&&&" for w in text(rng, 600).split()), 0) for i in range(30)]
     frame = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, q, 0) for i, _, q in good[:50]], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in good], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in quality_rules.assess(frame, labels).where("kept").collect()}
     assert kept == {i for i, _, _ in good}
     kept = {r.doc_id for r in weak_quality.classify(frame).where("kept").collect()}

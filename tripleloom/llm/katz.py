@@ -217,7 +217,7 @@ def weights(stats: np.ndarray, rest: np.ndarray, discount: Discount) -> tuple[np
     """Backoff weights and whether the absolute discount holds. stats: count, types, types by count 1 to K; rest: unigram mass of seen words."""
     absolute = ~((stats[:, 2:].sum(1) > 0) & discount.good)
     left = discount.mass(stats[:, 2:].astype(float), stats[:, 1], absolute) / np.maximum(stats[:, 0], 1)
-    return left / (1 - rest), absolute
+    return np.where(stats[:, 0] > 0, left / (1 - rest), 1.0), absolute  # a context never seen in training hands all on
 
 
 def blocks_of(docs: DataFrame, modulus: int, id_col: str, text_col: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules with a log-likelihood ratio of hashed n-grams (4).
 
 Two multinomials over the buckets of 4-byte windows: one of trusted documents, one of the whole raw
-corpus. A document's score is the mean over its windows of log(p_trusted / p_raw). It is kept if it
+corpus; the trusted one is drawn towards the raw one by PRIOR windows, so that few trusted documents
+decide little. A document's score is the mean over its windows of log(p_trusted / p_raw). It is kept if it
 passes the base rules and its score is at least the threshold, the same for every document.
 
 The raw counts cover every document. The trusted side is every document in a set of ids that is
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tripleloom.llm.common import batch, chunks, id_and_text
 from tripleloom.llm.features import byte_buckets
 
-BITS, ADD, MOST_TRUSTED, THRESHOLD = 16, 1.0, 20_000, -0.5
+BITS, ADD, PRIOR, MOST_TRUSTED, THRESHOLD = 16, 1.0, float(1 << 16), 20_000, -0.5
 # Fixed values of the base rules.
 MIN_WORDS, MOST_REPEATED_PERCENT, SYMBOLS, SPACES = 50, 50, b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 COUNTS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("trusted", pa.int64())])
@@ -89,9 +90,9 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     n[0, at], n[1, at] = sums["raw"].to_numpy(), sums["trusted"].to_numpy()
     if not n[1].any():
         return np.zeros(1 << BITS)
-    total = n.sum(1, keepdims=True)
-    p = (n + ADD) / (total + ADD * (1 << BITS))
-    return np.log(p[1] / p[0])
+    raw = (n[0] + ADD) / (n[0].sum() + ADD * (1 << BITS))
+    trusted = (n[1] + PRIOR * raw) / (n[1].sum() + PRIOR)
+    return np.log(trusted / raw)
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
