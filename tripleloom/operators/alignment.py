@@ -100,7 +100,7 @@ def similarities(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         pairs = a.crossJoin(F.broadcast(b))
     else:
         b = b.withColumn("_block", F.pmod(F.xxhash64(right_id), F.lit(BLOCKS)))
-        pairs = a.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).cast("long")).join(b, "_block").drop("_block")
+        pairs = a.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).join(b, "_block").drop("_block")
     return pairs.select(left_id, right_id, *(F.coalesce(dot(f"_a_{v}", f"_b_{v}"), F.lit(0.0)).alias(f"sim_{v}") for v in VIEWS))
 
 
