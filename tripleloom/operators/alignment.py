@@ -50,6 +50,8 @@ class HashEmbedder:
             for w in t.lower().split():
                 h = zlib.crc32(w.encode())
                 out[i, h % self.dim] += 1 if h >> 31 else -1
+            if not out[i].any():  # no words, or words that cancel out
+                out[i, zlib.crc32(t.encode()) % self.dim] = 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

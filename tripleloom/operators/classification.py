@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.expressions import NO_RELATION, fuzzy_match, meaningful, ratio, span_text, type_lower
+from tripleloom.functions.salvage import salvage
 
 
 def flatten_mentions(raw: DataFrame) -> DataFrame:
@@ -87,7 +89,29 @@ def classify(samples: DataFrame, make) -> DataFrame:
                 found = b[["subject", "subj_type", "object", "obj_type"]].assign(relation=FAILED)
             yield pd.DataFrame({"id": b["id"], "sentence": b["sentence"], "triple": found[["subject", "subj_type", "relation", "object", "obj_type"]].to_dict("records")})
 
-    return samples.select("id", "sentence", "subject", "object", "subj_type", "obj_type").mapInPandas(run, RECORD)
+    asked = ["prompt"] if "prompt" in samples.columns else []
+    return samples.select("id", "sentence", "subject", "object", "subj_type", "obj_type", *asked).mapInPandas(run, RECORD)
+
+
+class PromptClassifier:
+    """A Classifier that sends each sample's prompt (see with_prompts) to a model and reads the JSON it answers.
+
+    model.answer(prompts) gives a text for each prompt, or None; without a usable one a row has the
+    relation classification_failed.
+    """
+
+    def __init__(self, model):
+        self.model = model
+
+    def classify(self, samples: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for text, subject, subj_type, object_, obj_type in zip(self.model.answer(samples["prompt"].tolist()), samples["subject"], samples["subj_type"], samples["object"], samples["obj_type"], strict=True):
+            reply = json.loads(salvage(text) or "null")
+            if isinstance(reply, dict):
+                rows.append((reply.get("subject", subject), subj_type, reply.get("relation", "unknown"), reply.get("object", object_), obj_type))
+            else:
+                rows.append((subject, subj_type, FAILED, object_, obj_type))
+        return pd.DataFrame(rows, columns=["subject", "subj_type", "relation", "object", "obj_type"], index=samples.index)
 
 
 def ontology_block(entries: DataFrame) -> DataFrame:
@@ -96,8 +120,13 @@ def ontology_block(entries: DataFrame) -> DataFrame:
     return entries.agg(F.array_join(F.transform(bullets, lambda e: F.concat(F.lit("- "), e["relation"], F.lit(": from "), F.coalesce(e["domain_type"], F.lit("any")), F.lit(" to "), F.coalesce(e["range_type"], F.lit("any")))), "\n").alias("ontology"))
 
 
-def prompts(samples: DataFrame, entries: DataFrame) -> DataFrame:
-    """id, prompt. The ontology's text is made once and joined to every row."""
+def with_prompts(samples: DataFrame, entries: DataFrame) -> DataFrame:
+    """samples with prompt. The ontology's text is made once and joined to every row."""
     block = F.broadcast(ontology_block(entries))  # one row
     text = F.concat(F.lit("Sentence: "), "sentence", F.lit("\nSubject: "), "subject", F.lit(" ("), "subj_type", F.lit(")\nObject: "), "object", F.lit(" ("), "obj_type", F.lit(")\nRelations:\n"), "ontology", F.lit('\nAnswer with one JSON object: {"subject": ..., "relation": ..., "object": ...}'))
-    return samples.crossJoin(block).select("id", text.alias("prompt"))
+    return samples.crossJoin(block).withColumn("prompt", text).drop("ontology")
+
+
+def prompts(samples: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, prompt."""
+    return with_prompts(samples, entries).select("id", "prompt")

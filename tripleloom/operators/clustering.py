@@ -284,7 +284,7 @@ def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: boo
     return connected(votes >= np.percentile(votes[np.triu_indices(n, 1)], 75))
 
 
-def consensus_labels(members: DataFrame, group: str = "type_sig", label: str = "relation", emb: str = "relation_emb", zero_diagonal: bool = False) -> DataFrame:
+def consensus_labels(members: DataFrame, group: str = "type_sig", label: str = "relation", emb: str = "relation_emb", zero_diagonal: bool = False, runs: int = 3) -> DataFrame:
     """group, label, part: consensus over a group's distinct labels, which are few however many rows it has."""
     names = members.groupBy(group, label).agg(F.first(emb).cast("array<double>").alias("v"))
 
@@ -293,6 +293,6 @@ def consensus_labels(members: DataFrame, group: str = "type_sig", label: str = "
         x = np.stack(rows["v"].to_list())
         sim = (np.clip(x @ x.T, -1, 1) + 1) / 2
         k = eigengap(sim) if len(x) > 2 else 1
-        return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, zero_diagonal=zero_diagonal), "eigengap_k": k})
+        return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal), "eigengap_k": k})
 
     return names.groupBy(group).applyInPandas(run, f"{group} string, {label} string, part long, eigengap_k long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -12,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.expressions import euclidean
+from tripleloom.functions.salvage import salvage
 from tripleloom.operators.evaluation import centroids
 
 LEVELS = ("Low", "Medium", "High")
-FENCE = re.compile(r"```(?:json)?\s*", re.IGNORECASE)
 
 
 def representatives(members: DataFrame, emb: str = "triple_emb", k: int = 5, cluster: str = "cluster_id") -> DataFrame:
@@ -39,29 +37,6 @@ def prompts(top: DataFrame, candidates: DataFrame) -> DataFrame:
     return shown.join(candidates, "cluster_id").select("cluster_id", text.alias("prompt"))
 
 
-def salvage(text: str | None) -> str | None:
-    """The JSON value of a whole text without code fences, else the last object between balanced braces; null without any."""
-    if not text:
-        return None
-    bare = FENCE.sub("", text).strip()
-    try:
-        return json.dumps(json.loads(bare), sort_keys=True)
-    except ValueError:
-        pass
-    depth = begin = 0
-    found = None
-    for m in re.finditer(r"[{}]", bare):
-        if m[0] == "{":
-            begin = m.start() if depth == 0 else begin
-            depth += 1
-        elif (depth := depth - 1) == 0:
-            try:
-                found = json.dumps(json.loads(bare[begin : m.end()]), sort_keys=True)
-            except ValueError:
-                continue
-    return found
-
-
 def salvage_json(rows: DataFrame, column: str, out: str = "json") -> DataFrame:
     udf = F.pandas_udf(lambda s: s.map(salvage), "string")
     return rows.withColumn(out, udf(F.col(column)))

@@ -85,20 +85,3 @@ class Config:
         import yaml
 
         return yaml.safe_dump({f.name: getattr(self, f.name) for f in fields(self)}, sort_keys=False)
-
-
-class HttpModel:
-    """Answers of a chat endpoint; fits the Validator protocol. Used from Python workers."""
-
-    def __init__(self, base_url: str, model: str, temperature: float = 0.0, max_tokens: int = 500, timeout: float = 60):
-        self.url, self.model, self.options, self.timeout = base_url.rstrip("/") + "/chat/completions", model, {"temperature": temperature, "max_tokens": max_tokens}, timeout
-
-    def answer(self, prompts: list[str]) -> list[str]:
-        import requests
-
-        out = []
-        for p in prompts:
-            r = requests.post(self.url, json={"model": self.model, "messages": [{"role": "user", "content": p}], **self.options}, timeout=self.timeout)
-            r.raise_for_status()
-            out.append(r.json()["choices"][0]["message"]["content"])
-        return out
