@@ -38,6 +38,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows gathered by key into the session's shuffle partitions, or into `tasks` where that is more.
+
+    So tasks grow in number with the input instead of in size, whatever the session's setting is.
+    """
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(tasks, *keys)
+    return df.repartition(*keys)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text as UTF-8 bytes; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import chunks, id_and_text, table, words
+from tripleloom.llm.common import chunks, dealt, id_and_text, table, words
 
 K, ADD, BLOCK_BYTES, SPLIT_BYTES = 5, 0.1, 12 << 20, 12 << 20
 START, UNKNOWN, FIRST_ID = 0, 1, 2
@@ -281,14 +281,14 @@ def answer_unigrams(asked: DataFrame, splits: int) -> DataFrame:
         out.add(-1, split, "unigrams", squeezed(b"\n".join(known)), packed(count), packed(np.concatenate([[count.sum(), len(count)], by_count(count)])))
         return out.table()
 
-    return table(asked.groupBy("split").applyInArrow(run, DDL), "unigrams")
+    return table(dealt(asked, splits, "split").groupBy("split").applyInArrow(run, DDL), "unigrams")
 
 
-def gathered(blocks: DataFrame, *answers: DataFrame):
+def gathered(blocks: DataFrame, splits: int, *answers: DataFrame):
     frame = blocks.withColumn("d", F.lit(None).cast("binary"))  # the words' ids are in the answers
     for a in answers:
         frame = frame.unionByName(a)
-    return frame.groupBy("block")
+    return dealt(frame, splits, "block").groupBy("block")  # blocks are as many as splits
 
 
 def opened(t: pa.Table, splits: int, frequent: np.ndarray) -> tuple[Block, list[dict]]:
@@ -299,7 +299,7 @@ def opened(t: pa.Table, splits: int, frequent: np.ndarray) -> tuple[Block, list[
     return block, rows
 
 
-def answer_bigrams(asked: DataFrame, unigrams: Unigrams, frequent: np.ndarray) -> DataFrame:
+def answer_bigrams(asked: DataFrame, splits: int, unigrams: Unigrams, frequent: np.ndarray) -> DataFrame:
     """Answers for blocks; each split of the bigram table with its sums (`bigrams`); sums of frequent contexts (`frequent`)."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -333,7 +333,7 @@ def answer_bigrams(asked: DataFrame, unigrams: Unigrams, frequent: np.ndarray) -
             out.add(-1, split, "frequent", packed(us[often]), packed(stats[often].ravel()), rest[often].astype("<f8").tobytes())
         return out.table()
 
-    return table(asked.groupBy("split").applyInArrow(run, DDL), "bigrams")
+    return table(dealt(asked, splits, "split").groupBy("split").applyInArrow(run, DDL), "bigrams")
 
 
 def added(rows: list[dict], field: str, width: int) -> np.ndarray:
@@ -380,7 +380,7 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
             out.add(block, s, "ask", *steps(k.u[at], k.w[at]), packed(k.count[k.word[at]]), packed(k.trained[at]))
         return out.table()
 
-    second = answer_bigrams(gathered(blocks, of_words).applyInArrow(ask, DDL), unigrams, frequent)
+    second = answer_bigrams(gathered(blocks, splits, of_words).applyInArrow(ask, DDL), splits, unigrams, frequent)
     release(spark)
     of_pairs = second.where("kind = 'counts'")
     discount = Discount(added(second.where("kind = 'bigrams'").select("d").toArrow().to_pylist(), "d", K + 2)[1:])
@@ -427,7 +427,7 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
 
     # the start's count is the number of training texts
     train_texts = int(frequent_count(frequent_u, sums_, START))
-    return gathered(blocks, of_words, of_pairs).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return gathered(blocks, splits, of_words, of_pairs).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def frequent_count(ids: np.ndarray, sums: pa.Table, wanted: int) -> int:

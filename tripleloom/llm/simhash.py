@@ -18,6 +18,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripleloom.llm.common import batch, chunks, id_and_text, table, words
+from tripleloom.llm.common import batch, chunks, dealt, id_and_text, table, words
 
 SEED, SHINGLE, MOST_BITS, BLOCKS = 42, 4, 4, 5
 MOST_IN_TRIE, SPLIT_BITS, FRONTIER = 20_000, 8, 1 << 20
+#: Rows of a task on average: what a task gathers stays this size however many fingerprints there are.
+ROWS_IN_TASK = 1 << 20
 
 
 def fingerprint(raw: bytes) -> int:
@@ -197,15 +201,18 @@ def links(fps: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRI
     width = edges_of_blocks(most + 1)
     head = lambda k: F.expr(f"shiftrightunsigned({f'shiftleft(fp, {width[k]})' if width[k] else 'fp'}, {64 - (width[k + 1] - width[k])})")
     rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), head(k).alias("head")) for k in range(most + 1)))).alias("t")).select("t.block", "t.head", "fp")
-    large = table(rows.groupBy("block", "head").count().where(F.col("count") > most_in_trie).select("block", "head"), "tries")
-    if large.isEmpty():
-        return rows.repartition(F.col("block"), F.col("head")).select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
-    few = rows.join(large, ["block", "head"], "left_anti").repartition("block", "head").select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
+    large = table(rows.groupBy("block", "head").count().where(F.col("count") > most_in_trie), "tries")
+    tasks = math.ceil((most + 1) * fps.count() / ROWS_IN_TASK)
+    in_large = large.agg(F.sum("count")).first()[0]
+    if not in_large:
+        return dealt(rows, tasks, "block", "head").select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
+    few = dealt(rows.join(large, ["block", "head"], "left_anti"), tasks, "block", "head").select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
     child = F.coalesce(*(F.when(F.col("block") == k, F.expr(f"shiftrightunsigned(shiftleft(fp, {width[k + 1]}), {64 - SPLIT_BITS})" if k < most else f"shiftrightunsigned(fp, {64 - SPLIT_BITS})")) for k in range(most + 1)))
     near = F.expr(f"filter(sequence(0L, {(1 << SPLIT_BITS) - 1}L), c -> bit_count(c ^ child) <= {most})")
     many = rows.join(large, ["block", "head"], "left_semi").withColumn("child", child).withColumn("other", F.explode(near))
     many = many.select("block", "head", F.least("child", "other").alias("x"), F.greatest("child", "other").alias("y"), "child", "fp")
-    return few.unionByName(many.repartition("block", "head", "x", "y").select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(width, most), LINKS_DDL))
+    others = sum(math.comb(SPLIT_BITS, d) for d in range(min(most, SPLIT_BITS) + 1))  # subtree pairs of a fingerprint
+    return few.unionByName(dealt(many, math.ceil(in_large * others / ROWS_IN_TASK), "block", "head", "x", "y").select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(width, most), LINKS_DDL))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
