@@ -287,7 +287,7 @@ def cluster_summary(v):
 
 def _with_singletons(v):
     rows = checkpoint(v.unaligned()).withColumn("_r", F.row_number().over(K.Window.partitionBy("type_sig", "relation").orderBy("idx")))
-    code = F.crc32(F.concat("type_sig", F.lit("/"), "relation").cast("binary"))
+    code = F.conv(F.substring(F.md5(F.concat("type_sig", F.lit("/"), "relation").cast("binary")), 1, 8), 16, 10).cast("long")
     return rows.withColumn("cluster_id", F.when(F.col("_r") == 1, code * 2 + 1).otherwise(code * 2)).drop("_r")
 
 

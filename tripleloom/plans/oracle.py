@@ -224,6 +224,13 @@ SQL: dict[str, str] = {
     "cluster_report_top5": k("""SELECT type_sig AS cluster_id, relation, n, rank::INT AS rank FROM (SELECT type_sig, relation, count(*) AS n, row_number() OVER (PARTITION BY type_sig ORDER BY count(*) DESC, relation) AS rank FROM un GROUP BY 1, 2) WHERE rank <= 5"""),
     "cluster_summary": k("""SELECT cluster_mode, sum(n)::BIGINT AS items, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons
         FROM (SELECT cluster_mode, type_sig || relation AS cl, count(*) AS n FROM un GROUP BY 1, 2) GROUP BY 1"""),
+    "singleton_merge_onepass": k(""", coded AS (SELECT *, CAST('0x' || substr(md5(type_sig || '/' || relation), 1, 8) AS BIGINT) * 2 + CASE WHEN row_number() OVER (PARTITION BY type_sig, relation ORDER BY idx) = 1 THEN 1 ELSE 0 END AS cid FROM un),
+        sized AS (SELECT *, count(*) OVER (PARTITION BY cid) AS n FROM coded),
+        large AS (SELECT cid, relation, count(*) AS c, any_value(e) AS e FROM sized WHERE n > 1 GROUP BY 1, 2),
+        name AS (SELECT relation, any_value(e) AS e FROM sized WHERE n = 1 GROUP BY 1),
+        score AS (SELECT name.relation, cid, sum(round(list_dot_product(name.e, large.e), 9) * c) / sum(c) AS score FROM name, large GROUP BY 1, 2),
+        target AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY relation ORDER BY round(score, 9) DESC, cid) = 1)
+        SELECT idx, t.cid AS target FROM sized s JOIN target t USING (relation) WHERE n = 1 AND score > 0.8"""),
     "ground_truth_lookup": m('SELECT p.idx, s.relation AS "true" FROM pred p JOIN sample s ON s.id = p.id'),
     "flat_labels": m("SELECT idx, CASE WHEN idx % 4 <> 0 THEN idx % 6 ELSE -1 END AS pred FROM pred"),
     "eval_masks": s(f"""SELECT idx, pred, "true", {SUBSET} AND "true" IN ('c1', 'c4') AS novel_discovery, {SUBSET} AND "true" NOT IN ('c1', 'c4') AS robustness_known, {SUBSET} AS overall_pipeline FROM scored"""),
