@@ -198,7 +198,7 @@ SQL: dict[str, str] = {
         SELECT text, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INT AS dim FROM t, nvec JOIN embeddings ON vec_id = CAST('0x' || substr(md5(text), 1, 6) AS BIGINT) % n"""),
     "l2_normalise": """WITH x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * (vec_id % 4)) AS e FROM embeddings),
         y AS (SELECT vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS l FROM x)
-        SELECT vec_id, round(sqrt(list_dot_product(e, e)) / l, 6) AS length, round(e[3] / l, 6) AS third FROM y""",
+        SELECT vec_id, round(sqrt(list_dot_product(e, e)) / l, 6) AS length, CASE WHEN e[3] = 0 THEN 0.0::DOUBLE ELSE round(e[3] / l, 6) END AS third FROM y""",
     "mean_pool": """SELECT CAST(label AS BIGINT) AS label, round(sum(CASE WHEN vec_id % 3 <> 0 THEN embedding[1]::DOUBLE ELSE 0 END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS first,
         round(arg_max(embedding[1]::DOUBLE, vec_id) FILTER (vec_id % 3 <> 0), 6) AS last_first FROM embeddings GROUP BY label""",
     "sim_triple_ontology": a("SELECT sig_id, ont_idx, round(sim_triple, 6) AS sim_triple, round(sim_relation, 6) AS sim_relation, round(sim_subject, 6) AS sim_subject, round(sim_object, 6) AS sim_object FROM sims"),
