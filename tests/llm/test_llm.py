@@ -137,8 +137,9 @@ def test_simhash(docs, empty):
     assert sorted(i for i in ids if i is not None) == sorted({x for x in least.values() if x is not None}) and None in ids
 
 
-@pytest.mark.parametrize("most_in_trie", [20_000, 30])
-def test_trie_join(spark, most_in_trie):
+@pytest.mark.parametrize(("most_in_trie", "rows_in_task"), [(20_000, 1 << 20), (30, 1 << 20), (20_000, 100), (30, 500)])
+def test_trie_join(spark, monkeypatch, most_in_trie, rows_in_task):
+    monkeypatch.setattr(simhash, "ROWS_IN_TASK", rows_in_task)
     rng = np.random.default_rng(3)
     fps = set()
     for b in rng.integers(0, 2**64, 12, dtype=np.uint64):
