@@ -108,6 +108,19 @@ def test_consensus():
     assert K.eigengap(sim) == 2
 
 
+def test_silhouette_reads_every_vector(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("label", "embedding").toPandas()
+    x, label = np.stack(rows["embedding"]).astype(float), rows["label"].to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    values = []
+    for i in range(len(x)):
+        mean = {c: d[i, (label == c) & (np.arange(len(x)) != i)] for c in set(label)}
+        a, b = mean.pop(label[i]), min(m.mean() for c, m in mean.items() if c != label[i])
+        values.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0.0)
+    assert catalog.QUERIES["silhouette"](spark, DATA).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
+    assert E.silhouette(catalog.Views(spark, DATA).vectors(), "label", "embedding", most=100).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
+
+
 def test_acceptance_order(spark):
     made = [(0, "A", "B", True, "Low"), (1, "Z", "B", False, "Low"), (2, "A", "Z", False, "High"), (3, "A", "B", False, "Low"), (4, "A", "B", False, "Medium"), (5, None, None, None, None)]
     rows = spark.createDataFrame(made, "cluster_id long, domain string, range string, existing_match boolean, confidence string")

@@ -6,12 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.checkpoint import checkpoint
 from tripleloom.functions.expressions import cosine_distance, euclidean, ratio
 
 UNMAPPED, UNASSIGNED = "NOVEL_UNMAPPED", "UNASSIGNED"
+#: Rows of a block of the silhouette's pairs.
+BLOCK = 4096
 
 
 def flat_labels(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -223,12 +227,54 @@ def dunn(rows: DataFrame, label: str, emb: str) -> DataFrame:
     return near.crossJoin(wide).select(F.round(F.try_divide("near", "wide"), 6).alias("dunn"))
 
 
-def silhouette(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
-    """Mean over rows of (b - a) / max(a, b); a row alone in its cluster counts 0."""
+def _block_distances(rows: DataFrame, label: str, emb: str, most: int) -> DataFrame:
+    """i, li, lj and the mean distance d of row i to the other rows of lj, from all pairs of blocks of about `most` rows."""
+    whole = rows.where(F.col("vec_id").isNotNull() & F.col(emb).isNotNull())
+    blocks = max(1, math.ceil(whole.count() / most))
+    row = F.struct(F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x"))
+    packed = checkpoint(whole.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("p")).agg(F.collect_list(row).alias("a")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def unpack(cell):
+        r = cell.values
+        return r.field("i").to_numpy(zero_copy_only=False), r.field("l").to_pylist(), r.field("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(r), -1)
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                (i, li, x), (j, lj, y) = unpack(b.column("a")[k]), unpack(b.column("b")[k])
+                names = sorted({n for n in lj if n is not None})
+                at = {n: c for c, n in enumerate(names)}
+                one = np.zeros((len(lj), len(names)))
+                for r, n in enumerate(lj):
+                    if n is not None:
+                        one[r, at[n]] = 1
+                same, sizes = b.column("p")[k].as_py() == b.column("q")[k].as_py(), (y * y).sum(1)
+                for lo in range(0, len(i), 256):
+                    u = x[lo : lo + 256]
+                    d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + sizes - 2 * u @ y.T, 0))
+                    n = np.tile(one.sum(0), (len(u), 1))
+                    if same:  # rows of one id are in one block
+                        own = i[lo : lo + 256, None] == j[None]
+                        d[own] = 0
+                        n -= own @ one
+                    total = d @ one
+                    r, c = (n > 0).nonzero()
+                    yield pa.RecordBatch.from_pydict({"i": pa.array(i[lo + r]), "li": pa.array([li[lo + z] for z in r], b.column("a").type.value_type.field("l").type), "lj": pa.array([names[z] for z in c], b.column("a").type.value_type.field("l").type), "s": pa.array(total[r, c]), "n": pa.array(n[r, c])})
+
+    pairs = packed.crossJoin(packed.select(F.col("p").alias("q"), F.col("a").alias("b")))
+    found = pairs.mapInArrow(run, f"i {kinds['vec_id']}, li {kinds[label]}, lj {kinds[label]}, s double, n double")
+    return found.groupBy("i", "li", "lj").agg((F.sum("s") / F.sum("n")).alias("d"))
+
+
+def silhouette(rows: DataFrame, label: str, emb: str, by: list[str] | None = None, most: int = BLOCK) -> DataFrame:
+    """Mean over rows of (b - a) / max(a, b); a row alone in its cluster counts 0. The whole table goes by blocks; rows without a vector are left out."""
     by = by or []
-    a, b = rows.select(*by, F.col("vec_id").alias("i"), F.col(label).alias("li"), F.col(emb).alias("x")), rows.select(*by, F.col("vec_id").alias("j"), F.col(label).alias("lj"), F.col(emb).alias("y"))
-    pairs = (a.join(b, by) if by else a.crossJoin(b)).where("i != j")
-    mean = pairs.groupBy(*by, "i", "li", "lj").agg(F.avg(euclidean("x", "y")).alias("d"))
+    if by:
+        a, b = rows.select(*by, F.col("vec_id").alias("i"), F.col(label).alias("li"), F.col(emb).alias("x")), rows.select(*by, F.col("vec_id").alias("j"), F.col(label).alias("lj"), F.col(emb).alias("y"))
+        mean = a.join(b, by).where("i != j").groupBy(*by, "i", "li", "lj").agg(F.avg(euclidean("x", "y")).alias("d"))
+    else:
+        mean = _block_distances(rows, label, emb, most)
     row = mean.groupBy(*by, "i", "li").agg(F.min(F.when(F.col("lj") == F.col("li"), F.col("d"))).alias("a"), F.min(F.when(F.col("lj") != F.col("li"), F.col("d"))).alias("b"))
     value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     return row.groupBy(*by).agg(F.round(F.avg(value), 6).alias("silhouette")) if by else row.agg(F.round(F.avg(value), 6).alias("silhouette"))
