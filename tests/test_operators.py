@@ -108,6 +108,45 @@ def test_consensus():
     assert K.eigengap(sim) == 2
 
 
+def test_consensus_counts_rows():
+    """Labels with counts give what their rows give, each a label of its own."""
+    rng = np.random.default_rng(3)
+    x = np.stack([[1.0, 0.0], [0.96, 0.28], [0.0, 1.0], [0.28, 0.96]])
+    sim, counts = (x @ x.T + 1) / 2, np.array([3.0, 6.0, 4.0, 5.0])
+    row = np.repeat(np.arange(4), counts.astype(int))
+    wide = sim[np.ix_(row, row)]
+    np.fill_diagonal(wide, 1)
+    assert K.eigengap(sim, counts=counts) == K.eigengap(wide)
+    label = np.array([0, 0, 1, 1])
+    assert K.silhouette(1 - sim, label, counts) == pytest.approx(K.silhouette(1 - wide, label[row]))
+    got = K.density(1 - sim, counts=counts)
+    assert got is not None and got[0] == got[1] != got[2] == got[3] and (got >= 0).all()  # 4 labels, 18 rows
+    assert K.density(1 - sim) is None  # 4 rows
+    v, n = rng.random(6), rng.integers(1, 5, 6).astype(float)
+    assert K.percentile(v, n, 0.75) == pytest.approx(np.percentile(np.repeat(v, n.astype(int)), 75))
+    part = K.consensus(sim, zero_diagonal=True, counts=counts)
+    assert part[0] == part[1] != part[2] == part[3]
+
+
+def test_density_takes_groups_of_unlike_density():
+    """Excess of mass finds two tight groups and a loose one; a single cut at the largest gap joined the tight ones."""
+    x = np.concatenate([np.linspace(0, 0.05, 6), np.linspace(0.3, 0.35, 6), np.linspace(5, 6, 6)])
+    got = K.density(np.abs(x[:, None] - x[None]))
+    assert len(set(got[:6])) == len(set(got[6:12])) == len(set(got[12:])) == 1 and len({got[0], got[6], got[12]}) == 3 and -1 not in got
+
+
+def test_consensus_uses_four_views(spark):
+    rows = spark.createDataFrame([(r, "a", "b", "a:b") for r in ("p", "q", "q")], "relation string, subj_type string, obj_type string, type_sig string")
+    seen = []
+
+    def lookup(texts):
+        seen.extend(r.text for r in texts.collect())
+        return texts.withColumn("embedding", F.array(F.lit(1.0)))
+
+    got = K.consensus_labels(rows, lookup).collect()
+    assert len(got) == 2 and sum(t.startswith("Entity Type") for t in seen) == 2 and len(seen) == 6
+
+
 def test_silhouette_reads_every_vector(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("label", "embedding").toPandas()
     x, label = np.stack(rows["embedding"]).astype(float), rows["label"].to_numpy()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.checkpoint import checkpoint
 from tripleloom.functions.expressions import dot
+from tripleloom.operators.alignment import SIGNATURE, VIEWS, embed_views, view_texts
 
 #: Defaults: similarity floor, percentile of the graph split, merge threshold of singletons.
 SIMILARITY, PERCENTILE, MERGE = 0.60, 0.25, 0.80
@@ -159,69 +160,105 @@ def merge_singletons_in_turn(members: DataFrame, label: str = "relation", emb: s
     return size.where("_n > 1").select("idx", "cluster_id").unionByName(merged)
 
 
-# ---- consensus, on one type pair's rows in a worker ----
+# ---- consensus, on one type pair's labels in a worker; counts has the rows of each label ----
 
 
-def eigengap(sim: np.ndarray, most: int = 20) -> int:
-    """Number of clusters at the largest gap of the normalised Laplacian's first eigenvalues, 2 at least."""
-    degree = np.maximum(sim.sum(1), 1e-12)
-    scale = 1 / np.sqrt(degree)
-    values = np.sort(np.linalg.eigvalsh(np.eye(len(sim)) - scale[:, None] * sim * scale))[: most + 1]
+def laplacian_part(sim: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The labels' share of the rows' normalised affinity: it has the same eigenvalues but for zeros."""
+    scale = np.sqrt(counts / np.maximum(sim @ counts, 1e-8))
+    return scale[:, None] * sim * scale
+
+
+def eigengap(sim: np.ndarray, most: int = 20, counts: np.ndarray | None = None) -> int:
+    """Number of clusters at the largest gap of the rows' normalised Laplacian's first eigenvalues, 2 at least."""
+    counts = np.ones(len(sim)) if counts is None else counts
+    zeros = min(int(counts.sum()) - len(sim), most + 1)  # rows of one label differ by vectors that the affinity maps to 0
+    values = np.sort(np.concatenate([1 - np.linalg.eigvalsh(laplacian_part(sim, counts)), np.ones(zeros)]))[: most + 1]
     return int(min(most, max(2, np.argmax(np.diff(values)) + 1))) if len(values) > 1 else 2
 
 
-def k_means(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 10) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 10, counts: np.ndarray | None = None) -> np.ndarray:
+    counts = np.ones(len(x)) if counts is None else counts
     best, labels = np.inf, np.zeros(len(x), int)
     for _ in range(starts):
-        centres = x[rng.choice(len(x), k, replace=False)]
+        centres = x[rng.choice(len(x), k, replace=False, p=counts / counts.sum())]
         for _ in range(30):
             d = ((x[:, None] - centres[None]) ** 2).sum(2)
             near = d.argmin(1)
-            centres = np.stack([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)])
-        if (cost := d.min(1).sum()) < best:
+            centres = np.stack([np.average(x[near == c], axis=0, weights=counts[near == c]) if (near == c).any() else centres[c] for c in range(k)])
+        if (cost := (d.min(1) * counts).sum()) < best:
             best, labels = cost, near
     return labels
 
 
-def spectral(sim: np.ndarray, rng: np.random.Generator, most: int = 20) -> np.ndarray | None:
-    n = len(sim)
-    if n < 3:
+def spectral(sim: np.ndarray, rng: np.random.Generator, most: int = 20, counts: np.ndarray | None = None) -> np.ndarray | None:
+    counts = np.ones(len(sim)) if counts is None else counts
+    rows = int(counts.sum())
+    if rows < 3 or len(sim) < 2:
         return None
-    k = max(2, min(most, n - 1, eigengap(sim, min(most, n - 1))))
-    scale = 1 / np.sqrt(np.maximum(sim.sum(1), 1e-12))
-    vectors = np.linalg.eigh(scale[:, None] * sim * scale)[1][:, -k:]
-    return k_means(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), k, rng)
+    k = min(max(2, min(most, rows - 1, eigengap(sim, most, counts))), len(sim))
+    vectors = np.linalg.eigh(laplacian_part(sim, counts))[1][:, -k:]
+    return k_means(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), k, rng, counts=counts)
 
 
-def density(distance: np.ndarray, size: int = 5, samples: int = 3) -> np.ndarray | None:
-    """Groups of at least `size` in the tree of mutual reachability, cut where the largest gap is; others -1."""
-    n = len(distance)
-    if n < size:
+def density(distance: np.ndarray, size: int = 5, samples: int = 3, counts: np.ndarray | None = None) -> np.ndarray | None:
+    """HDBSCAN: the tree of mutual reachability, condensed to groups of `size` rows, by excess of mass; others -1."""
+    n, counts = len(distance), np.ones(len(distance)) if counts is None else counts
+    if counts.sum() < size:
         return None
-    core = np.sort(distance, 1)[:, min(samples, n - 1)]
+    order = np.argsort(distance, 1, kind="stable")
+    place = np.minimum((counts[order].cumsum(1) <= samples).sum(1), n - 1)
+    core = np.take_along_axis(distance, order, 1)[np.arange(n), place]
     reach = np.maximum(distance, np.maximum(core[:, None], core[None]))
     i, j = np.triu_indices(n, 1)
-    order = np.argsort(reach[i, j], kind="stable")
-    label, joins = np.arange(n), []
-    for a, b, d in zip(i[order], j[order], reach[i, j][order], strict=True):
-        if label[a] != label[b]:
-            joins.append((d, a, b))
-            label[label == max(label[a], label[b])] = min(label[a], label[b])
-    gaps = np.diff([d for d, _, _ in joins])
-    cut = joins[int(gaps.argmax())][0] if len(gaps) and gaps.max() > 0 else np.inf
-    label = np.arange(n)
-    for d, a, b in joins:
-        if d <= cut:
-            label[label == max(label[a], label[b])] = min(label[a], label[b])
-    sizes = np.bincount(label, minlength=n)
-    return np.where(sizes[label] >= size, label, -1)
-
-
-def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0) -> np.ndarray:
-    """Greedy modularity: nodes move to the neighbouring community that gains most until none does."""
-    w = np.where(sim > floor, sim, 0.0)
+    # the tree: leaves are labels, whose own rows join at the core distance, before any other
+    node, weight, tree, leaves = np.arange(n), list(counts), {}, [[k] for k in range(n)]
+    for e in np.argsort(reach[i, j], kind="stable"):
+        a, b = int(node[i[e]]), int(node[j[e]])
+        if a != b:
+            tree[len(weight)] = (a, b, reach[i[e], j[e]])
+            leaves.append(leaves[a] + leaves[b])
+            node[leaves[-1]] = len(weight)
+            weight.append(weight[a] + weight[b])
+    rate = lambda d: 1 / max(float(d), 1e-9)
+    birth, mass, parent, held, stack = [0.0], [0.0], [-1], [leaves[-1]], [(len(weight) - 1, 0)]
+    while stack:
+        at, k = stack.pop()
+        if at < n:
+            mass[k] += weight[at] * (rate(core[at]) - birth[k])
+            continue
+        a, b, d = tree[at]
+        large = [x for x in (a, b) if weight[x] >= size]
+        if len(large) == 2:
+            mass[k] += weight[at] * (rate(d) - birth[k])
+            for x in large:
+                stack.append((x, len(birth)))
+                birth.append(rate(d))
+                mass.append(0.0)
+                parent.append(k)
+                held.append(leaves[x])
+        else:
+            mass[k] += (weight[at] - sum(weight[x] for x in large)) * (rate(d) - birth[k])
+            stack.extend((x, k) for x in large)
+    below, chosen = [0.0] * len(birth), [False] * len(birth)
+    for k in range(len(birth) - 1, 0, -1):  # the root is no group
+        chosen[k] = mass[k] >= below[k]
+        below[parent[k]] += max(mass[k], below[k])
+    label = np.full(n, -1)
+    for k in range(len(birth) - 1, 0, -1):  # a chosen group covers the chosen ones below it
+        if chosen[k]:
+            label[held[k]] = k
+    return label
+
+
+def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
+    """Greedy modularity of the rows' graph: labels move to the neighbouring community that gains most until none does."""
+    counts = np.ones(len(sim)) if counts is None else counts
+    w = np.where(sim > floor, sim, 0.0) * counts[:, None] * counts
+    own = counts * (counts - 1)  # the similarity of two rows of one label is 1
     np.fill_diagonal(w, 0)
-    degree, total, label = w.sum(1), max(w.sum(), 1e-12), np.arange(len(w))
+    degree, label = w.sum(1) + own, np.arange(len(w))
+    total = max(degree.sum(), 1e-12)
     for _ in range(20):
         moved = False
         for i in range(len(w)):
@@ -234,17 +271,27 @@ def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0) ->
     return label
 
 
-def silhouette(distance: np.ndarray, label: np.ndarray) -> float:
+def silhouette(distance: np.ndarray, label: np.ndarray, counts: np.ndarray | None = None) -> float:
+    counts = np.ones(len(label)) if counts is None else counts
     names, at = np.unique(label, return_inverse=True)
-    if not 2 <= len(names) <= len(label) - 1:
+    if not 2 <= len(names) <= counts.sum() - 1:
         return 0.0
-    mean = np.stack([distance[:, at == c].sum(1) for c in range(len(names))], 1)
-    n = np.bincount(at)
+    mean = np.stack([distance[:, at == c] @ counts[at == c] for c in range(len(names))], 1)
+    n = np.bincount(at, counts)
     own = mean[np.arange(len(at)), at] / np.maximum(n[at] - 1, 1)
     other = mean / n
     other[np.arange(len(at)), at] = np.inf
     b = other.min(1)
-    return float(np.where(n[at] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-12), 0.0).mean())
+    value = np.where(n[at] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-12), 0.0)
+    return float(np.average(value, weights=counts))
+
+
+def percentile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """Percentile, linearly interpolated, of values that each occur so many times."""
+    order = np.argsort(values, kind="stable")
+    upto, place = counts[order].cumsum(), (counts.sum() - 1) * share
+    lo, hi = (float(values[order][min(np.searchsorted(upto, p, "right"), len(values) - 1)]) for p in (np.floor(place), np.ceil(place)))
+    return lo + (hi - lo) * (place - np.floor(place))
 
 
 def connected(adjacent: np.ndarray) -> np.ndarray:
@@ -258,41 +305,58 @@ def connected(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False) -> np.ndarray:
-    """Labels by weighted votes of three proposals over noisy distances.
+def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False, counts: np.ndarray | None = None) -> np.ndarray:
+    """Labels by weighted votes of three proposals over noisy similarities and distances.
 
     With zero_diagonal=False the noisy diagonal makes every silhouette invalid: no proposal has a
     weight and all rows are one cluster, which is the default's observable result.
     """
-    n, rng = len(sim), np.random.default_rng(seed)
+    n, noises, counts = len(sim), np.random.RandomState(seed), np.ones(len(sim)) if counts is None else counts
     votes, total = np.zeros((n, n)), 0.0
     for _ in range(runs if zero_diagonal else 0):
-        noise = rng.normal(0, 0.01, (n, n))
-        distance = np.clip(1 - sim + (noise + noise.T) / 2, 0, None)
+        noise = noises.normal(0, 0.01, (n, n))
+        distance, near = np.clip(1 - sim + noise, 0, None), np.clip(sim + noise, 0, 1)
+        distance, near = (distance + distance.T) / 2, (near + near.T) / 2
         np.fill_diagonal(distance, 0)
-        for label in (spectral(sim, rng), density(distance), communities(sim)):
+        np.fill_diagonal(near, 1)
+        rng = np.random.default_rng(seed)
+        for label, apart, least in ((spectral(near, rng, counts=counts), 1 - near, 0.0), (density(distance, counts=counts), distance, 0.1), (communities(near, counts=counts), 1 - near, 0.0)):
             if label is None or not (kept := label >= 0).any():
                 continue
-            weight = silhouette(distance[np.ix_(kept, kept)], label[kept])
-            if weight > 0:
+            weight = silhouette(apart[np.ix_(kept, kept)], label[kept], counts[kept])
+            if weight > least:
                 total += weight
             if weight > 0.1:
                 votes += weight * ((label[:, None] == label[None]) & kept[:, None] & kept[None])
     if total <= 0 or n < 2:
         return np.zeros(n, int)
     votes /= total
-    return connected(votes >= np.percentile(votes[np.triu_indices(n, 1)], 75))
+    i, j = np.triu_indices(n)
+    pairs = np.where(i == j, counts[i] * (counts[i] - 1) / 2, counts[i] * counts[j])  # of rows
+    return connected(votes >= percentile(votes[i, j][pairs > 0], pairs[pairs > 0], 0.75))
 
 
-def consensus_labels(members: DataFrame, group: str = "type_sig", label: str = "relation", emb: str = "relation_emb", zero_diagonal: bool = False, runs: int = 3) -> DataFrame:
-    """group, label, part: consensus over a group's distinct labels, which are few however many rows it has."""
-    names = members.groupBy(group, label).agg(F.first(emb).cast("array<double>").alias("v"))
+def consensus_labels(members: DataFrame, lookup, group: str = "type_sig", label: str = "relation", zero_diagonal: bool = False, runs: int = 3) -> DataFrame:
+    """group, label, part: consensus over a group's rows by the mean similarity of the four views.
+
+    Rows of one label and type pair have the same views, so a task holds a group's distinct labels and
+    how many rows each has. lookup embeds texts; a missing view counts 0.
+    """
+    signatures = members.groupBy(group, *SIGNATURE).agg(F.count(F.lit(1)).alias("_c"))
+    embs = [F.first(f"{v}_emb", ignorenulls=True).cast("array<double>").alias(f"_{v}") for v in VIEWS]
+    names = embed_views(view_texts(signatures), lookup).groupBy(group, label).agg(F.sum("_c").cast("double").alias("_c"), *embs)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(label)
-        x = np.stack(rows["v"].to_list())
-        sim = (np.clip(x @ x.T, -1, 1) + 1) / 2
-        k = eigengap(sim) if len(x) > 2 else 1
-        return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal), "eigengap_k": k})
+        mean = np.zeros((len(rows), len(rows)))
+        for v in VIEWS:
+            if (have := rows[f"_{v}"].notna().to_numpy()).any():
+                x = np.stack(rows[f"_{v}"][have].to_list())
+                mean[np.ix_(have, have)] += x @ x.T / len(VIEWS)
+        size = np.sqrt(np.maximum(np.diag(mean), 1e-6))
+        sim = (np.clip(mean / size[:, None] / size, -1, 1) + 1) / 2
+        counts = rows["_c"].to_numpy()
+        k = eigengap(sim, counts=counts) if counts.sum() > 2 else 1
+        return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal, counts=counts), "eigengap_k": k})
 
     return names.groupBy(group).applyInPandas(run, f"{group} string, {label} string, part long, eigengap_k long")

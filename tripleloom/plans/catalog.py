@@ -303,12 +303,12 @@ def singleton_merge_exact(v):
 
 @query
 def consensus_labels(v):
-    return K.consensus_labels(v.unaligned(), zero_diagonal=True)
+    return K.consensus_labels(v.unaligned(), v.lookup(), zero_diagonal=True)
 
 
 @query
 def eigengap_k(v):
-    return K.consensus_labels(v.unaligned()).select("type_sig", "eigengap_k").distinct()
+    return K.consensus_labels(v.unaligned(), v.lookup()).select("type_sig", "eigengap_k").distinct()
 
 
 # ---- evaluation ----

@@ -111,7 +111,7 @@ def cluster(spark: SparkSession, folder: str, lookup, similarity: float = cluste
     results, triples = spark.read.parquet(f"{folder}/03_alignment/results"), triples_of(spark, folder)
     unaligned = triples.join(results.where("to_cluster").select(F.col("classified_idx").alias("idx"), "cluster_mode"), "idx")
     rows = checkpoint(clustering.stratify(embedded(unaligned, lookup)))
-    parts = clustering.consensus_labels(rows.where("cluster_mode = 'relation'"), zero_diagonal=zero_diagonal, runs=runs).select("type_sig", "relation", "part")
+    parts = clustering.consensus_labels(rows.where("cluster_mode = 'relation'"), lookup, zero_diagonal=zero_diagonal, runs=runs).select("type_sig", "relation", "part")
     rows = rows.join(checkpoint(parts), ["type_sig", "relation"], "left")
     by_type = F.col("cluster_mode") == "relation"
     rows = rows.withColumns({"stratum": F.when(by_type, F.col("type_sig")).otherwise(""), "part": F.when(by_type, F.col("part")).otherwise(0).cast("long")})
