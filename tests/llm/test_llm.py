@@ -267,6 +267,18 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_written_shards_of_a_hot_key_fit(spark, tmp_path):
+    made = [(i, "hot" if i % 3 == 0 else f"k{i}" if i % 7 else None, f"{i} " + "x" * 40) for i in range(600)]
+    frame = spark.createDataFrame([(*made[0][:2], None), *made[1:]], "doc_id long, source string, text string")
+    sharding.write_shards(frame, str(tmp_path / "out"), 1000, "source")
+    got = spark.read.parquet(str(tmp_path / "out")).select("*", F.input_file_name().alias("f")).toPandas()
+    assert Counter(got.doc_id) == Counter(range(600)) and got.set_index("doc_id").text.dropna().to_dict() == {i: t for i, _, t in made[1:]}
+    size = defaultdict(int)
+    for f, t in zip(got.f, got.text, strict=True):
+        size[f.rsplit("/", 1)[0]] += len((t or "").encode())
+    assert len(size) >= 20 and max(size.values()) <= 1000
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)

@@ -25,11 +25,11 @@ from tripleloom.llm.common import batch, table
 BITS, LIMIT, FINER = 60, 8 << 20, 6
 
 
-def places(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, place (the hash), n_bytes."""
+def places(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *carried) -> DataFrame:
+    """key, place (the hash), n_bytes, and the carried columns."""
     key = F.col(key_col).cast("string")
     place = F.conv(F.substring(F.md5(F.coalesce(key, F.lit("null")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col(key_col).alias("key"), place.alias("place"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    return docs.select(F.col(key_col).alias("key"), place.alias("place"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *carried)
 
 
 def _cell(bits: int):
@@ -63,20 +63,19 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
         depth, finer = to, 12
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, shard (the bucket's bits, as text), depth, page (0, or the overflow page), n_bytes, bucket_bytes, bucket_rows."""
-    rows = places(docs, key_col, text_col)
-    buckets, deepest = directory(rows, limit)
+def _assigned(rows: DataFrame, limit: int, carried: list[str]) -> DataFrame:
+    """The columns of assign() and the carried ones, of rows from places()."""
+    buckets, deepest = directory(rows.select("place", "n_bytes"), limit)
     # a row's bucket is the one whose prefix it has: all depths in use are tried in one join on depth and prefix
     depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())  # at most 61
     if not depths:
-        return rows.select("key", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "n_bytes", F.lit(0).cast("long").alias("bucket_bytes"), F.lit(0).cast("long").alias("bucket_rows"))
+        return rows.select("key", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "n_bytes", F.lit(0).cast("long").alias("bucket_bytes"), F.lit(0).cast("long").alias("bucket_rows"), *carried)
     tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _cell(d).alias("prefix")) for d in depths)))
-    joined = rows.select("key", "n_bytes", tries.alias("t")).select("key", "n_bytes", "t.depth", "t.prefix").join(buckets, ["depth", "prefix"])
+    joined = rows.select("key", "n_bytes", *carried, tries.alias("t")).select("key", "n_bytes", *carried, "t.depth", "t.prefix").join(buckets, ["depth", "prefix"])
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     joined = joined.withColumn("shard", shard)
     over = (F.col("bucket_bytes") > limit) & (F.col("bucket_rows") > 1)
-    columns = ["key", "shard", "depth", "page", "n_bytes", "bucket_bytes", "bucket_rows"]
+    columns = ["key", "shard", "depth", "page", "n_bytes", "bucket_bytes", "bucket_rows", *carried]
     plain = joined.where(~over).withColumn("page", F.lit(0).cast("long")).select(columns)
     if buckets.where(over).isEmpty():
         return plain
@@ -98,7 +97,12 @@ def assign(docs: DataFrame, limit: int = LIMIT, key_col: str = "doc_id", text_co
     return plain.unionByName(table(crowded.mapInArrow(pages, crowded.schema), "pages"))
 
 
+def assign(docs: DataFrame, limit: int = LIMIT, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, shard (the bucket's bits, as text), depth, page (0, or the overflow page), n_bytes, bucket_bytes, bucket_rows."""
+    return _assigned(places(docs, key_col, text_col), limit, [])
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents, one folder a shard (and page). Rows of one key go to the key's first page."""
-    place = assign(docs, limit, key_col, text_col).groupBy("key").agg(F.min_by("shard", "page").alias("_shard"), F.min("page").alias("_page"))
-    docs.join(place, docs[key_col].eqNullSafe(place["key"])).drop("key").repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+    """Write the documents, one folder a shard (and page): each row goes to its own shard and page."""
+    rows = _assigned(places(docs, key_col, text_col, F.struct("*").alias("_row")), limit, ["_row"])
+    rows.select("_row.*", F.col("shard").alias("_shard"), F.col("page").alias("_page")).repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
