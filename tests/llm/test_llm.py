@@ -189,6 +189,19 @@ def test_quality_and_weak_labels_on_held_out_junk(spark):
     assert kept == {i for i, _, _ in good}
 
 
+def test_weak_labels_are_of_whole_texts(spark, monkeypatch):
+    """Junk outside the middle of a long text counts in its label and its buckets for the fit."""
+    rng, seen = random.Random(9), []
+    junk = lambda: " ".join(w + "&&&" for w in text(rng, 3000).split())
+    made = [(i, f"{junk()}\n{text(rng, 6000)}.\n{junk()}" if i < 4 else text(rng, 200) + ".") for i in range(40)]
+    whole = weak_quality.fit
+    monkeypatch.setattr(weak_quality, "fit", lambda rows, labels: seen.append((rows, labels)) or whole(rows, labels))
+    got = weak_quality.classify(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    (rows, labels), = seen
+    assert sorted(labels) == pytest.approx(sorted(r.posterior for r in got))
+    assert sorted(len(at) for at, _ in rows) == sorted(len(weak_quality.features(t.encode(), weak_quality.votes(t.encode()))[0]) for _, t in made)
+
+
 def test_weak_labels(docs, empty):
     got = weak_quality.classify(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows())

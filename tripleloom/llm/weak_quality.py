@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. Vot
 pattern (at most 3^labellers patterns, whatever the corpus), and expectation-maximisation estimates
 each labeller's accuracy and the share of good documents from those counts. The posteriors label
 documents for a linear scorer over hashed 4-byte windows, fitted by logistic regression on a bounded
-sample: the MOST_SAMPLE documents of the smallest id hash. Every document is scored whole.
+sample: the MOST_SAMPLE documents of the smallest id hash. Every document is fitted on and scored whole.
 
 Defined cases: a null or empty text has no windows: it gets the scorer's bias and its posterior, and
 is not kept; repeated rows give repeated rows; an empty table gives no rows.
@@ -120,6 +120,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
 
 
 PATTERNS = pa.schema([("pattern", pa.int32()), ("n", pa.int64())])
+VECTORS = pa.schema([("at", pa.binary()), ("x", pa.binary()), ("label", pa.float64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_votes", pa.int64()), ("posterior", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
 
@@ -137,13 +138,20 @@ def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
 
     found = rows.select("text").mapInArrow(patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     posterior, _, _ = expectation_maximisation(found["pattern"].to_numpy(), found["n"].to_numpy())
-    # a sample's texts are bounded in number and, from the middle of a long one, in size for fitting alone
-    part = F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 8192), 16384)")
+    shared = spark.sparkContext.broadcast(posterior)
+
+    def vectors(batches):
+        for b in chunks(batches, "text"):
+            texts = b.column("text").to_pylist()
+            v = [votes(t) for t in texts]
+            at, x = zip(*(features(t, y) for t, y in zip(texts, v, strict=True)), strict=True)
+            yield batch(VECTORS, [k.astype(np.int16).tobytes() for k in at], [k.astype(np.float32).tobytes() for k in x], [float(shared.value[code(y)]) for y in v])
+
+    # the sampled texts stay in the executors, whole; their buckets and posteriors come to the driver
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_sample).agg(F.max(F.xxhash64("doc_id")).alias("most"), F.count(F.lit(1)).alias("n")).first()
-    sample = [] if not chosen["n"] else rows.where(F.xxhash64("doc_id") <= chosen["most"]).select(F.xxhash64("doc_id").alias("h"), part.alias("text")).limit(2 * most_sample).toArrow().to_pydict()["text"]
-    texts = sorted(sample)[: 2 * most_sample]
-    cast = [votes(t) for t in texts]
-    w, bias = fit([features(t, v) for t, v in zip(texts, cast, strict=True)], np.array([posterior[code(v)] for v in cast]))
+    sample = VECTORS.empty_table() if not chosen["n"] else rows.where(F.xxhash64("doc_id") <= chosen["most"]).select("text").mapInArrow(vectors, "at binary, x binary, label double").limit(2 * most_sample).toArrow()
+    sample = sample.sort_by([("label", "ascending"), ("at", "ascending"), ("x", "ascending")])
+    w, bias = fit([(np.frombuffer(at, np.int16), np.frombuffer(x, np.float32)) for at, x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)], sample["label"].to_numpy())
     model = spark.sparkContext.broadcast((w, bias, posterior))
 
     def run(batches):
