@@ -224,6 +224,17 @@ def test_language_id(spark, docs, empty):
     assert langid.keep(docs).columns == docs.columns
 
 
+def test_language_stage_rejects_unlearned_languages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    junk = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60))
+    made = [(i, text(rng, 80), "en") for i in range(200)]
+    made += [(1000 + i, junk(letters), None) for i, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрст", "αβγδεζηθικλμνξοπρσ", "的一是不了人我在有他这中大来上国"] * 10)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(made, "doc_id long, text string, lang string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(range(200))
+
+
 def test_katz(docs, empty):
     got = katz.score(docs).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
