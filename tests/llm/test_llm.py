@@ -235,8 +235,12 @@ def test_language_stage_rejects_unlearned_languages(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(200))
 
 
-def test_katz(docs, empty):
-    got = katz.score(docs).collect()
+@pytest.mark.parametrize(("split_bytes", "block_bytes", "fan"), [(katz.SPLIT_BYTES, katz.BLOCK_BYTES, katz.FAN), (3000, 4000, 1 << 20), (8000, 2000, 1)])
+def test_katz(docs, empty, monkeypatch, split_bytes, block_bytes, fan):
+    """One split; many splits and blocks of a task, with words split by pair; messages by two hops."""
+    for name, value in (("SPLIT_BYTES", split_bytes), ("BLOCK_BYTES", block_bytes), ("FAN", fan)):
+        monkeypatch.setattr(katz, name, value)
+    got = katz.score(docs.coalesce(2)).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     seqs = [(i, [*katz.words((t or "").encode()), b"</s>"]) for i, t in rows()]
     uni, bi = Counter(), Counter()
@@ -272,6 +276,7 @@ def test_katz(docs, empty):
         base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (types + 1))) for x in w)
         want[(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(base, 5), round(s, 5))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+    assert all(r.gain_per_token == pytest.approx((r.score - r.base_score) / r.n_tokens) for r in got)
     assert katz.score(empty).count() == 0
     untrained = katz.score(docs.where("doc_id is null")).collect()
     assert untrained[0].train_tokens == 0 and untrained[0].score == 0

@@ -6,8 +6,10 @@ the input, whatever they are called, never clash with a result.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,10 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+#: Smaller row groups than the default's 128 MB bound what a task holds while it writes or reads.
+WRITING = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
+
+
+def table(df: DataFrame, name: str, options: dict[str, str] = WRITING) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +76,41 @@ def chunks(batches, column: str, most_bytes: int = 16 << 20):
             yield b.slice(at)
 
 
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):  # no C library to load by name
+        return None
+
+
+def tune() -> None:
+    """Have a Python worker give large arrays back to the system as soon as they are freed."""
+    libc = _libc()
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would otherwise grow
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+def trim() -> None:
+    """Give a Python worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(of_group: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A group's function that leaves no free memory behind in its worker."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tune()
+        out = of_group(t)
+        trim()
+        return out
+
+    return run
+
+
 def held_out(modulus: int, id_col: str = "doc_id"):
     """Whether crc32 of the id's decimal text leaves no remainder; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == 0, F.lit(True))
