@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm.common import chunks, dealt, id_and_text, lean, table, trim, tune, words
 
-K, ADD, BLOCK_BYTES, SPLIT_BYTES = 5, 0.1, 8 << 20, 12 << 20
+K, ADD, BLOCK_BYTES, SPLIT_BYTES = 5, 0.1, 12 << 20, 12 << 20
 #: Splits that a block writes to without a hop between.
 FAN = 1024
 #: A code: a count of up to 21 bits, then a number of 41 bits. No trained word has count 0.
@@ -450,13 +450,13 @@ def answer_bigrams(asks: DataFrame, splits: int, unigrams: Unigrams, cap: int, o
         large = stats[:, 2:].sum(1) == 0  # all counts are over K
         frequent = is_frequent(us, cap)
         p = c = 0
-        for block, u, lengths, _, _ in rows:
+        for block, u, lengths, _, trained in rows:
             mine, of = slice(p, p + int(lengths.sum())), at[c : c + len(u)]
             p, c = mine.stop, c + len(u)
             n = total[pair[mine]]
             unseen = np.bincount(np.repeat(np.arange(len(u)), lengths), n == 0, len(u)) > 0
             need = np.flatnonzero(unseen & ~frequent[of])
-            out.add(block, split, "counts", packed(n), np.packbits(large[of]).tobytes(), rises(need), packed(stats[of[need]].ravel()), rest[of[need]].astype("<f8").tobytes())
+            out.add(block, split, "counts", packed(n - trained), squeezed(np.packbits(large[of]).tobytes()), rises(need), packed(stats[of[need]].ravel()), rest[of[need]].astype("<f8").tobytes())
         first = begins(context)  # keys are in the order of context, then word
         out.add(-1, split, "bigrams", code_pile(us[context[first]], ascending=True), packed(np.diff(np.append(first, len(context)))), code_pile(ws[word]), packed(count))
         out.add(-1, split, "sums", packed(np.concatenate([[len(count)], by_count(count)])))
@@ -548,8 +548,8 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
             at, (found, large, need, stats, rest) = k.asked[i:j], answers.pop(s)
             first = begins(k.u[at])
             which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-            count[at] = unpacked(found)
-            absolute[at] |= np.unpackbits(np.frombuffer(large, np.uint8), count=len(first)).astype(bool)[which]
+            count[at] = k.trained[at] + unpacked(found)  # what other blocks have
+            absolute[at] |= np.unpackbits(np.frombuffer(expanded(large), np.uint8), count=len(first)).astype(bool)[which]
             alpha = np.ones(len(first))
             alpha[risen(need)], _ = weights(unpacked(stats).reshape(-1, K + 2), np.frombuffer(rest, "<f8"), discount)
             weight[at] = alpha[which]
