@@ -330,6 +330,32 @@ def test_nearest_neighbours(spark):
     assert ivfpq.search(frame.limit(0)).count() == 0
 
 
+def test_equal_vectors_tie_exactly(spark):
+    """Queries outside groups of equal vectors: the smaller ids come first, whatever the block, in every length."""
+    rng = np.random.default_rng(11)
+    made, ids = [], iter(np.random.default_rng(12).permutation(100_000).tolist())
+    for g in range(40):
+        x = rng.normal(size=24)
+        copies = sorted(i for i in (next(ids) for _ in range(6 + g + g // 3)) if i % 50)
+        made += [(i, x.tolist()) for i in copies]
+        made += [(1_000_000 + 50 * g, (x + rng.normal(size=24) * 0.01).tolist())]
+    made += [(2_000_000, [1.0, 2.0]), (2_000_001, [2.0, 1.0]), (2_000_050, [1.0, 1.0])]
+    got = defaultdict(list)
+    for r in ivfpq.search(spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == sorted(i for i, _ in made if i % 50 == 0)
+    assert {i for _, i, _ in got[2_000_000]} == {2_000_001, 2_000_050}
+    for near in got.values():
+        near.sort()
+        assert [n for n, _, _ in near] == list(range(1, len(near) + 1))
+        assert [(-s, i) for _, i, s in near] == sorted((-s, i) for _, i, s in near)
+    for g in range(40):
+        at = [i for i, _ in made].index(1_000_000 + 50 * g)
+        group = [i for i, x in made if x == made[at - 1][1]]
+        near = got[1_000_000 + 50 * g]
+        assert [i for _, i, _ in near] == sorted(group)[:5] and len({s for _, _, s in near}) == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
