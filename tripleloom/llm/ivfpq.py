@@ -8,8 +8,8 @@ sample: the least that hold LISTS_RECALL and CODES_RECALL of its own nearest nei
 lists that a query sees LEAST_PROBED vectors for each neighbour asked for). So vectors
 in clusters are probed in few lists; nearly isotropic ones, which no index can sort, in many.
 
-Lists that are near each other share a block of about BLOCK_ROWS vectors and a longer list has several
-blocks; a query goes once to each block that holds a list it probes, in groups of about BLOCK_QUERIES.
+Lists that are near each other share a block (a 16th of the vectors, within LEAST_BLOCK and MOST_BLOCK)
+and a longer list has several; a query goes once to each block that holds a list it probes, in groups of about BLOCK_QUERIES.
 So no list and no crowd of equal vectors lands in one task. A task has one block and one group. The
 squared distance of a query q to a code r in the list of centroid c is |q - c|^2 + (|r|^2 + 2 c.r) -
 2 q.r: the second term is the vector's own, the last comes from one asymmetric table a query. The
@@ -38,7 +38,7 @@ from tripleloom.llm.common import lean, table
 
 SUBSPACES, CODES, SAMPLE, SAMPLE_BYTES, MOST_LISTS = 16, 256, 16_384, 32 << 20, 1024
 LISTS_RECALL, CODES_RECALL, ASKED = 0.97, 0.98, 512
-BLOCK_ROWS, BLOCK_QUERIES, LEAST_RERANK, LEAST_PROBED = 8_192, 2_000, 64, 32
+LEAST_BLOCK, MOST_BLOCK, BLOCK_QUERIES, LEAST_RERANK, LEAST_PROBED = 1_024, 20_000, 2_000, 64, 32
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -162,11 +162,11 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def bins_of(sizes: np.ndarray) -> np.ndarray:
-    """The bin of each list: neighbours share one up to BLOCK_ROWS vectors; a longer list has its own."""
+def bins_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bin of each list: neighbours share one up to so many vectors; a longer list has its own."""
     out, held, bin_ = [], 0, 0
     for n in sizes.tolist():
-        if held and held + n > BLOCK_ROWS:
+        if held and held + n > most:
             bin_, held = bin_ + 1, 0
         out.append(bin_)
         held += n
@@ -193,7 +193,8 @@ def _found(good: DataFrame, dim: int, rows: int, k: int, every: int) -> DataFram
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
-    bin_of, least = bins_of(sizes), LEAST_PROBED * k + 1
+    in_block = max(LEAST_BLOCK, min(MOST_BLOCK, rows // 16))  # 16 blocks at least, if they are not too small
+    bin_of, least = bins_of(sizes, in_block), LEAST_PROBED * k + 1
 
     def ask(batches: Iterator[pa.RecordBatch]):
         ix = shared.value
@@ -207,7 +208,7 @@ def _found(good: DataFrame, dim: int, rows: int, k: int, every: int) -> DataFram
     asks = table(indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "vec_id long, v array<double>, bin int"), "asks")
     asked = {r["bin"]: r["count"] for r in asks.groupBy("bin").count().collect()}  # a row a bin, of which there are no more than lists
     held = np.bincount(bin_of, sizes)
-    plan = [(b, max(1, math.ceil(held[b] / BLOCK_ROWS / 1.5)), math.ceil(n / BLOCK_QUERIES)) for b, n in sorted(asked.items()) if held[b]]
+    plan = [(b, max(1, math.ceil(held[b] / in_block / 1.25)), math.ceil(n / BLOCK_QUERIES)) for b, n in sorted(asked.items()) if held[b]]
     plan = F.broadcast(spark.createDataFrame(plan, "bin int, blocks int, groups int"))
     lists = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(bin_of)], "list int, bin int"))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col(n)).cast("int")
