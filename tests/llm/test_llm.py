@@ -134,10 +134,45 @@ def test_simhash(docs, empty):
     kept = simhash.firsts(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({x for x in least.values() if x is not None}) and None in ids
-
-
-@pytest.mark.parametrize(("most_in_trie", "rows_in_task"), [(20_000, 1 << 20), (30, 1 << 20), (20_000, 100), (30, 500)])
+    assert sorted(i for i in ids if i is not None) == sorted(x for x in least.values() if x is not None) and None in ids
+
+
+def test_first_of_each_class_by_row(spark):
+    """Ids that come again with other texts, rows without an id, equal rows, columns named like a helper's."""
+    rng = random.Random(21)
+    a, b, c, d = (text(rng, 120) for _ in range(4))
+    made = [(5, a, 1), (5, b, 2), (7, a, 3), (None, a, 4), (None, c, 5), (None, c, 6), (8, d, 9), (8, d, 8), (8, d, 8), (9, None, 0), (10, "", 0)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, _first int").withColumns({"key": F.lit(1), "fp": F.lit("x"), "label": F.lit(None).cast("string")})
+    for parts in (1, 5):
+        kept = simhash.firsts(frame.repartition(parts))
+        assert kept.columns == frame.columns
+        got = sorted(((r.doc_id, r.text, r._first) for r in kept.collect()), key=str)
+        assert got == sorted([(5, a, 1), (5, b, 2), (None, c, 5), (8, d, 8), (9, None, 0)], key=str)
+    assert simhash.firsts(frame.limit(0)).count() == 0
+
+
+def test_tables_of_all_sizes(spark):
+    """Whatever blocks come first, a table only reorders the bits, and all near pairs meet in one."""
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for n, many in ((10**6, 5), (10**9, 15), (10**11, 35)):
+        tables = simhash.tables_for(n)
+        assert len(tables) == many
+        for t in tables[:: max(1, many // 4)]:
+            assert (t.restored(t.permuted(fp)) == fp).all()
+            got = {r.fp: (r.h, r.c) for r in frame.select("fp", t.bits_of(0, t.bits).alias("h"), t.bits_of(t.bits, t.bits + 8).alias("c")).collect()}
+            for x, y in zip(fp.view(np.int64).tolist(), t.permuted(fp).tolist(), strict=True):
+                assert got[x] == (y >> (64 - t.bits), y >> (56 - t.bits) & 255)
+        for x in fp[:20]:
+            y = int(x)
+            for bit in rng.permutation(64)[:4]:
+                y ^= 1 << int(bit)
+            y = np.array([y], np.uint64)
+            assert any(t.permuted(fp[fp == x])[:1] >> np.uint64(64 - t.bits) == t.permuted(y) >> np.uint64(64 - t.bits) for t in tables)
+
+
+@pytest.mark.parametrize(("most_in_trie", "rows_in_task"), [(20_000, 1 << 20), (30, 1 << 20), (20_000, 100), (30, 500), (31, 500)])
 def test_trie_join(spark, monkeypatch, most_in_trie, rows_in_task):
     monkeypatch.setattr(simhash, "ROWS_IN_TASK", rows_in_task)
     rng = np.random.default_rng(3)
@@ -150,6 +185,8 @@ def test_trie_join(spark, monkeypatch, most_in_trie, rows_in_task):
             fps.add(x)
     fps = sorted(fps)
     frame = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    if most_in_trie == 31:  # tables of a much larger input
+        monkeypatch.setattr(simhash, "tables_for", lambda n, most, m, of=simhash.tables_for: of(10**9, most))
     links = simhash.links(frame, most_in_trie=most_in_trie)
     found = {int(np.int64(r.node).view(np.uint64)): int(np.int64(r.label).view(np.uint64)) for r in simhash.components(links).collect()}
     want, got = defaultdict(set), defaultdict(set)

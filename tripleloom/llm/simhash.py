@@ -2,11 +2,14 @@
 
 Fingerprints come from XXH64 (seed 42) of 4-word shingles. Distinct fingerprints alone are joined,
 so exact copies, however many, are one node. Two fingerprints that differ in at most 4 bits agree in
-one of 5 blocks of bits: for each block there is a trie over the fingerprints rotated so that the
-block comes first. Tries are split over the cluster at the block, where a pair's error budget is
-whole, and each is joined with itself: pairs of nodes are walked down together, differing bits add
-up, and a pair is pruned when they exceed the budget. A trie of more than MOST_IN_TRIE fingerprints
-is first split into pairs of its subtrees SPLIT_BITS further down, walked by tasks of their own. A
+one of 5 blocks of bits, in two of 6, in three of 7: for each such choice of blocks there is a trie
+over the fingerprints permuted so that the blocks come first. The more fingerprints there are, the
+more blocks are chosen, so that a trie keeps its size (5 tables up to 10 million distinct ones, 15 up
+to 2.6 billion, then 35). Tries are split over the cluster at those blocks, where a pair's error
+budget is whole, and each is joined with itself: pairs of nodes are walked down together, differing
+bits add up, and a pair is pruned when they exceed the budget. A trie of more than MOST_IN_TRIE
+fingerprints, as a crowd of near copies makes, is first split into pairs of its subtrees SPLIT_BITS
+further down, walked by tasks of their own. A
 task keeps the links it finds as a forest, so that a group of n near copies gives at most n - 1
 links for a task and not all pairs; no fingerprint is cut off from one it is linked with. Components
 come from min-label propagation with pointer jumping over written tables.
@@ -19,17 +22,18 @@ gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripleloom.llm.common import batch, chunks, dealt, id_and_text, table, words
 
-SEED, SHINGLE, MOST_BITS, BLOCKS = 42, 4, 4, 5
+SEED, SHINGLE, MOST_BITS, SALTS = 42, 4, 4, 16
 MOST_IN_TRIE, SPLIT_BITS, FRONTIER = 20_000, 8, 1 << 20
 #: Rows of a task on average: what a task gathers stays this size however many fingerprints there are.
 ROWS_IN_TASK = 1 << 20
@@ -61,12 +65,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def edges_of_blocks(blocks: int = BLOCKS) -> list[int]:
-    return [round(64 * k / blocks) for k in range(blocks + 1)]
-
-
-def rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
+class Table:
+    """One way to put `ahead` of the blocks of bits first: pieces (from, to) of a fingerprint, highest bit 0, in the order of the trie."""
+
+    def __init__(self, ahead: tuple[int, ...], blocks: int):
+        edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+        piece = list(zip(edges[:-1], edges[1:], strict=True))
+        self.first = [piece[k] for k in ahead]
+        self.pieces = self.first + [p for k, p in enumerate(piece) if k not in ahead]
+        self.bits = sum(b - a for a, b in self.first)
+
+    def permuted(self, fp: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(fp)
+        for a, b in self.pieces:
+            out = (out << np.uint64(b - a)) | ((fp >> np.uint64(64 - b)) & np.uint64((1 << (b - a)) - 1))
+        return out
+
+    def restored(self, value: np.ndarray) -> np.ndarray:
+        out, left = np.zeros_like(value), 64
+        for a, b in self.pieces:
+            left -= b - a
+            out |= ((value >> np.uint64(left)) & np.uint64((1 << (b - a)) - 1)) << np.uint64(64 - b)
+        return out
+
+    def bits_of(self, begin: int, end: int):
+        """The trie's bits from begin to end, as a column over fp."""
+        at, out = 0, F.lit(0).cast("long")
+        for a, b in self.pieces:
+            lo, hi = max(begin, at), min(end, at + b - a)
+            if lo < hi:
+                x, y = a + lo - at, a + hi - at
+                part = F.shiftrightunsigned("fp", 64 - y).bitwiseAND(F.lit((1 << (y - x)) - 1).cast("long"))
+                out = F.shiftleft(out, y - x).bitwiseOR(part)
+            at += b - a
+        return out
+
+
+def tables_for(n: int, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRIE) -> list[Table]:
+    """The fewest tables whose tries hold a 16th of most_in_trie fingerprints on average.
+
+    Of most + k blocks, two fingerprints that differ in `most` bits agree in k: each choice of k is a table.
+    """
+    for k in range(1, 5):
+        found = [Table(c, most + k) for c in combinations(range(most + k), k)]
+        if n <= most_in_trie / 16 * 2.0 ** min(t.bits for t in found):
+            break
+    return found
 
 
 class Forest:
@@ -143,27 +187,27 @@ def _links(fp: np.ndarray, forest: Forest):
     return batch(LINKS, fp[far].view(np.int64), fp[forest.label[far]].view(np.int64))
 
 
-def _join_tries(width: list[int], most: int):
-    """For a task's rows (block, fp): the self-joins of all tries that the task holds."""
+def _join_tries(tables: list[Table], most: int):
+    """For a task's rows (block, fp): the self-joins of all tries that the task holds. A block is a table's number."""
 
     def run(batches):
         if (got := _gathered(batches, ["block", "fp"])) is None:
             return
         block, fp = got["block"].to_numpy(), got["fp"].to_numpy().view(np.uint64)
         for k in np.unique(block):
-            value = np.unique(rotated(fp[block == k], width[k]))
-            head = value >> np.uint64(64 - (width[k + 1] - width[k]))
+            value, bits = np.unique(tables[k].permuted(fp[block == k])), tables[k].bits
+            head = value >> np.uint64(64 - bits)
             at = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
             to = np.append(at[1:], len(value))
             roots = np.stack([at, to, at, to, np.zeros(len(at), np.int64)], 1)[to - at > 1]
             forest = Forest(len(value))
-            walk(value, roots, int(width[k + 1] - width[k]), most, forest)
-            yield _links(rotated(value, (64 - width[k]) % 64), forest)
+            walk(value, roots, bits, most, forest)
+            yield _links(tables[k].restored(value), forest)
 
     return run
 
 
-def _join_subtrees(width: list[int], most: int):
+def _join_subtrees(tables: list[Table], most: int):
     """For a task's rows (block, x, y, child, fp): the joins of subtrees x and y of one trie each."""
 
     def run(batches):
@@ -174,8 +218,7 @@ def _join_subtrees(width: list[int], most: int):
         fp = rows["fp"].to_numpy().view(np.uint64)
         for k in np.unique(block):
             mine = block == k
-            value, part, a, b = rotated(fp[mine], width[k]), child[mine], x[mine], y[mine]
-            bits = int(width[k + 1] - width[k])
+            value, part, a, b, bits = tables[k].permuted(fp[mine]), child[mine], x[mine], y[mine], tables[k].bits
             head = value >> np.uint64(64 - bits)
             order = np.lexsort((value, b, a, head))
             value, part, a, b, head = value[order], part[order], a[order], b[order], head[order]
@@ -191,28 +234,29 @@ def _join_subtrees(width: list[int], most: int):
             forest = Forest(len(value))
             if pairs:
                 walk(value, np.array(pairs), bits + SPLIT_BITS, most, forest)
-            yield _links(rotated(value, (64 - width[k]) % 64), forest)
+            yield _links(tables[k].restored(value), forest)
 
     return run
 
 
 def links(fps: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRIE) -> DataFrame:
     """a, b: links that connect what is connected by pairs of at most `most` differing bits. fps: distinct fp."""
-    width = edges_of_blocks(most + 1)
-    head = lambda k: F.expr(f"shiftrightunsigned({f'shiftleft(fp, {width[k]})' if width[k] else 'fp'}, {64 - (width[k + 1] - width[k])})")
-    rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), head(k).alias("head")) for k in range(most + 1)))).alias("t")).select("t.block", "t.head", "fp")
+    n = fps.count()
+    tables = tables_for(n, most, most_in_trie)
+    of_table = [F.struct(F.lit(k).alias("block"), t.bits_of(0, t.bits).alias("head"), t.bits_of(t.bits, t.bits + SPLIT_BITS).alias("child")) for k, t in enumerate(tables)]
+    rows = fps.select("fp", F.explode(F.array(*of_table)).alias("t")).select("t.*", "fp")
     large = table(rows.groupBy("block", "head").count().where(F.col("count") > most_in_trie), "tries")
-    tasks = math.ceil((most + 1) * fps.count() / ROWS_IN_TASK)
+    tasks = math.ceil(len(tables) * n / ROWS_IN_TASK)
+    join_tries = _join_tries(tables, most)
     in_large = large.agg(F.sum("count")).first()[0]
     if not in_large:
-        return dealt(rows, tasks, "block", "head").select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
-    few = dealt(rows.join(large, ["block", "head"], "left_anti"), tasks, "block", "head").select("block", "fp").mapInArrow(_join_tries(width, most), LINKS_DDL)
-    child = F.coalesce(*(F.when(F.col("block") == k, F.expr(f"shiftrightunsigned(shiftleft(fp, {width[k + 1]}), {64 - SPLIT_BITS})" if k < most else f"shiftrightunsigned(fp, {64 - SPLIT_BITS})")) for k in range(most + 1)))
+        return dealt(rows, tasks, "block", "head").select("block", "fp").mapInArrow(join_tries, LINKS_DDL)
+    few = dealt(rows.join(large, ["block", "head"], "left_anti"), tasks, "block", "head").select("block", "fp").mapInArrow(join_tries, LINKS_DDL)
     near = F.expr(f"filter(sequence(0L, {(1 << SPLIT_BITS) - 1}L), c -> bit_count(c ^ child) <= {most})")
-    many = rows.join(large, ["block", "head"], "left_semi").withColumn("child", child).withColumn("other", F.explode(near))
+    many = rows.join(large, ["block", "head"], "left_semi").withColumn("other", F.explode(near))
     many = many.select("block", "head", F.least("child", "other").alias("x"), F.greatest("child", "other").alias("y"), "child", "fp")
     others = sum(math.comb(SPLIT_BITS, d) for d in range(min(most, SPLIT_BITS) + 1))  # subtree pairs of a fingerprint
-    return few.unionByName(dealt(many, math.ceil(in_large * others / ROWS_IN_TASK), "block", "head", "x", "y").select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(width, most), LINKS_DDL))
+    return few.unionByName(dealt(many, math.ceil(in_large * others / ROWS_IN_TASK), "block", "head", "x", "y").select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(tables, most), LINKS_DDL))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -239,24 +283,55 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: links are left after the last round")
 
 
+def _least_of(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """fp, least: the least `first` of each fingerprint's component. found: node, label of linked fingerprints; firsts: fp, first.
+
+    A component can hold a large share of all fingerprints, so the labels are salted in the join.
+    """
+    linked = table(found.join(firsts, F.col("node") == F.col("fp")).select("fp", "label", "first"), "linked")
+    least = linked.groupBy("label").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    mine = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"]).select("fp", "least")
+    alone = firsts.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("least"))
+    return mine.unionByName(alone)
+
+
 def classes(docs: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRIE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id linked with the document."""
     prints = table(fingerprints(docs), "fingerprints")
     firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(table(links(firsts.select("fp"), most, most_in_trie), "links"))
-    labelled = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_print = table(labelled.join(least, "label").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = table(_least_of(found, firsts), "components")
+    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def firsts(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, that are the first of their class; of rows with one doc_id, one stays.
+def firsts(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """The rows, with all their columns, that are the first of their class: one row of each.
 
-    A row without a doc_id cannot be told from another and stays.
+    A row is known by its doc_id and a hash of its text, so rows of one doc_id with different texts are
+    judged each by itself. First is the smallest doc_id (null after all others), then the smallest
+    hash; of rows that agree in both, the one whose other columns come first as JSON stays.
     """
-    found = classes(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    twice = not keep.groupBy("_first").count().where("count > 1").isEmpty()
-    kept = docs.join(keep.distinct() if twice else keep, docs["doc_id"].cast(T.LongType()) == F.col("_first"), "left_semi")
-    return (kept.dropDuplicates(["doc_id"]) if twice else kept).unionByName(docs.where("doc_id is null"))
+    id_, key_, row_ = (f"_{uuid.uuid4().hex}" for _ in range(3))  # names that no input has
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches):
+        for b in chunks(batches, "text"):
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
+            yield batch(schema, b.column("doc_id"), b.column("key"), fp.view(np.int64))
+
+    prints = table(rows.mapInArrow(run, "doc_id long, key long, fp long"), "fingerprints")
+    of_print = table(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "distinct")
+    found = components(table(links(of_print.select("fp"), most), "links"))
+    keep = table(_least_of(found, of_print).select(F.col("least.doc_id").alias(id_), F.col("least.key").alias(key_)).distinct(), "firsts")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(row_) == F.col(key_))
+    kept = docs.select("*", F.xxhash64(text).alias(row_)).join(keep, on, "left_semi")
+    again = prints.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key_))
+    again = table(again.join(keep, (again[id_].eqNullSafe(keep[id_])) & (again[key_] == keep[key_]), "left_semi"), "again")
+    if again.isEmpty():
+        return kept.drop(row_)
+    once = kept.join(again, on, "left_anti").drop(row_)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = kept.join(again, on, "left_semi").groupBy(F.col("doc_id").alias(id_), F.col(row_).alias(key_)).agg(F.min_by(whole, F.to_json(whole)).alias(row_))
+    return once.unionByName(first.select(f"{row_}.*"))
