@@ -239,6 +239,45 @@ def test_weak_labels_are_of_whole_texts(spark, monkeypatch):
     assert sorted(len(at) for at, _ in rows) == sorted(len(weak_quality.features(t.encode(), weak_quality.votes(t.encode()))[0]) for _, t in made)
 
 
+def test_expectation_maximisation_finds_planted_accuracies():
+    rng = np.random.default_rng(3)
+    n, k, good_share = 200_000, 5, 0.8
+    right = np.array([[0.9, 0.7, 0.95, 0.6, 0.8], [0.97, 0.99, 0.9, 0.95, 0.85]])  # on bad, on good
+    good = rng.random(n) < good_share
+    correct = rng.random((n, k)) < right[good.astype(int)]
+    vote = np.where(correct == good[:, None], 1, 0)
+    vote[rng.random((n, k)) < [0.1, 0.3, 0.0, 0.5, 0.2]] = -1
+    codes, counts = np.unique((vote + 1) @ 3 ** np.arange(k), return_counts=True)
+    posterior, share, prior = weak_quality.expectation_maximisation(codes, counts, labellers=k, rounds=1000)
+    assert abs(prior - good_share) < 0.01
+    assert np.abs(share[0, :, 0] - right[0]).max() < 0.03 and np.abs(share[1, :, 1] - right[1]).max() < 0.03
+    # the posterior is Bayes' rule with those accuracies
+    p = [np.prod([1 if v < 0 else a if v == hit else 1 - a for v, a in zip(row, right[hit], strict=True)]) for row in vote[:50] for hit in (0, 1)]
+    want = np.array([good_share * g / (good_share * g + (1 - good_share) * b) for b, g in zip(p[::2], p[1::2], strict=True)])
+    assert np.abs(posterior[(vote[:50] + 1) @ 3 ** np.arange(k)] - want).max() < 0.05
+
+
+def test_weak_labels_on_held_out_junk_of_other_kinds(spark):
+    """Faults that no labeller names: signs of other kinds, shouting, one word over and over, lists of keys."""
+    rng = random.Random(31)
+    kinds = [lambda w: [x + rng.choice(["~~", "^^", "@@@", "=+="]) for x in w], lambda w: [x.upper() for x in w], lambda w: [w[0]] * len(w), lambda w: [y for x in w for y in (x, "/")]]
+    good = [(i, "\n".join(text(rng, rng.randint(20, 90)) + "." for _ in range(rng.randint(2, 6)))) for i in range(400)]
+    bad = [(1000 + i, " ".join(kinds[i % 4](text(rng, 150).split()))) for i in range(80)]
+    got = {r.doc_id: r.kept for r in weak_quality.classify(spark.createDataFrame(good + bad, "doc_id long, text string"), most_sample=200).collect()}
+    assert sum(got[i] for i, _ in good) >= 396 and sum(got[i] for i, _ in bad) <= 8
+
+
+def test_weak_label_sample_is_bounded(spark, monkeypatch):
+    """A repeated id fills neither the driver nor the sample; the fit doesn't depend on the order of rows."""
+    rng, seen = random.Random(9), []
+    made = [(7, text(rng, 60)) for _ in range(30)] + [(8, "same text. " * 20)] * 200 + [(i, text(rng, 50)) for i in range(100, 140)]
+    whole = weak_quality.fit
+    monkeypatch.setattr(weak_quality, "fit", lambda rows, labels: seen.append(len(rows)) or whole(rows, labels))
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    runs = [Counter((r.doc_id, round(r.score, 9)) for r in weak_quality.classify(frame.orderBy(F.rand(k)), most_sample=50).collect()) for k in (1, 2)]
+    assert seen == [50, 50] and runs[0] == runs[1]
+
+
 def test_weak_labels(docs, empty):
     got = weak_quality.classify(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows())

@@ -2,12 +2,18 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Votes are counted by
 pattern (at most 3^labellers patterns, whatever the corpus), and expectation-maximisation estimates
-each labeller's accuracy and the share of good documents from those counts. The posteriors label
-documents for a linear scorer over hashed 4-byte windows, fitted by logistic regression on a bounded
-sample: the MOST_SAMPLE documents of the smallest id hash. Every document is fitted on and scored whole.
+from those counts alone how often each labeller, if it votes, is right on good and on bad documents,
+and the share of good ones; a labeller that votes nothing says nothing. It starts from each pattern's balance of votes, the assumption
+being only that labellers are right more often than wrong. The posteriors label documents for a
+linear scorer over hashed 4-byte windows and votes, fitted by logistic regression on a bounded
+sample: the MOST_SAMPLE distinct documents of the smallest id hash. Every document is fitted on and scored
+whole. Both classes weigh the same in the fit, so a score of THRESHOLD, one half, is the point of
+no preference.
 
 Defined cases: a null or empty text has no windows: it gets the scorer's bias and its posterior, and
-is not kept; repeated rows give repeated rows; an empty table gives no rows.
+is not kept; a very long text is read whole, in time proportional to its length; a score that ties
+with the threshold is kept; repeated rows give repeated rows and are fitted on once; rows without an
+id are not fitted on; an empty table gives no rows. Bytes that aren't UTF-8 are bytes like any other.
 """
 
 from __future__ import annotations
@@ -23,10 +29,14 @@ from tripleloom.llm.common import batch, chunks, id_and_text
 from tripleloom.llm.features import byte_buckets
 from tripleloom.llm.quality_rules import repeated_words
 
-BITS, MOST_SAMPLE, ROUNDS, STEPS, THRESHOLD = 13, 4096, 50, 300, 0.25
-UPPER = re.compile(rb"[A-Z]")
+BITS, MOST_SAMPLE, ROUNDS, STEPS, THRESHOLD = 13, 4096, 100, 300, 0.5
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
-MARKS = b"#*$%&|<>!"
+#: ASCII that is neither letter, digit, white space nor common punctuation.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-")
+#: Two or more signs in a row, but for points, quotes and dashes.
+SIGNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
+ORDINARY = re.compile(rb"[.'\"\-,)(]+")
+WORDLESS = re.compile(rb"(?<!\S)[^\sA-Za-z\x80-\xff]+(?!\S)")
 
 
 def votes(raw: bytes) -> tuple[int, ...]:
@@ -37,11 +47,13 @@ def votes(raw: bytes) -> tuple[int, ...]:
     upper = len(raw) - len(raw.translate(None, LETTERS[:26]))
     marks = (len(raw) - len(raw.translate(None, MARKS))) / size
     lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
-    ended = sum(x[-1:] in b".!?" for x in lines) / max(1, len(lines))
+    ended = sum(x[-1:] in b".!?:\"" for x in lines) / max(1, len(lines))
     length = sum(map(len, words)) / max(1, n)
-    loud = sum(w.endswith((b"!!", b"###", b"&&&", b"***", b"$$$", b"%%%")) for w in words) / max(1, n)
+    signs = sum(not ORDINARY.fullmatch(x) for x in SIGNS.findall(raw)) / max(1, n)
     repeated = repeated_words(words)
     again = 1 - len(set(lines)) / max(1, len(lines))
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n - 1)
+    wordless = len(WORDLESS.findall(raw)) / max(1, n)
     choose = lambda bad, good: 0 if bad else 1 if good else -1
     return (
         choose(n < 3, n >= 50),
@@ -49,42 +61,41 @@ def votes(raw: bytes) -> tuple[int, ...]:
         choose(upper > 0.3 * max(1, letters), upper < 0.1 * letters),
         choose(ended < 0.3, ended >= 0.6),
         choose(length < 2 or length > 15, 3 <= length <= 10),
-        choose(loud > 0.1, loud < 0.01),
+        choose(signs > 0.1, signs < 0.01),
         choose(again > 0.3, again == 0 and len(lines) > 1),
         choose(2 * repeated > max(1, n), n >= 50 and 5 * repeated < n),
-        choose(words.count(b"|") > 0.1 * max(1, n), False),
+        choose(wordless > 0.2, wordless < 0.05),
+        choose(stutter > 0.2, n >= 50 and stutter < 0.02),
     )
 
 
-LABELLERS = 9
+LABELLERS = 10
 
 
 def code(v: tuple[int, ...]) -> int:
     return sum((x + 1) * 3**k for k, x in enumerate(v))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each of the 3^LABELLERS patterns; each labeller's accuracies (good, bad); the share of good."""
-    every = (np.arange(3**LABELLERS)[:, None] // 3 ** np.arange(LABELLERS) % 3) - 1
-    # A labeller looks for one fault: it is rarely wrong on good documents and silent or wrong on most bad ones.
-    first = np.array([[0.995], [0.3]]).repeat(LABELLERS, 1)
-    prior, accuracy = 0.85, first.copy()
-    weight = np.zeros(3**LABELLERS)
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int = LABELLERS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior of good for each of the 3^labellers patterns; the shares of bad and of good votes of each labeller on documents of each class (bad, good); the share of good."""
+    every = np.arange(3**labellers)[:, None] // 3 ** np.arange(labellers) % 3
+    good, bad = (every == 2).sum(1), (every == 1).sum(1)
+    posterior = np.clip((good + 1) / (good + 2 * bad + 2), 0.01, 0.99)  # a labeller looks for one fault, so its bad vote says more
+    weight = np.zeros(3**labellers)
     weight[patterns] = counts
-    trust = 0.01 * weight.sum() + 5
-    posterior = np.full(3**LABELLERS, prior)
+    prior, share, voted = 0.5, np.full((2, labellers, 2), 1 / 2), every > 0
     for _ in range(rounds):
-        right = np.log(accuracy), np.log1p(-accuracy)
-        good = np.log(prior) + (every == 1) @ right[0][0] + (every == 0) @ right[1][0]
-        bad = np.log1p(-prior) + (every == 0) @ right[0][1] + (every == 1) @ right[1][1]
-        posterior = 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
-        for k, (p, hit) in enumerate(((posterior, 1), (1 - posterior, 0))):
+        for k, p in enumerate((1 - posterior, posterior)):
             mass = weight * p
-            accuracy[k] = ((mass @ (every == hit)) + trust * first[k]) / ((mass @ (every >= 0)) + trust)
-        accuracy[1] = np.maximum(accuracy[1], 2 * (1 - accuracy[0]))  # a bad vote is likelier on a bad document
-        accuracy = np.clip(accuracy, 0.01, 0.9999)
-        prior = float(np.clip((weight @ posterior + 1) / (weight.sum() + 2), 0.01, 0.99))
-    return posterior, accuracy, prior
+            share[k] = np.stack([mass @ (every == vote) for vote in (1, 2)], 1) + 1
+            share[k] /= share[k].sum(1, keepdims=True)
+        prior = float((weight @ posterior + 1) / (weight.sum() + 2))
+        rows = (np.log(share)[:, np.arange(labellers), every - 1] * voted).sum(2)
+        new = 1 / (1 + np.exp(np.clip(np.log1p(-prior) + rows[0] - np.log(prior) - rows[1], -500, 500)))
+        done, posterior = np.abs(new - posterior).max() < 1e-6, new
+        if done:
+            break
+    return posterior, share, prior
 
 
 SIZE = (1 << BITS) + 3 * LABELLERS
@@ -148,8 +159,10 @@ def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
             yield batch(VECTORS, [k.astype(np.int16).tobytes() for k in at], [k.astype(np.float32).tobytes() for k in x], [float(shared.value[code(y)]) for y in v])
 
     # the sampled texts stay in the executors, whole; their buckets and posteriors come to the driver
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_sample).agg(F.max(F.xxhash64("doc_id")).alias("most"), F.count(F.lit(1)).alias("n")).first()
-    sample = VECTORS.empty_table() if not chosen["n"] else rows.where(F.xxhash64("doc_id") <= chosen["most"]).select("text").mapInArrow(vectors, "at binary, x binary, label double").limit(2 * most_sample).toArrow()
+    keyed = rows.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    chosen = keyed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(most_sample)
+    found = keyed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "key"])
+    sample = found.select("text").mapInArrow(vectors, "at binary, x binary, label double").toArrow()
     sample = sample.sort_by([("label", "ascending"), ("at", "ascending"), ("x", "ascending")])
     w, bias = fit([(np.frombuffer(at, np.int16), np.frombuffer(x, np.float32)) for at, x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)], sample["label"].to_numpy())
     model = spark.sparkContext.broadcast((w, bias, posterior))
