@@ -300,6 +300,53 @@ def test_language_id(spark, docs, empty):
     assert langid.keep(docs).columns == docs.columns
 
 
+def test_language_id_equals_plain_naive_bayes(spark, monkeypatch):
+    """Scores against a loop over n-grams; ties to the smaller name; more languages than a task holds."""
+    monkeypatch.setattr(langid, "LANGS_IN_TASK", 2)
+    rng = random.Random(14)
+    alphabet = {"aa": "abcdé", "bb": "cdefΣ", "cc": "xyzàb", "dd": "pqr字s"}
+    made = [(i, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 25))), lang) for i, lang in enumerate(list(alphabet) * 30)]
+    made += [(900, None, "aa"), (901, "", "bb"), (902, "12 34", "cc"), (903, "a", None), (None, "xyz", "dd"), (904, "Σ", "bb")]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+
+    def buckets(t):
+        for n, mult in ((1, 1), (2, 2), (3, 3)):
+            for k in range(len(t) - n + 1):
+                x = ord(t[k]) * langid_multipliers[0] % 2**32
+                for j in range(1, n):
+                    x ^= x >> 13
+                    x = (x + ord(t[k + j])) % 2**32 * langid_multipliers[j % 4] % 2**32
+                x ^= x >> 15
+                yield (x * langid_multipliers[mult % 4] % 2**32) >> 17
+
+    from tripleloom.llm.features import MULTIPLIERS as langid_multipliers
+
+    seen, counts = Counter(), defaultdict(Counter)
+    for i, t, lang in made:
+        if not held(i) and t is not None and lang is not None:
+            seen[lang] += 1
+            counts[lang].update(buckets(t.lower()))
+    want = Counter()
+    for i, t, _ in made:
+        if not t or not any(c.isalpha() for c in t):
+            want[(i, "und", 0.0)] += 1
+            continue
+        grams = Counter(buckets(t.lower()))
+        joint = {}
+        for lang in seen:
+            total = sum(counts[lang].values()) + 0.5 * 2**15
+            joint[lang] = math.log(seen[lang] / sum(seen.values())) + sum(n * math.log((counts[lang][b] + 0.5) / total) for b, n in grams.items())
+        best = min(joint, key=lambda x: (-joint[x], x))
+        want[(i, best, round(1 / sum(math.exp(v - joint[best]) for v in joint.values()), 6))] += 1
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.identify(frame).collect()) == want
+    tied = spark.createDataFrame([(i, "same words here", lang) for i in range(1, 40) for lang in ("yy", "xx")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 9)) for r in langid.identify(tied).collect()} == {("xx", 0.5)}
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(frame)
+
+
 def test_language_stage_rejects_unlearned_languages(spark):
     import corpus_pipeline
 

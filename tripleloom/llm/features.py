@@ -23,19 +23,24 @@ def byte_buckets(raw: bytes, bits: int, n: int = 4) -> np.ndarray:
     return x >> np.uint32(32 - bits)
 
 
-def char_buckets(text: str, bits: int, sizes: tuple[int, ...]) -> np.ndarray:
-    """Buckets of the windows of so many code points, all sizes one after the other."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def char_batch(texts: list[str], bits: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size: the buckets of the windows of all texts, one text after the other, and how many each text has.
+
+    They are the rows of a sparse matrix; no window spans two texts.
+    """
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(a))  # code points from here to the text's end
     out = []
     for n in sizes:
-        m = len(a) - n + 1
-        if m > 0:
-            x = a[:m] * np.uint32(MULTIPLIERS[0])
-            for k in range(1, n):
-                x ^= x >> np.uint32(13)
-                x += a[k : k + m]
-                x *= np.uint32(MULTIPLIERS[k % 4])
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(MULTIPLIERS[n % 4])
-            out.append(x >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+        m = max(0, len(a) - n + 1)
+        x = a[:m] * np.uint32(MULTIPLIERS[0])
+        for k in range(1, n):
+            x ^= x >> np.uint32(13)
+            x += a[k : k + m]
+            x *= np.uint32(MULTIPLIERS[k % 4])
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(MULTIPLIERS[n % 4])
+        x >>= np.uint32(32 - bits)
+        out.append((x[left[:m] >= n], np.maximum(length - n + 1, 0)))
+    return out
