@@ -91,6 +91,20 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_texts_that_are_no_utf8(spark):
+    """Each operator takes them as if replacement characters stood there."""
+    bad = [(i, bytearray(x)) for i, x in enumerate([b"\xff\xfe", b"the \xc3( and \xe2\x82 of " * 30, b"ok " * 60 + b"\xf0\x9f\x98"])]
+    broken = spark.createDataFrame(bad, "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text", "'aa' as lang")
+    whole = spark.createDataFrame([(i, bytes(x).decode(errors="replace"), "aa") for i, x in bad], "doc_id long, text string, lang string")
+    labels, path = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), tokenizer_path("byte_bpe_50k.json")
+    for run in (
+        lambda d: bpe.token_counts(d, path), lambda d: bpe.encode_decode_digests(d, path), lambda d: packing.packed_digests(d, tokenizer_path("word_bpe_49k.json")),
+        lambda d: quality_rules.assess(d, labels), lambda d: quality_rules.keep(d, labels).select("doc_id"), langid.identify, lambda d: langid.keep(d, gain=-99.0).select("doc_id"),
+        simhash.classes, lambda d: simhash.firsts(d).select("doc_id"), katz.score, weak_quality.classify,
+    ):
+        assert sorted(map(str, run(broken).collect())) == sorted(map(str, run(whole).collect()))
+
+
 def test_pack_lengths_at_random():
     rng = random.Random(2)
     for _ in range(200):
@@ -214,6 +228,44 @@ def test_quality_rules(spark, docs, empty):
     assert keep.columns == docs.columns and Counter(r.doc_id for r in keep.collect()) == Counter(i for i, r in got.items() if r.kept)
 
 
+def test_log_ratio_equals_plain_sums(spark):
+    """llr and kept of every document against a loop over windows; texts that are no UTF-8; a tie with the threshold."""
+    from tripleloom.llm.features import MULTIPLIERS
+
+    def windows(raw):
+        raw = raw.ljust(4) if raw else b""
+        for k in range(len(raw) - 3):
+            x = int.from_bytes(raw[k : k + 4], "little") * MULTIPLIERS[0] % 2**32
+            x ^= x >> 15
+            yield (x * MULTIPLIERS[1] % 2**32) >> 16
+
+    rng = random.Random(17)
+    made = [(i, text(rng, rng.randint(40, 90)).encode()) for i in range(60)]
+    made += [(100 + i, " ".join(rng.choice(["zq#", "xx%", "&&"]) + str(rng.randint(0, 999)) for _ in range(60)).encode()) for i in range(10)]
+    made += [(200, b""), (201, None), (202, b"ab"), (203, b"\xff\xfe broken \xc3 bytes " * 3 + text(rng, 60).encode()), (3, made[3][1])]
+    given, made = made, [(i, t and t.decode(errors="replace").encode()) for i, t in made]
+    good = {i for i in range(0, 40)} | {203}
+    raw, trusted = Counter(), Counter()
+    for i, t in made:
+        n = Counter(windows(t or b""))
+        raw.update(n)
+        trusted.update(n if i in good else {})
+    p_raw = lambda b: (raw[b] + 1) / (sum(raw.values()) + 2**16)
+    ratio = {b: math.log((trusted[b] + 2**16 * p_raw(b)) / (sum(trusted.values()) + 2**16) / p_raw(b)) for b in raw}
+    want = Counter()
+    for i, t in made:
+        n = Counter(windows(t or b""))
+        llr = sum(ratio[b] * c for b, c in n.items()) / sum(n.values()) if n else 0.0
+        want[(i, round(llr, 9))] += 1
+    frame = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in given], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(101, 0, 0), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.assess(frame, labels).collect()
+    assert Counter((r.doc_id, round(r.llr, 9)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD) for r in got)
+    cut = sorted(r.llr for r in got if not r.base_failed)[7]
+    assert {r.doc_id for r in quality_rules.assess(frame, labels, cut).where("kept").collect()} == {r.doc_id for r in got if not r.base_failed and r.llr >= cut}
+
+
 def test_quality_and_weak_labels_on_held_out_junk(spark):
     rng = random.Random(8)
     good = [(i, text(rng, 600) + ".", 1) for i in range(150)]
@@ -429,6 +481,12 @@ def test_written_shards_of_a_hot_key_fit(spark, tmp_path):
     for f, t in zip(got.f, got.text, strict=True):
         size[f.rsplit("/", 1)[0]] += len((t or "").encode())
     assert len(size) >= 20 and max(size.values()) <= 1000
+    clash = frame.withColumns({"_SHARD": F.lit(1), "_page": F.lit("p"), "key": F.lit(2), "shard": F.lit(3), "_row": F.lit(4), "page": F.lit(5)})
+    names = sharding.write_shards(clash, str(tmp_path / "clash"), 1 << 30, "source")
+    assert names == ("__shard", "__page")
+    got = spark.read.parquet(str(tmp_path / "clash"))
+    assert got.columns == [*clash.columns, *names] and [tuple(r) for r in got.select(*names).distinct().collect()] == [("b", 0)]
+    assert got.count() == 600 and got.where("_SHARD = 1 and _page = 'p' and key = 2 and shard = 3 and _row = 4 and page = 5").count() == 600
 
 
 def test_nearest_neighbours(spark):
@@ -488,8 +546,23 @@ def test_pipeline(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in made], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert ids == set(range(60)) | {100}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(range(60)) | {100}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    tokens = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t, _ in made if i in range(60) or i == 100}
+    spans, used = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert p.doc_tokens == len(tokens[p.doc_id]) and p.ids_crc32 == zlib.crc32(tokens[p.doc_id][p.start : p.start + p.length].tobytes())
+        spans[p.doc_id].append((p.start, p.start + p.length))
+        used[p.sequence_id].append((p.offset, p.offset + p.length))
+    for of in (spans, used):  # each id in one piece, each sequence without a gap
+        for ends in of.values():
+            ends.sort()
+            assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert all(spans[i][-1][1] == len(x) for i, x in tokens.items())
+    assert all(ends[-1][1] <= 4096 and ends[-1][1] & (ends[-1][1] - 1) == 0 for ends in used.values())
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

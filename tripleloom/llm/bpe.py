@@ -5,7 +5,8 @@ strings in a text are their one id, the rest is cut by the pattern and merged pi
 A piece's result is kept in a bounded table of the Python worker, as most pieces come again.
 
 Defined cases: a null or empty text has 0 tokens (the hashes are those of no bytes); a text of one
-endless word costs n log n; repeated rows give repeated rows; an empty table gives no rows.
+endless word costs n log n; pairs of one rank are merged from the left; bytes that aren't UTF-8 become
+replacement characters; repeated rows give repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -26,9 +26,11 @@ def words(raw: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share. Only a local session, as in tests, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return found.rstrip("/")
 
@@ -54,9 +56,19 @@ def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(*keys)
 
 
+def raw_text(text_col: str = "text"):
+    """The text as UTF-8 bytes: a null one is empty, bytes that aren't UTF-8 become replacement characters."""
+    return F.coalesce(F.make_valid_utf8(F.col(text_col).cast("string")).cast("binary"), F.lit(b""))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text as UTF-8 bytes; a null text is empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    """doc_id and raw_text()."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw_text(text_col).alias("text"))
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    """An Arrow column of texts; bytes that aren't UTF-8 become replacement characters."""
+    return [None if t is None else t.decode(errors="replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -64,7 +76,8 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def chunks(batches, column: str, most_bytes: int = 16 << 20):
-    """Arrow batches cut so that one holds at most about most_bytes of a column (or one row)."""
+    """Arrow batches cut so that one holds at most about most_bytes of a column (or one row); the worker's free memory goes back at the end."""
+    tune()
     for b in batches:
         at, size, sizes = 0, 0, [n or 0 for n in pc.binary_length(b.column(column)).to_pylist()] if b.nbytes > most_bytes else []
         for i, n in enumerate(sizes):
@@ -74,6 +87,7 @@ def chunks(batches, column: str, most_bytes: int = 16 << 20):
             size += n
         if at < b.num_rows:
             yield b.slice(at)
+    trim()
 
 
 def _libc():

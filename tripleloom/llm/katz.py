@@ -24,8 +24,8 @@ The first word's context is the start of the text.
 
 Defined cases: a null or empty text is its end token alone; without any training text the only word
 is the unknown one, with probability 1; repeated rows count as often as they come; a text longer
-than a block is a block by itself; bytes that aren't UTF-8 are parts of words like any other; an
-empty table gives no rows. Ties cannot arise: words of one count are numbered by their bytes.
+than a block is a block by itself; bytes that aren't UTF-8 become replacement characters; an empty
+table gives no rows. Ties cannot arise: words of one count are numbered by their bytes.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import chunks, dealt, id_and_text, lean, table, trim, tune, words
+from tripleloom.llm.common import chunks, dealt, id_and_text, lean, table, words
 
 K, ADD, BLOCK_BYTES, SPLIT_BYTES = 5, 0.1, 12 << 20, 12 << 20
 #: Splits that a block writes to without a hop between.
@@ -355,7 +355,6 @@ def blocks_of(docs: DataFrame, splits: int, modulus: int, id_col: str, text_col:
     rows = id_and_text(docs, id_col, text_col)
 
     def run(batches):
-        tune()
         block = TaskContext.get().partitionId() << 32
         ids, train, texts, size = [], [], [], 0
         for b in chunks(batches, "text", BLOCK_BYTES):
@@ -369,7 +368,6 @@ def blocks_of(docs: DataFrame, splits: int, modulus: int, id_col: str, text_col:
                     block, ids, train, texts, size = block + 1, [], [], [], 0
         if ids:
             yield from block_rows(block, splits, ids, train, texts).to_batches()
-        trim()
 
     return table(rows.mapInArrow(run, DDL), "blocks", AS_IT_IS)
 

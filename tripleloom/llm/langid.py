@@ -10,7 +10,7 @@ entry takes its log-probability by language, and sums run over the rows.
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if
 nothing can be learnt; languages that tie go to the smaller name; a very long text is a batch by
 itself and scored whole; repeated rows count as often as they come and get the same prediction each;
-an empty table gives no rows.
+bytes that aren't UTF-8 become replacement characters; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import batch, chunks, held_out
+from tripleloom.llm.common import batch, chunks, held_out, texts_of
 from tripleloom.llm.features import char_batch
 
 BITS, SIZES, ADD, BATCH_BYTES = 15, (1, 2, 3), 0.5, 1 << 19
@@ -79,7 +79,7 @@ def train(docs: DataFrame) -> LanguageModel:
     def run(batches):
         counts, seen = {}, {}
         for b in chunks(batches, "text", BATCH_BYTES):
-            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+            langs, texts = b.column("lang").to_pylist(), texts_of(b.column("text"))
             for lang in dict.fromkeys(langs):
                 if lang not in counts:
                     if len(counts) >= LANGS_IN_TASK:
@@ -113,7 +113,7 @@ def identify(docs: DataFrame, modulus: int = 5) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches, "text", BATCH_BYTES):
-            lang, score, margin, _ = model.value.judge(b.column("text").to_pylist())
+            lang, score, margin, _ = model.value.judge(texts_of(b.column("text")))
             yield batch(RESULT, b.column("doc_id"), b.column("held_out"), lang, score, margin)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -130,7 +130,7 @@ def keep(docs: DataFrame, least: float = 0.5, modulus: int = 5, gain: float = GA
 
     def run(batches):
         for b in chunks(batches, "text", BATCH_BYTES):
-            lang, score, _, fits = model.value.judge(b.column("text").to_pylist())
+            lang, score, _, fits = model.value.judge(texts_of(b.column("text")))
             yield b.filter(pa.array((np.array(lang) != "und") & (score >= least) & (fits >= gain), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

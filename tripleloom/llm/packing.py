@@ -11,7 +11,8 @@ A window takes its documents from one block of rows of a task, so nothing is shu
 bounds the memory whatever key the rows share. A repeated task gives the same rows again.
 
 Defined cases: a null or empty text is the end id alone; a very long text is many full windows;
-repeated rows are packed as often as they come; an empty table gives no rows.
+repeated rows are packed as often as they come; rests of one length are taken by their place in the
+block; bytes that aren't UTF-8 become replacement characters; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ The raw counts cover every document. The trusted side is every document in a set
 bounded (MOST_TRUSTED ids, those of the smallest hash), so that the ids can be broadcast.
 
 Defined cases: a null or empty text has no words, score 0, and fails the base rules; without any
-trusted document every score is 0; repeated rows count as often as they come.
+trusted document every score is 0; repeated rows count as often as they come; a score that ties with
+the threshold is kept; a very long text is read whole; bytes that aren't UTF-8 become replacement
+characters; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import batch, chunks, id_and_text
+from tripleloom.llm.common import batch, chunks, id_and_text, texts_of
 from tripleloom.llm.features import byte_buckets
 
 BITS, ADD, PRIOR, MOST_TRUSTED, THRESHOLD = 16, 1.0, float(1 << 16), 20_000, -0.5
@@ -124,6 +126,6 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
     def run(batches):
         for b in chunks(batches, "text"):
-            yield b.filter(pa.array([passes(t) for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([passes(t) for t in texts_of(b.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,12 +10,16 @@ from tripleloom.llm import bpe, ivfpq, katz, langid, packing, quality_rules, sha
 from tripleloom.llm.common import tokenizer_path
 
 
+#: Bytes of a shard in the query: small enough that the smallest tables split several times.
+SHARD_BYTES = 64 << 10
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+    return sharding.assign(documents(spark, sf_dir), SHARD_BYTES).withColumnRenamed("key", "doc_id")
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extendible_sharding, op2_katz_backoff, op3_simhash_trie, op4_quality_llr, op5_ivf_pq, op6_token_counts, op7_hierarchical_packing, op8_language_id, op9_weak_label_quality, op10_bpe_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_extendible_sharding, op2_katz_backoff, op3_simhash_trie, op4_quality_llr, op5_ivf_pq,
+        op6_token_counts, op7_hierarchical_packing, op8_language_id, op9_weak_label_quality, op10_bpe_round_trip,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_extendible_sharding": f"""
@@ -69,7 +79,7 @@ ORACLE_SQL: dict[str, str] = {
         first AS (
           SELECT l.doc_id, min(l.d) AS depth
           FROM levels l JOIN buckets b USING (d, prefix)
-          WHERE b.bucket_bytes <= {sharding.LIMIT} OR b.bucket_rows = 1 GROUP BY l.doc_id)
+          WHERE b.bucket_bytes <= {SHARD_BYTES} OR b.bucket_rows = 1 GROUP BY l.doc_id)
         SELECT f.doc_id,
                CASE WHEN f.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 64, '0'), f.depth) END AS shard,
                f.depth AS depth, CAST(0 AS BIGINT) AS page, CAST(l.n_bytes AS BIGINT) AS n_bytes,

@@ -8,7 +8,8 @@ rows are dealt to overflow pages, filled in turn by each task, so that a hot key
 task. Every shard fits the limit, but for a single row that is longer by itself.
 
 Defined cases: a null text has 0 bytes; a null key has a hash of its own; repeated rows share a
-bucket; an empty table gives no rows.
+bucket; a text longer than the limit has a shard or page to itself, at most with others that share
+its whole hash; keys cannot tie but by equal hashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,7 +103,18 @@ def assign(docs: DataFrame, limit: int = LIMIT, key_col: str = "doc_id", text_co
     return _assigned(places(docs, key_col, text_col), limit, [])
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents, one folder a shard (and page): each row goes to its own shard and page."""
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key_col: str = "doc_id", text_col: str = "text") -> tuple[str, str]:
+    """Write the documents with all their columns, one folder a shard (and page): each row goes to its own.
+
+    Returns the names of the two folder columns: _shard (b and the bucket's bits) and _page, with
+    further underscores where the input has such columns.
+    """
     rows = _assigned(places(docs, key_col, text_col, F.struct("*").alias("_row")), limit, ["_row"])
-    rows.select("_row.*", F.col("shard").alias("_shard"), F.col("page").alias("_page")).repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+    names = []
+    for name in ("_shard", "_page"):
+        while name.lower() in (c.lower() for c in docs.columns):
+            name = f"_{name}"
+        names.append(name)
+    rows = rows.select("_row.*", F.concat(F.lit("b"), "shard").alias(names[0]), F.col("page").alias(names[1]))
+    rows.repartition(*names).write.partitionBy(*names).parquet(path)
+    return names[0], names[1]

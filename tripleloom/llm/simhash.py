@@ -15,7 +15,7 @@ links for a task and not all pairs; no fingerprint is cut off from one it is lin
 come from min-label propagation with pointer jumping over written tables.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and are linked like any other;
-fewer than 4 words are one shingle; repeated rows share fingerprint and component; an empty table
+fewer than 4 words are one shingle; bytes that aren't UTF-8 become replacement characters; repeated rows share fingerprint and component; an empty table
 gives no rows.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import batch, chunks, dealt, id_and_text, table, words
+from tripleloom.llm.common import batch, chunks, dealt, id_and_text, raw_text, table, words
 
 SEED, SHINGLE, MOST_BITS, SALTS = 42, 4, 4, 16
 MOST_IN_TRIE, SPLIT_BITS, FRONTIER = 20_000, 8, 1 << 20
@@ -312,7 +312,7 @@ def firsts(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     hash; of rows that agree in both, the one whose other columns come first as JSON stays.
     """
     id_, key_, row_ = (f"_{uuid.uuid4().hex}" for _ in range(3))  # names that no input has
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    text = raw_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
