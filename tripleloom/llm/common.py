@@ -101,8 +101,8 @@ def tune() -> None:
     """Have a Python worker give large arrays back to the system as soon as they are freed."""
     libc = _libc()
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would otherwise grow
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, which would otherwise grow
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
 
 
 def trim() -> None:
