@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session, as in tests, may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the folder that the session shares."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{found.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

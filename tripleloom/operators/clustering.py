@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.checkpoint import checkpoint
-from tripleloom.functions.expressions import dot
+from tripleloom.functions.expressions import dot, l2_normalise
 from tripleloom.operators.alignment import SIGNATURE, VIEWS, embed_views, view_texts
 
 #: Defaults: similarity floor, percentile of the graph split, merge threshold of singletons.
@@ -67,7 +67,7 @@ def components(nodes: DataFrame, edges: DataFrame, group: list[str], rounds: int
     label = checkpoint(nodes.select(*group, "node", F.col("node").alias("label")))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "b"), [*group, "b"]).groupBy(*group, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = label.join(near, [*group, "node"], "left").select(*group, "node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        hop = checkpoint(label.join(near, [*group, "node"], "left").select(*group, "node", F.least("label", "near").alias("to"), F.col("label").alias("was")))
         jump = hop.select(*group, F.col("node").alias("to"), F.col("to").alias("then"))
         new = checkpoint(hop.join(jump, [*group, "to"], "left").select(*group, "node", F.coalesce("then", "to").alias("label"), "was"))
         moved = not new.where("label != was").isEmpty()
@@ -104,6 +104,25 @@ def quality(members: DataFrame, label: str = "relation", emb: str = "relation_em
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_items"), F.count(F.lit(1)).alias("total_clusters"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_cluster_size"), F.round(F.coalesce(F.avg("mean_sim"), F.lit(0.0)), 6).alias("avg_within_cluster_similarity"))
 
 
+def report(members: DataFrame, label: str = "relation", emb: str = "relation_emb", threshold: float = 0.65) -> DataFrame:
+    """cluster_id, n, n_relations, mean_sim, min_sim, max_sim, components.
+
+    Similarities are cosines mapped to [0, 1], null for one row alone; components are those of rows that
+    are linked with another at the threshold or above, 0 where none is.
+    """
+    unit = members.select("cluster_id", label, l2_normalise(emb).alias(emb))
+    value = (F.greatest(F.least("sim", F.lit(1.0)), F.lit(-1.0)) + 1) / 2
+    pairs = checkpoint(label_pairs(unit, ["cluster_id"], label, emb).where("pairs > 0").withColumn("sim", value))
+    mean = F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")
+    sims = pairs.groupBy("cluster_id").agg(mean.alias("mean_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
+    edges = pairs.where(F.col("sim") >= threshold)
+    nodes = edges.select("cluster_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = components(nodes, edges, ["cluster_id"]).groupBy("cluster_id").agg(F.count_distinct("label").alias("components"))
+    sizes = members.groupBy("cluster_id", label).agg(F.count(F.lit(1)).alias("c")).groupBy("cluster_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_relations"))
+    found = sizes.join(sims, "cluster_id", "left").join(parts, "cluster_id", "left")
+    return found.select("cluster_id", "n", "n_relations", "mean_sim", "min_sim", "max_sim", F.coalesce("components", F.lit(0)).cast("long").alias("components"))
+
+
 def top_labels(members: DataFrame, k: int = 5) -> DataFrame:
     """The k most frequent relations of each cluster."""
     rows = members.groupBy("cluster_id", "relation").agg(F.count(F.lit(1)).alias("n"))
@@ -118,12 +137,15 @@ def summary(members: DataFrame) -> DataFrame:
 
 def merge_singletons_once(members: DataFrame, label: str = "relation", emb: str = "relation_emb", threshold: float = MERGE) -> DataFrame:
     """idx, target of the singletons whose best mean similarity to a large cluster is over the threshold, in one pass."""
-    size = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cluster_id")))
-    large = size.where("_n > 1").groupBy("cluster_id", label).agg(F.count(F.lit(1)).alias("c"), F.first(emb).alias("v"))
-    alone = size.where("_n = 1")
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    # a singleton's mean similarity to a cluster is its product with the cluster's mean, so a cluster is one row
+    large = members.join(sizes.where("_n > 1").select("cluster_id"), "cluster_id", "left_semi")
+    mean = large.select("cluster_id", F.posexplode(emb).alias("p", "x")).groupBy("cluster_id", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = mean.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("v"))
+    alone = members.join(sizes.where("_n = 1").select("cluster_id"), "cluster_id", "left_semi")
     # a singleton's label decides its target, so labels are compared, each once
     names = alone.groupBy(F.col(label).alias("name")).agg(F.first(emb).alias("u"))
-    scored = names.crossJoin(large).groupBy("name", "cluster_id").agg((F.sum(F.round(dot("u", "v"), 9) * F.col("c")) / F.sum("c")).alias("score"))
+    scored = names.crossJoin(mean).select("name", "cluster_id", dot("u", "v").alias("score"))  # labels x clusters, by definition
     best = scored.groupBy("name").agg(F.max_by(F.struct("cluster_id", "score"), F.struct(F.round("score", 9), -F.col("cluster_id"))).alias("b"))
     best = best.where(F.col("b.score") > threshold).select("name", F.col("b.cluster_id").alias("target"))
     return alone.join(best, F.col(label) == F.col("name")).select("idx", "target")
@@ -336,6 +358,19 @@ def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: boo
     return connected(votes >= percentile(votes[i, j][pairs > 0], pairs[pairs > 0], 0.75))
 
 
+def mean_similarity(views: dict[str, list], names) -> np.ndarray:
+    """Mean of the views' products, divided by its diagonal's root and mapped to [0, 1]. A missing vector counts 0."""
+    n = len(next(iter(views.values())))
+    mean = np.zeros((n, n))
+    for name in names:
+        have = np.array([x is not None for x in views[name]])
+        if have.any():
+            x = np.stack([np.asarray(x, float) for x in views[name] if x is not None])
+            mean[np.ix_(have, have)] += x @ x.T / len(names)
+    size = np.sqrt(np.maximum(np.diag(mean), 1e-6))
+    return (np.clip(mean / size[:, None] / size, -1, 1) + 1) / 2
+
+
 def consensus_labels(members: DataFrame, lookup, group: str = "type_sig", label: str = "relation", zero_diagonal: bool = False, runs: int = 3) -> DataFrame:
     """group, label, part: consensus over a group's rows by the mean similarity of the four views.
 
@@ -348,13 +383,10 @@ def consensus_labels(members: DataFrame, lookup, group: str = "type_sig", label:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(label)
-        mean = np.zeros((len(rows), len(rows)))
-        for v in VIEWS:
-            if (have := rows[f"_{v}"].notna().to_numpy()).any():
-                x = np.stack(rows[f"_{v}"][have].to_list())
-                mean[np.ix_(have, have)] += x @ x.T / len(VIEWS)
-        size = np.sqrt(np.maximum(np.diag(mean), 1e-6))
-        sim = (np.clip(mean / size[:, None] / size, -1, 1) + 1) / 2
+        views = {v: rows[f"_{v}"].to_list() for v in VIEWS}
+        sim = mean_similarity(views, VIEWS)
+        if not np.isfinite(sim).all():  # a view is broken: the relation's alone decides
+            sim = np.nan_to_num(mean_similarity(views, ("relation",)), nan=0.5)
         counts = rows["_c"].to_numpy()
         k = eigengap(sim, counts=counts) if counts.sum() > 2 else 1
         return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal, counts=counts), "eigengap_k": k})

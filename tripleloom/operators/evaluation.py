@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,11 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.checkpoint import checkpoint
-from tripleloom.functions.expressions import cosine_distance, euclidean, ratio
+from tripleloom.functions.expressions import euclidean, ratio
 
-UNMAPPED, UNASSIGNED = "NOVEL_UNMAPPED", "UNASSIGNED"
-#: Rows of a block of the silhouette's pairs.
-BLOCK = 4096
+# Fixed value of the metrics' definition: the label of clusters that no class is mapped to.
+UNMAPPED = "NOVEL_UNMAPPED"
+# Fixed value: the type pair of a row whose types are not known.
+UNKNOWN_PAIR = "UNK:UNK"
+#: Rows of a block of pairwise distances; cells of a contingency table that the driver takes.
+BLOCK, MOST_CELLS = 4096, 4_000_000
 
 
 def flat_labels(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -111,12 +112,52 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def collected(table: DataFrame, most: int = MOST_CELLS) -> pd.DataFrame:
+    """A contingency table on the driver; one of more cells is an error before it is a full memory."""
+    rows = table.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"contingency table: more than {most} cells")
+    return rows
+
+
 def _counts(rows: pd.DataFrame) -> tuple[list, list, np.ndarray]:
-    preds, trues = sorted(set(rows["pred"])), sorted(set(rows["true"]))
+    preds, i = np.unique(rows["pred"].to_numpy(), return_inverse=True)
+    trues, j = np.unique(rows["true"].to_numpy(), return_inverse=True)
     n = np.zeros((len(preds), len(trues)))
-    for p, t, k in zip(rows["pred"], rows["true"], rows["n"], strict=True):
-        n[preds.index(p), trues.index(t)] += k
-    return preds, trues, n
+    np.add.at(n, (i, j), rows["n"].to_numpy())
+    return preds.tolist(), trues.tolist(), n
+
+
+_FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """By table, and by Stirling's series where that is exact to the last digits."""
+    x = np.maximum(n, 255).astype(float)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 256, _FACTORIALS[np.minimum(n, 255).astype(int)], series)
+
+
+def expected_mutual_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two random labellings with these cluster sizes; equal sizes are summed once.
+
+    An overlap is hypergeometric; it is summed where it can matter, a dozen deviations around its mean.
+    """
+    total, expected = float(a.sum()), 0.0
+    sizes, often = np.unique(b, return_counts=True)
+    for x, times in zip(*np.unique(a, return_counts=True), strict=True):
+        mean = x * sizes / total
+        reach = 40 + 12 * np.sqrt(mean * (1 - x / total) * (total - sizes) / max(total - 1, 1))
+        low = np.maximum(np.maximum(1, x + sizes - total), np.floor(mean - reach))
+        high = np.minimum(np.minimum(x, sizes), np.ceil(mean + reach))
+        n = np.maximum(high - low + 1, 0).astype(int)
+        at = np.repeat(np.arange(len(sizes)), n)
+        k = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        y, f = sizes[at], log_factorial
+        fixed = f(np.array([x, total - x, total])) @ [1, 1, -1]
+        chance = fixed + (f(sizes) + f(total - sizes))[at] - f(k) - f(x - k) - f(y - k) - f(total - x - y + k)
+        expected += times * float((often[at] * k / total * np.log(total * k / (x * y)) * np.exp(chance)).sum())
+    return expected
 
 
 def adjusted_mutual_information(n: np.ndarray) -> float:
@@ -127,13 +168,7 @@ def adjusted_mutual_information(n: np.ndarray) -> float:
     h = lambda x: float(-(x / total * np.log(x / total)).sum())
     i, j = n.nonzero()
     mi = float((n[i, j] / total * np.log(total * n[i, j] / (a[i] * b[j]))).sum())
-    g, expected = math.lgamma, 0.0
-    for x in a:
-        for y in b:
-            for k in range(int(max(1, x + y - total)), int(min(x, y)) + 1):
-                chance = g(x + 1) + g(y + 1) + g(total - x + 1) + g(total - y + 1) - g(total + 1) - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(total - x - y + k + 1)
-                expected += k / total * math.log(total * k / (x * y)) * math.exp(chance)
-    mean = (h(a) + h(b)) / 2
+    expected, mean = expected_mutual_information(a, b), (h(a) + h(b)) / 2
     return (mi - expected) / (mean - expected) if abs(mean - expected) > 1e-15 else 1.0
 
 
@@ -171,7 +206,7 @@ def stratified(rows: DataFrame, collapse: bool = True) -> dict[str, dict]:
     """Metrics of the three subsets of masks(); one of fewer than 2 rows is left out. Contingency tables alone are collected."""
     out = {}
     for name in ("novel_discovery", "robustness_known", "overall_pipeline"):
-        table = contingency(rows.where(name)).toPandas()
+        table = collected(contingency(rows.where(name)))
         if table["n"].sum() >= 2:
             out[name] = subset_metrics(table, collapse)
     return out
@@ -181,68 +216,121 @@ def flatten_metrics(metrics: dict[str, dict]) -> dict[str, float]:
     return {f"{s}_{k}": v for s, m in metrics.items() for k, v in m.items() if not isinstance(v, dict)}
 
 
-# ---- tightness, without labels ----
+# ---- tightness, without labels; by: columns of groups that are measured apart ----
 
 
-def centroids(rows: DataFrame, label: str, emb: str) -> DataFrame:
-    """label, size, centroid."""
-    mean = rows.select(label, F.posexplode(emb).alias("p", "x")).groupBy(label, "p").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("size"))
-    return mean.groupBy(label).agg(F.max("size").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("centroid"))
+def centroids(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
+    """by, label, size, centroid."""
+    keys = [*(by or []), label]
+    mean = rows.select(*keys, F.posexplode(emb).alias("p", "x")).groupBy(*keys, "p").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("size"))
+    points = F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"])
+    return mean.groupBy(*keys).agg(F.max("size").alias("size"), points.alias("centroid"))
 
 
-def _scatter(rows: DataFrame, label: str, emb: str) -> DataFrame:
-    c = centroids(rows, label, emb)
-    d = euclidean(emb, "centroid")
-    return rows.join(c, label).groupBy(label).agg(F.avg(d).alias("s"), F.sum(d * d).alias("w"), F.first("size").alias("size"), F.first("centroid").alias("centroid"))
+def _scatter(rows: DataFrame, label: str, emb: str, by: list[str]) -> DataFrame:
+    """by, label, size, centroid, s (mean distance to it), w (sum of squared ones)."""
+    keys, d = [*by, label], euclidean(emb, "centroid")
+    found = rows.join(centroids(rows, label, emb, by), keys).groupBy(*keys)
+    return found.agg(F.avg(d).alias("s"), F.sum(d * d).alias("w"), F.first("size").alias("size"), F.first("centroid").alias("centroid"))
 
 
-def _pairs(c: DataFrame, label: str) -> DataFrame:
-    other = c.select(F.col(label).alias("_o"), F.col("s").alias("_s"), F.col("centroid").alias("_c"))
-    return c.join(other, F.col(label) != F.col("_o")).withColumn("d", euclidean("centroid", "_c"))  # centroids, not rows
+def _pairs(c: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Pairs of centroids, not of rows, with their distance."""
+    other = c.select(*by, F.col(label).alias("_o"), F.col("s").alias("_s"), F.col("centroid").alias("_c"))
+    pairs = c.join(other, by) if by else c.crossJoin(other)
+    return pairs.where(F.col(label) != F.col("_o")).withColumn("d", euclidean("centroid", "_c"))
 
 
-def davies_bouldin(rows: DataFrame, label: str, emb: str) -> DataFrame:
-    worst = _pairs(_scatter(rows, label, emb), label).groupBy(label).agg(F.max((F.col("s") + F.col("_s")) / F.col("d")).alias("m"))
-    return worst.agg(F.round(F.avg("m"), 6).alias("davies_bouldin"))
+def davies_bouldin(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
+    """Centroids that coincide count 0, as by definition."""
+    by = by or []
+    worst = _pairs(_scatter(rows, label, emb, by), label, by).groupBy(*by, label).agg(F.max(ratio(F.col("s") + F.col("_s"), "d")).alias("m"))
+    return worst.groupBy(*by).agg(F.round(F.avg("m"), 6).alias("davies_bouldin"))
 
 
-def calinski_harabasz(rows: DataFrame, label: str, emb: str) -> DataFrame:
-    c = _scatter(rows, label, emb)
-    whole = centroids(rows.withColumn("_all", F.lit(1)), "_all", emb).select(F.col("centroid").alias("mean"), F.col("size").alias("n"))
-    one = c.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("size") * F.pow(euclidean("centroid", "mean"), 2)).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    return one.select(F.round(F.when(F.col("w") == 0, 1.0).otherwise((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))), 6).alias("calinski_harabasz"))
+def calinski_harabasz(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    c = _scatter(rows, label, emb, by)
+    whole = centroids(rows.withColumn("_all", F.lit(1)), "_all", emb, by).select(*by, F.col("centroid").alias("mean"), F.col("size").alias("n"))
+    both = c.join(whole, by) if by else c.crossJoin(F.broadcast(whole))  # one row
+    one = both.groupBy(*by).agg(F.sum(F.col("size") * F.pow(euclidean("centroid", "mean"), 2)).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    value = F.when(F.col("w") == 0, 1.0).otherwise(F.try_divide(F.try_divide("b", F.col("k") - 1), F.try_divide("w", F.col("n") - F.col("k"))))
+    return one.select(*by, F.round(value, 6).alias("calinski_harabasz"))
 
 
 def density_separation(rows: DataFrame, label: str, emb: str) -> DataFrame:
-    c = _scatter(rows, label, emb)
-    apart = _pairs(c, label).agg(F.avg("d").alias("apart"))
-    return c.agg(F.avg("s").alias("within")).crossJoin(apart).select(F.round(F.col("within") / (F.col("apart") + 1e-8), 6).alias("density_separation"))
+    c = _scatter(rows, label, emb, [])
+    apart = _pairs(c, label, []).agg(F.avg("d").alias("apart"))
+    return c.agg(F.avg("s").alias("within")).crossJoin(apart).select(F.round(F.col("within") / (F.col("apart") + 1e-8), 6).alias("density_separation"))  # one row each
+
+
+def _pairs_of_blocks(rows: DataFrame, by: list[str], columns: list, most: int) -> DataFrame:
+    """by, p, q, a, b: each pair of blocks of about `most` rows of a group, the columns' rows as arrays.
+
+    Pairs are dealt out by group and block, so a large group's are in many tasks.
+    """
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_blocks"))
+    whole = rows.join(sizes, [rows[c].eqNullSafe(sizes[c]) for c in by]).drop(*(sizes[c] for c in by)) if by else rows.crossJoin(F.broadcast(sizes))  # one row
+    place = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
+    packed = checkpoint(whole.withColumn("p", place).groupBy(*by, "p", "_blocks").agg(F.collect_list(F.struct(*columns)).alias("a")))
+    keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    left = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))).alias("x")
+    right = packed.select(*by, F.col("p").alias("q"), F.col("a").alias("b")).alias("y")
+    return left.join(right, [*keys, F.col("x.q") == F.col("y.q")]).select(*(F.col(f"x.{c}") for c in by), "p", "x.q", "a", "b")
 
 
-def dunn(rows: DataFrame, label: str, emb: str) -> DataFrame:
+def _vectors(cell) -> np.ndarray:
+    x = cell.values.field("x")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+
+
+def diameters(rows: DataFrame, label: str, emb: str, by: list[str] | None = None, most: int = BLOCK) -> DataFrame:
+    """by, wide: the largest cosine distance of two rows of one label, over labels of several rows."""
+    by = by or []
+    keys = [*by, label]
+    pairs = _pairs_of_blocks(rows.where(F.col(emb).isNotNull()), keys, [F.col("vec_id").alias("i"), F.col(emb).alias("x")], most).where("p <= q")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+
+    def run(batches):
+        for b in batches:
+            widest = []
+            for k in range(b.num_rows):
+                x, y = _vectors(b.column("a")[k]), _vectors(b.column("b")[k])
+                x, y = (v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-8) for v in (x, y))
+                same, least = b.column("p")[k].as_py() == b.column("q")[k].as_py(), 2.0
+                for lo in range(0, len(x), 256):
+                    cos = x[lo : lo + 256] @ y.T
+                    if same:  # a row is no pair with itself
+                        cos[np.arange(len(cos)), lo + np.arange(len(cos))] = 2.0
+                    least = min(least, float(cos.min()))
+                widest.append(1 - least if least < 2.0 else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(widest, pa.float64())], [*keys, "wide"])
+
+    return pairs.mapInArrow(run, f"{kinds}, wide double").groupBy(*by).agg(F.max("wide").alias("wide"))
+
+
+def dunn(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
     """Least distance of centroids over the largest cosine distance within a cluster (two measures, by definition)."""
-    near = _pairs(_scatter(rows, label, emb), label).agg(F.min("d").alias("near"))
-    a, b = rows.select(label, F.col("vec_id").alias("i"), F.col(emb).alias("x")), rows.select(label, F.col("vec_id").alias("j"), F.col(emb).alias("y"))
-    wide = a.join(b, label).where("i < j").agg(F.max(cosine_distance("x", "y")).alias("wide"))
-    return near.crossJoin(wide).select(F.round(F.try_divide("near", "wide"), 6).alias("dunn"))
+    by = by or []
+    near = _pairs(_scatter(rows, label, emb, by), label, by).groupBy(*by).agg(F.min("d").alias("near"))
+    wide = diameters(rows, label, emb, by)
+    both = near.join(wide, by) if by else near.crossJoin(wide)  # one row each
+    return both.select(*by, F.round(F.try_divide("near", "wide"), 6).alias("dunn"))
 
 
-def _block_distances(rows: DataFrame, label: str, emb: str, most: int) -> DataFrame:
-    """i, li, lj and the mean distance d of row i to the other rows of lj, from all pairs of blocks of about `most` rows."""
+def _block_distances(rows: DataFrame, by: list[str], label: str, emb: str, most: int) -> DataFrame:
+    """by, i, li, lj and the mean distance d of row i to the other rows of lj, from all pairs of blocks."""
     whole = rows.where(F.col("vec_id").isNotNull() & F.col(emb).isNotNull())
-    blocks = max(1, math.ceil(whole.count() / most))
-    row = F.struct(F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x"))
-    packed = checkpoint(whole.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("p")).agg(F.collect_list(row).alias("a")))
+    pairs = _pairs_of_blocks(whole, by, [F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x")], most)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def unpack(cell):
-        r = cell.values
-        return r.field("i").to_numpy(zero_copy_only=False), r.field("l").to_pylist(), r.field("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(r), -1)
-
     def run(batches):
         for b in batches:
+            kind = b.column("a").type.value_type.field("l").type
             for k in range(b.num_rows):
-                (i, li, x), (j, lj, y) = unpack(b.column("a")[k]), unpack(b.column("b")[k])
+                a, c = b.column("a")[k], b.column("b")[k]
+                i, j = (v.values.field("i").to_numpy(zero_copy_only=False) for v in (a, c))
+                li, lj, x, y = a.values.field("l").to_pylist(), c.values.field("l").to_pylist(), _vectors(a), _vectors(c)
                 names = sorted({n for n in lj if n is not None})
                 at = {n: c for c, n in enumerate(names)}
                 one = np.zeros((len(lj), len(names)))
@@ -250,6 +338,7 @@ def _block_distances(rows: DataFrame, label: str, emb: str, most: int) -> DataFr
                     if n is not None:
                         one[r, at[n]] = 1
                 same, sizes = b.column("p")[k].as_py() == b.column("q")[k].as_py(), (y * y).sum(1)
+                group = [pa.array([b.column(c)[k].as_py()], b.column(c).type) for c in by]
                 for lo in range(0, len(i), 256):
                     u = x[lo : lo + 256]
                     d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + sizes - 2 * u @ y.T, 0))
@@ -260,29 +349,48 @@ def _block_distances(rows: DataFrame, label: str, emb: str, most: int) -> DataFr
                         n -= own @ one
                     total = d @ one
                     r, c = (n > 0).nonzero()
-                    yield pa.RecordBatch.from_pydict({"i": pa.array(i[lo + r]), "li": pa.array([li[lo + z] for z in r], b.column("a").type.value_type.field("l").type), "lj": pa.array([names[z] for z in c], b.column("a").type.value_type.field("l").type), "s": pa.array(total[r, c]), "n": pa.array(n[r, c])})
+                    of = [g.take(pa.array(np.zeros(len(r), np.int64))) for g in group]
+                    yield pa.RecordBatch.from_arrays([*of, pa.array(i[lo + r]), pa.array([li[lo + z] for z in r], kind), pa.array([names[z] for z in c], kind), pa.array(total[r, c]), pa.array(n[r, c])], [*by, "i", "li", "lj", "s", "n"])
 
-    pairs = packed.crossJoin(packed.select(F.col("p").alias("q"), F.col("a").alias("b")))
-    found = pairs.mapInArrow(run, f"i {kinds['vec_id']}, li {kinds[label]}, lj {kinds[label]}, s double, n double")
-    return found.groupBy("i", "li", "lj").agg((F.sum("s") / F.sum("n")).alias("d"))
+    ddl = "".join(f"{c} {kinds[c]}, " for c in by) + f"i {kinds['vec_id']}, li {kinds[label]}, lj {kinds[label]}, s double, n double"
+    return pairs.mapInArrow(run, ddl).groupBy(*by, "i", "li", "lj").agg((F.sum("s") / F.sum("n")).alias("d"))
 
 
 def silhouette(rows: DataFrame, label: str, emb: str, by: list[str] | None = None, most: int = BLOCK) -> DataFrame:
     """Mean over rows of (b - a) / max(a, b); a row alone in its cluster counts 0. The whole table goes by blocks; rows without a vector are left out."""
     by = by or []
-    if by:
-        a, b = rows.select(*by, F.col("vec_id").alias("i"), F.col(label).alias("li"), F.col(emb).alias("x")), rows.select(*by, F.col("vec_id").alias("j"), F.col(label).alias("lj"), F.col(emb).alias("y"))
-        mean = a.join(b, by).where("i != j").groupBy(*by, "i", "li", "lj").agg(F.avg(euclidean("x", "y")).alias("d"))
-    else:
-        mean = _block_distances(rows, label, emb, most)
+    mean = _block_distances(rows, by, label, emb, most)
     row = mean.groupBy(*by, "i", "li").agg(F.min(F.when(F.col("lj") == F.col("li"), F.col("d"))).alias("a"), F.min(F.when(F.col("lj") != F.col("li"), F.col("d"))).alias("b"))
     value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return row.groupBy(*by).agg(F.round(F.avg(value), 6).alias("silhouette")) if by else row.agg(F.round(F.avg(value), 6).alias("silhouette"))
+    return row.groupBy(*by).agg(F.round(F.avg(value), 6).alias("silhouette"))
+
+
+def quality_bundle(rows: DataFrame, label: str, emb: str) -> DataFrame:
+    """silhouette, davies_bouldin, calinski_harabasz, density_separation in one row; all null with one cluster or one a row."""
+    size = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
+    for part in (silhouette(rows, label, emb), davies_bouldin(rows, label, emb), calinski_harabasz(rows, label, emb), density_separation(rows, label, emb)):
+        size = size.crossJoin(part)  # one row each
+    return size.select(*(F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_n")), F.col(c)).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "density_separation")))
 
 
 def type_pair_quality(rows: DataFrame, pair: str, label: str, emb: str) -> DataFrame:
-    """Silhouette by type pair, over labels with several members, for pairs with 3 such rows or more and two labels."""
-    w, p = Window.partitionBy(pair, label), Window.partitionBy(pair)
-    kept = rows.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1")
-    kept = kept.withColumn("_r", F.count(F.lit(1)).over(p)).withColumn("_k", F.size(F.collect_set(label).over(p))).where("_r >= 3 and _k >= 2 and _k < _r")
-    return silhouette(kept, label, emb, [pair])
+    """pair, silhouette, calinski_harabasz, davies_bouldin, dunn, n_samples, n_clusters of the type pairs.
+
+    Labels of one row in a pair are left out, then pairs of fewer than 3 rows; a measure that needs two
+    labels, or rows that share one, is null without. A missing pair is UNK:UNK.
+    """
+    named = rows.withColumn(pair, F.coalesce(F.col(pair), F.lit(UNKNOWN_PAIR)))
+    labels = named.groupBy(pair, label).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = checkpoint(labels.groupBy(pair).agg(F.sum("_n").alias("n_samples"), F.count(F.lit(1)).alias("n_clusters")).where("n_samples >= 3"))
+    kept = checkpoint(named.join(labels.drop("_n"), [pair, label], "left_semi").join(sizes.select(pair), pair, "left_semi").select(pair, label, "vec_id", emb))
+    found = sizes
+    for part in (silhouette, calinski_harabasz, davies_bouldin, dunn):
+        found = found.join(part(kept, label, emb, [pair]), pair, "left")
+    valid = (F.col("n_clusters") > 1) & (F.col("n_clusters") < F.col("n_samples"))
+    return found.select(pair, *(F.when(valid, F.col(c)).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")), "dunn", "n_samples", "n_clusters")
+
+
+def type_pair_summary(quality: DataFrame) -> DataFrame:
+    """Means of the type pairs' measures, over those that have them, and the number of pairs; no row without a pair."""
+    means = [F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("silhouette", "calinski_harabasz", "davies_bouldin", "dunn")]
+    return quality.agg(*means, F.count(F.lit(1)).alias("n_typepairs")).where("n_typepairs > 0")

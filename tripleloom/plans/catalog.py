@@ -280,6 +280,17 @@ def cluster_report_top5(v):
     return K.top_labels(v.unaligned().withColumn("cluster_id", F.col("type_sig"))).select("cluster_id", "relation", "n", "rank")
 
 
+@query
+def cluster_report(v):
+    found = K.report(v.unaligned().withColumn("cluster_id", F.col("type_sig")))
+    return found.select("cluster_id", "n", "n_relations", *(r6(c).alias(c) for c in ("mean_sim", "min_sim", "max_sim")), "components")
+
+
+@query
+def graph_split_default(v):
+    return K.graph_split(v.unaligned(), ["type_sig", "cluster_mode"]).select("idx", "type_sig", "relation", "cluster_id")
+
+
 @query
 def cluster_summary(v):
     return K.summary(v.unaligned().withColumn("cluster_id", F.concat("type_sig", "relation")))
@@ -359,13 +370,13 @@ def ari(v):
 
 @query
 def hungarian_map(v):
-    mapping, accuracy = E.map_clusters(_table(v).toPandas())
+    mapping, accuracy = E.map_clusters(E.collected(_table(v)))
     return v.spark.createDataFrame([(int(k), c, round(accuracy, 6)) for k, c in sorted(mapping.items())], "pred long, true string, accuracy double")
 
 
 @query
 def ami(v):
-    _, _, n = E._counts(_table(v).toPandas())
+    _, _, n = E._counts(E.collected(_table(v)))
     return v.spark.createDataFrame([(round(float(E.adjusted_mutual_information(n)), 6),)], "ami double")
 
 
@@ -406,10 +417,24 @@ def dunn(v):
     return E.dunn(v.vectors(), "label", "embedding")
 
 
+@query
+def quality_bundle(v):
+    return E.quality_bundle(v.vectors(), "label", "embedding")
+
+
+def _type_pairs(v):
+    pair = F.when(F.col("vec_id") % 5 != 4, F.concat(F.lit("p"), F.col("vec_id") % 5))
+    return E.type_pair_quality(v.vectors().withColumn("pair", pair).withColumn("label", F.col("label") % 3), "pair", "label", "embedding")
+
+
 @query
 def typepair_quality(v):
-    rows = v.vectors().withColumn("pair", F.concat(F.lit("p"), F.col("vec_id") % 5)).withColumn("label", F.col("label") % 3)
-    return E.type_pair_quality(rows, "pair", "label", "embedding")
+    return _type_pairs(v)
+
+
+@query
+def typepair_summary(v):
+    return E.type_pair_summary(_type_pairs(v))
 
 
 # ---- validation ----

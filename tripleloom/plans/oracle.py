@@ -117,6 +117,51 @@ cen AS (SELECT label, max(size) AS size, list(m ORDER BY i) AS c FROM dims GROUP
 sca AS (SELECT v.label, avg(list_distance(e, c)) AS s, sum(list_distance(e, c) ** 2) AS w, any_value(size) AS size, any_value(c) AS c FROM v JOIN cen USING (label) GROUP BY 1),
 cp AS (SELECT a.label, a.s AS s1, b.s AS s2, list_distance(a.c, b.c) AS d FROM sca a JOIN sca b ON a.label <> b.label)"""
 
+SILHOUETTE = """,
+d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.e, b.e)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+r AS (SELECT i, min(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM d GROUP BY 1),
+sil AS (SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM r)"""
+
+BUNDLE = """,
+dab AS (SELECT round(avg(x), 6) AS davies_bouldin FROM (SELECT label, max((s1 + s2) / d) AS x FROM cp GROUP BY 1)),
+g AS (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) r(i) GROUP BY 1), gm AS (SELECT list(m ORDER BY i) AS c FROM g),
+cah AS (SELECT round((sum(s.size * list_distance(s.c, gm.c) ** 2) / (count(*) - 1)) / (sum(w) / ((SELECT count(*) FROM v) - count(*))), 6) AS calinski_harabasz FROM sca s, gm),
+den AS (SELECT round((SELECT avg(s) FROM sca) / ((SELECT avg(d) FROM cp) + 1e-8), 6) AS density_separation)"""
+
+TYPE_PAIRS = """,
+h0 AS (SELECT vec_id, CASE WHEN vec_id % 5 <> 4 THEN 'p' || (vec_id % 5) ELSE 'UNK:UNK' END AS pair, label % 3 AS label, e FROM v),
+h AS (SELECT * FROM h0 QUALIFY count(*) OVER (PARTITION BY pair, label) > 1),
+sz AS (SELECT pair, count(*) AS n_samples, count(DISTINCT label) AS n_clusters FROM h GROUP BY 1 HAVING count(*) >= 3),
+d AS (SELECT a.pair, a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.e, b.e)) AS d FROM h a JOIN h b ON a.pair = b.pair AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
+r AS (SELECT pair, i, min(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM d GROUP BY 1, 2),
+sil AS (SELECT pair, avg(coalesce((b - a) / greatest(a, b), 0)) AS x FROM r GROUP BY 1),
+dm AS (SELECT pair, label, i, avg(e[i]) AS m, count(*) AS size FROM h, range(1, 65) q(i) GROUP BY 1, 2, 3),
+ce AS (SELECT pair, label, max(size) AS size, list(m ORDER BY i) AS c FROM dm GROUP BY 1, 2),
+sc AS (SELECT pair, label, avg(list_distance(e, c)) AS s, sum(list_distance(e, c) ** 2) AS w, any_value(size) AS size, any_value(c) AS c FROM h JOIN ce USING (pair, label) GROUP BY 1, 2),
+cq AS (SELECT a.pair, a.label, a.s AS s1, b.s AS s2, list_distance(a.c, b.c) AS d FROM sc a JOIN sc b ON a.pair = b.pair AND a.label <> b.label),
+db AS (SELECT pair, avg(x) AS x FROM (SELECT pair, label, max((s1 + s2) / d) AS x FROM cq GROUP BY 1, 2) GROUP BY 1),
+gm AS (SELECT pair, list(m ORDER BY i) AS g FROM (SELECT pair, i, avg(e[i]) AS m FROM h, range(1, 65) q(i) GROUP BY 1, 2) GROUP BY 1),
+ch AS (SELECT pair, (sum(size * list_distance(c, g) ** 2) / nullif(count(*) - 1, 0)) / (sum(w) / nullif(any_value(n_samples) - count(*), 0)) AS x FROM sc JOIN gm USING (pair) JOIN sz USING (pair) GROUP BY 1),
+wi AS (SELECT a.pair, max(1 - list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8))) AS wide
+       FROM h a JOIN h b ON a.pair = b.pair AND a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1),
+nr AS (SELECT pair, min(d) AS near FROM cq GROUP BY 1),
+tp AS (SELECT pair, CASE WHEN n_clusters > 1 AND n_clusters < n_samples THEN round(sil.x, 6) END AS silhouette, CASE WHEN n_clusters > 1 AND n_clusters < n_samples THEN round(ch.x, 6) END AS calinski_harabasz,
+              CASE WHEN n_clusters > 1 AND n_clusters < n_samples THEN round(db.x, 6) END AS davies_bouldin, round(near / wide, 6) AS dunn, n_samples, n_clusters
+       FROM sz LEFT JOIN sil USING (pair) LEFT JOIN ch USING (pair) LEFT JOIN db USING (pair) LEFT JOIN nr USING (pair) LEFT JOIN wi USING (pair))"""
+
+REPORT = """,
+rel AS (SELECT type_sig, relation, count(*) AS c, any_value(e) AS e FROM un GROUP BY 1, 2),
+rprs AS (SELECT a.type_sig, a.relation AS a, b.relation AS b, CASE WHEN a.relation = b.relation THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END AS pairs,
+                CASE WHEN a.relation = b.relation THEN 1.0::DOUBLE ELSE (greatest(-1, least(1, round(list_cosine_similarity(a.e, b.e), 9))) + 1) / 2 END AS sim
+         FROM rel a JOIN rel b ON a.type_sig = b.type_sig AND a.relation <= b.relation),
+rsim AS (SELECT type_sig, sum(sim * pairs) / sum(pairs) AS mean_sim, min(sim) AS min_sim, max(sim) AS max_sim FROM rprs WHERE pairs > 0 GROUP BY 1),
+redg AS (SELECT * FROM rprs WHERE pairs > 0 AND sim >= 0.65),
+rnode AS (SELECT type_sig, a AS node FROM redg UNION SELECT type_sig, b FROM redg),
+rreach(type_sig, node, other) AS (
+  SELECT type_sig, node, node FROM rnode
+  UNION SELECT r.type_sig, r.node, CASE WHEN g.a = r.other THEN g.b ELSE g.a END FROM rreach r JOIN redg g ON g.type_sig = r.type_sig AND (g.a = r.other OR g.b = r.other)),
+rcomp AS (SELECT type_sig, count(DISTINCT part) AS components FROM (SELECT type_sig, node, min(other) AS part FROM rreach GROUP BY 1, 2) GROUP BY 1)"""
+
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 FUZZY = "coalesce(length({0}) > 0 AND length({1}) > 0 AND (contains(lower(trim({1})), lower(trim({0}))) OR contains(lower(trim({0})), lower(trim({1})))), false)"
 MEANINGFUL = r"coalesce(length({0}) > 2 AND NOT regexp_matches(lower(trim({0})), '^new_relation|^unknown|^relation$|^error|^temp|^none|^null|^\w+_to_\w+$') AND length({0}) - length(replace({0}, '_', '')) <= 2, false)"
@@ -222,6 +267,10 @@ SQL: dict[str, str] = {
     "cluster_quality": k("SELECT sum(n)::BIGINT AS total_items, count(*) AS total_clusters, round(avg(n), 6) AS avg_cluster_size, round(avg(mean_sim), 6) AS avg_within_cluster_similarity FROM csize JOIN csim USING (cluster_id)"),
     "cluster_similarity": k("SELECT cluster_id, n, round(mean_sim, 6) AS mean_sim, round(min_sim, 6) AS min_sim, round(max_sim, 6) AS max_sim FROM csize JOIN csim USING (cluster_id)"),
     "cluster_report_top5": k("""SELECT type_sig AS cluster_id, relation, n, rank::INT AS rank FROM (SELECT type_sig, relation, count(*) AS n, row_number() OVER (PARTITION BY type_sig ORDER BY count(*) DESC, relation) AS rank FROM un GROUP BY 1, 2) WHERE rank <= 5"""),
+    "cluster_report": k(REPORT + """ SELECT type_sig AS cluster_id, sum(c)::BIGINT AS n, count(*) AS n_relations, round(any_value(mean_sim), 6) AS mean_sim,
+        round(any_value(min_sim), 6) AS min_sim, round(any_value(max_sim), 6) AS max_sim, coalesce(any_value(components), 0) AS components
+        FROM rel LEFT JOIN rsim USING (type_sig) LEFT JOIN rcomp USING (type_sig) GROUP BY 1"""),
+    "graph_split_default": k("SELECT idx, type_sig, relation, cluster_id FROM clu").replace("greatest(0.05,", "greatest(0.60,"),
     "cluster_summary": k("""SELECT cluster_mode, sum(n)::BIGINT AS items, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons
         FROM (SELECT cluster_mode, type_sig || relation AS cl, count(*) AS n FROM un GROUP BY 1, 2) GROUP BY 1"""),
     "singleton_merge_onepass": k(""", coded AS (SELECT *, CAST('0x' || substr(md5(type_sig || '/' || relation), 1, 8) AS BIGINT) * 2 + CASE WHEN row_number() OVER (PARTITION BY type_sig, relation ORDER BY idx) = 1 THEN 1 ELSE 0 END AS cid FROM un),
@@ -244,17 +293,17 @@ SQL: dict[str, str] = {
         SELECT round(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) AS ari FROM y"""),
     "metric_flatten": s("""SELECT unnest(['overall_bcubed_precision', 'overall_bcubed_recall', 'overall_bcubed_f1']) AS name, unnest([round(p, 6), round(r, 6), round(2 * p * r / (p + r), 6)]) AS value
         FROM (SELECT sum(n * n / a / t) AS p, sum(n * n / b / t) AS r FROM mar)"""),
-    "silhouette": e(""", h AS (SELECT * FROM v WHERE vec_id % 2 = 0), d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.e, b.e)) AS d FROM h a JOIN h b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
-        r AS (SELECT i, min(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM r"""),
+    "silhouette": e(SILHOUETTE + " SELECT silhouette FROM sil"),
+    "quality_bundle": e(SILHOUETTE + BUNDLE + " SELECT silhouette, davies_bouldin, calinski_harabasz, density_separation FROM sil, dab, cah, den"),
     "davies_bouldin": e("SELECT round(avg(x), 6) AS davies_bouldin FROM (SELECT label, max((s1 + s2) / d) AS x FROM cp GROUP BY 1)"),
     "calinski_harabasz": e(""", g AS (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) r(i) GROUP BY 1), gm AS (SELECT list(m ORDER BY i) AS c FROM g)
         SELECT round((sum(s.size * list_distance(s.c, gm.c) ** 2) / (count(*) - 1)) / (sum(w) / ((SELECT count(*) FROM v) - count(*))), 6) AS calinski_harabasz FROM sca s, gm"""),
     "density_sep": e("SELECT round((SELECT avg(s) FROM sca) / ((SELECT avg(d) FROM cp) + 1e-8), 6) AS density_separation"),
     "dunn": e("""SELECT round((SELECT min(d) FROM cp) / (SELECT max(1 - list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)))
         FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id), 6) AS dunn"""),
-    "typepair_quality": e(""", h0 AS (SELECT vec_id, 'p' || (vec_id % 5) AS pair, label % 3 AS label, e FROM v), h AS (SELECT * FROM h0 QUALIFY count(*) OVER (PARTITION BY pair, label) > 1),
-        d AS (SELECT a.pair, a.vec_id AS i, a.label AS li, b.label AS lj, avg(list_distance(a.e, b.e)) AS d FROM h a JOIN h b ON a.pair = b.pair AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
-        r AS (SELECT pair, i, min(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM d GROUP BY 1, 2) SELECT pair, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM r GROUP BY 1"""),
+    "typepair_quality": e(TYPE_PAIRS + " SELECT * FROM tp"),
+    "typepair_summary": e(TYPE_PAIRS + """ SELECT round(avg(silhouette), 6) AS avg_silhouette, round(avg(calinski_harabasz), 6) AS avg_calinski_harabasz,
+        round(avg(davies_bouldin), 6) AS avg_davies_bouldin, round(avg(dunn), 6) AS avg_dunn, count(*) AS n_typepairs FROM tp"""),
     "representatives_topk": e(""", d AS (SELECT label AS cluster_id, vec_id AS idx, round(list_distance(e, c), 6) AS distance FROM v JOIN cen USING (label))
         SELECT cluster_id, idx, rank::INT AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY distance, idx) AS rank FROM d) WHERE rank <= 5"""),
     "large_clusters": c("SELECT cluster_id, count(*) AS cluster_size FROM ev GROUP BY 1 HAVING count(*) >= 25"),
