@@ -86,6 +86,108 @@ def test_metrics_of_equal_labels():
     assert one["mapping_accuracy"] == pytest.approx(5 / 12) and one["n_clusters"] == 3
 
 
+def test_adjusted_mutual_information_equals_a_plain_sum():
+    rng = np.random.default_rng(2)
+    g = math.lgamma
+    for shape, most in (((3, 4), 9), ((6, 2), 40), ((5, 7), 400), ((2, 2), 3)):
+        n = rng.integers(0, most, shape).astype(float)
+        n = n[n.sum(1) > 0][:, n.sum(0) > 0]
+        a, b, total = n.sum(1), n.sum(0), n.sum()
+        expected = 0.0
+        for x in a:
+            for y in b:
+                for k in range(int(max(1, x + y - total)), int(min(x, y)) + 1):
+                    chance = g(x + 1) + g(y + 1) + g(total - x + 1) + g(total - y + 1) - g(total + 1) - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(total - x - y + k + 1)
+                    expected += k / total * math.log(total * k / (x * y)) * math.exp(chance)
+        assert E.expected_mutual_information(a, b) == pytest.approx(expected, rel=1e-9)
+    large = np.array([[3e8, 1e6], [2e6, 5e8]])  # sums over a window, not over 10^8 overlaps
+    assert 0.9 < E.adjusted_mutual_information(large) < 1
+
+
+def test_contingency_for_the_driver_is_bounded(spark):
+    table = spark.createDataFrame([(i, str(i), 1) for i in range(20)], "pred long, true string, n long")
+    assert len(E.collected(table, 20)) == 20
+    with pytest.raises(ValueError, match="cells"):
+        E.collected(table, 19)
+
+
+def test_bundle_needs_clusters(spark):
+    rows = spark.createDataFrame([(i, i // 2, [float(i), 1.0]) for i in range(6)], "vec_id long, label long, embedding array<double>")
+    assert None not in E.quality_bundle(rows, "label", "embedding").first()
+    for label in ("0L", "vec_id"):
+        assert set(E.quality_bundle(rows.withColumn("label", F.expr(label)), "label", "embedding").first()) == {None}
+
+
+def test_type_pairs_by_blocks_equal_plain_sums(spark, monkeypatch):
+    """Blocks of a few rows; a missing pair; a pair with one label; labels of one row."""
+    monkeypatch.setattr(E, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    made = [(i, None if i % 4 == 0 else f"p{i % 4}", 0 if i % 4 == 1 else int(rng.integers(0, 3)), rng.normal(size=3).tolist()) for i in range(90)]
+    made += [(1000, "p2", 99, [0.0, 0.0, 1.0]), (1001, "few", 1, [1.0, 0.0, 0.0]), (1002, "few", 1, [0.0, 1.0, 0.0])]
+    rows = spark.createDataFrame(made, "vec_id long, pair string, label long, embedding array<double>")
+    got = {r.pair: r for r in E.type_pair_quality(rows, "pair", "label", "embedding").collect()}
+    assert set(got) == {"UNK:UNK", "p1", "p2", "p3"} and got["p1"].silhouette is None and got["p1"].dunn is None and got["p1"].n_clusters == 1
+    for pair in ("UNK:UNK", "p2", "p3"):
+        part = [(l, np.array(v)) for _, p, l, v in made if (p or "UNK:UNK") == pair and l != 99]
+        label, x = np.array([l for l, _ in part]), np.stack([v for _, v in part])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        sil = []
+        for i in range(len(x)):
+            mean = {c: d[i, (label == c) & (np.arange(len(x)) != i)].mean() for c in set(label)}
+            a, b = mean.pop(label[i]), min(mean.values())
+            sil.append((b - a) / max(a, b))
+        unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+        wide = max((1 - unit[label == c] @ unit[label == c].T)[np.triu_indices((label == c).sum(), 1)].max() for c in set(label))
+        centre = {c: x[label == c].mean(0) for c in set(label)}
+        near = min(np.linalg.norm(centre[c] - centre[o]) for c in centre for o in centre if c != o)
+        assert got[pair].n_samples == len(x) and got[pair].silhouette == pytest.approx(np.mean(sil), abs=2e-6) and got[pair].dunn == pytest.approx(near / wide, abs=2e-6)
+    summary = E.type_pair_summary(E.type_pair_quality(rows, "pair", "label", "embedding")).first()
+    assert summary.n_typepairs == 4 and summary.avg_dunn == pytest.approx(np.mean([r.dunn for r in got.values() if r.dunn is not None]), abs=2e-6)
+    assert E.type_pair_summary(E.type_pair_quality(rows.limit(0), "pair", "label", "embedding")).count() == 0
+
+
+def test_cluster_report(spark):
+    v = {"x": [2.0, 0.0], "y": [1.0, 0.3], "z": [-1.0, 0.0], "w": [-1.0, 0.1], "s": [0.0, 1.0]}
+    made = [(0, r) for r in "xxyzw"] + [(1, "s"), (2, "x"), (2, "z")]
+    rows = spark.createDataFrame([(c, r, v[r]) for c, r in made], "cluster_id long, relation string, relation_emb array<double>")
+    got = {r.cluster_id: r for r in K.report(rows).collect()}
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, x in v.items()}
+    sims = [(unit[a] @ unit[b] + 1) / 2 for i, a in enumerate("xxyzw") for b in "xxyzw"[i + 1 :]]
+    assert (got[0].n, got[0].n_relations, got[0].components) == (5, 4, 2)
+    assert (got[0].mean_sim, got[0].min_sim, got[0].max_sim) == pytest.approx((np.mean(sims), min(sims), max(sims)), abs=1e-6)
+    assert (got[1].n, got[1].mean_sim, got[1].components) == (1, None, 0) and got[2].components == 0
+
+
+def test_singletons_against_means_equal_means_of_singletons(spark):
+    rng = np.random.default_rng(6)
+    made = [(i, i if i < 5 else 10 + i % 3, f"r{i}", (rng.normal(size=4) + [2, 0, 0, i % 2]).tolist()) for i in range(30)]
+    rows = spark.createDataFrame(made, "idx long, cluster_id long, relation string, relation_emb array<double>")
+    got = {r.idx: r.target for r in K.merge_singletons_once(rows, threshold=3.0).collect()}
+    want = {}
+    for i, c, _, x in made[:5]:
+        score = {k: np.mean([np.dot(x, y) for _, o, _, y in made if o == k]) for k in (10, 11, 12)}
+        best = max(score, key=lambda k: (score[k], -k))
+        if score[best] > 3.0:
+            want[i] = best
+    assert got == want and want
+
+
+def test_broken_views_fall_back_to_the_relation(spark):
+    """A view with NaN makes the mean invalid; the relation's similarities decide then."""
+    good = [[1.0, 0.0], [0.96, 0.28], [0.0, 1.0]]
+    views = {name: good for name in A.VIEWS}
+    assert np.isfinite(K.mean_similarity(views, A.VIEWS)).all()
+    broken = views | {A.VIEWS[-1]: [[float("nan"), 0.0], *good[1:]]}
+    assert not np.isfinite(K.mean_similarity(broken, A.VIEWS)).all()
+    rows = spark.createDataFrame([(r, "a", o, "a:b") for r, o in zip("pqr", "bbb", strict=True)], "relation string, subj_type string, obj_type string, type_sig string")
+    of = {"Relation: p": good[0], "Relation: q": good[1], "Relation: r": good[2]}
+
+    def lookup(texts):
+        return spark.createDataFrame([(r.text, of.get(r.text, [float("nan"), 1.0])) for r in texts.collect()], "text string, embedding array<double>")
+
+    assert {r.eigengap_k for r in K.consensus_labels(rows, lookup).collect()} == {K.eigengap(K.mean_similarity({"relation": good}, ("relation",)))}
+
+
 def test_assignment_is_optimal():
     from itertools import permutations
 
