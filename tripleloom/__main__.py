@@ -36,7 +36,7 @@ def run_all(spark: SparkSession, config: Config, now: str | None = None) -> str:
     stages.align(spark, folder, lookup, a.get("threshold", 0.90))
     stages.cluster(spark, folder, lookup, k.get("similarity_threshold", 0.60), k.get("n_consensus_runs", 3), k.get("preserve_singletons", True))
     stages.validate(spark, folder, lambda: HttpModel(v["base_url"], v["model"]), v.get("top_k_representatives", 5), v.get("min_cluster_size", 5), v.get("min_confidence", "Medium"))
-    stages.write_report(spark, {"run_name": config.run_name, "finished": datetime.now(timezone.utc).isoformat(), "config": config.dump()}, f"{folder}/00_config")
+    stages.write_manifest(spark, {**config.settings(), "finished": datetime.now(timezone.utc).isoformat()}, f"{folder}/00_config")
     return folder
 
 
@@ -62,7 +62,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     o = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", handlers=[logging.StreamHandler(), *([logging.FileHandler(o.log)] if o.log else [])])
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    LOG.setLevel(logging.INFO)
+    if o.log:
+        copy = logging.FileHandler(o.log)
+        copy.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        LOG.addHandler(copy)
     spark = SparkSession.builder.appName(f"tripleloom {o.stage}").getOrCreate()
     LOG.info("%s begins", o.stage)
     if o.stage == "extract-schema":

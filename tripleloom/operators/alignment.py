@@ -178,5 +178,14 @@ def inter_similarities(rows: DataFrame, id_col: str, block: list[str], emb: str)
     return a.join(b, block).where("i < j").select(*block, "i", "j", dot("_a", "_b").alias("sim"))
 
 
+def inter_view_similarities(rows: DataFrame, id_col: str, block: list[str]) -> DataFrame:
+    """block, i, j (i < j), sim_<view> of the pairs within a block, for all four views; a missing vector counts 0."""
+    embs = [f"{v}_emb" for v in VIEWS]
+    a = rows.select(*block, F.col(id_col).alias("i"), *(F.col(e).alias(f"_a_{e}") for e in embs))
+    b = rows.select(*block, F.col(id_col).alias("j"), *(F.col(e).alias(f"_b_{e}") for e in embs))
+    sims = (F.coalesce(dot(f"_a_{v}_emb", f"_b_{v}_emb"), F.lit(0.0)).alias(f"sim_{v}") for v in VIEWS)
+    return a.join(b, block).where("i < j").select(*block, "i", "j", *sims)
+
+
 def top_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)

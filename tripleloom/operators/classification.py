@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -86,6 +87,7 @@ def classify(samples: DataFrame, make) -> DataFrame:
                 found = classifier.classify(b)
                 found = found.assign(subject=found["subject"].fillna(b["subject"]), object=found["object"].fillna(b["object"]), relation=found["relation"].fillna("unknown"))
             except Exception:  # a failed call is a row, not a failed job
+                logging.getLogger(__name__).exception("a batch of %d could not be classified", len(b))
                 found = b[["subject", "subj_type", "object", "obj_type"]].assign(relation=FAILED)
             yield pd.DataFrame({"id": b["id"], "sentence": b["sentence"], "triple": found[["subject", "subj_type", "relation", "object", "obj_type"]].to_dict("records")})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from tripleloom.functions.expressions import euclidean
 from tripleloom.functions.salvage import salvage
 from tripleloom.operators.evaluation import centroids
 
+LOG = logging.getLogger(__name__)
 LEVELS = ("Low", "Medium", "High")
 
 
@@ -60,6 +62,7 @@ def validate(asked: DataFrame, make) -> DataFrame:
             try:
                 answers = model.answer(b["prompt"].tolist())
             except Exception:  # a failed call is a rejected candidate, not a failed job
+                LOG.exception("no answers for a batch of %d", len(b))
                 answers = [None] * len(b)
             yield pd.DataFrame({"cluster_id": b["cluster_id"], "reply": [salvage(a) for a in answers]})
 
@@ -87,9 +90,33 @@ def rejected(judged: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("cluster_id")), lambda x: x.cast("string")), ",").alias("clusters"))
 
 
+def rejected_report(judged: DataFrame) -> DataFrame:
+    """One row: for each bucket its candidates with the fields that tell why, by cluster. A run's report, a row a candidate."""
+    rows = judged.where("not accepted").withColumn("bucket", bucket(F.col("reason")))
+    fields = {
+        "existing_match": F.struct("cluster_id", "name", F.col("existing_relation_name").alias("matched_to")),
+        "type_incompatible": F.struct("cluster_id", "name", "domain", "range"),
+        "low_confidence": F.struct("cluster_id"),
+    }
+    return rows.agg(*(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, of))).alias(b) for b, of in fields.items()))
+
+
 def export(judged: DataFrame, evidence: DataFrame, most: int = 5) -> DataFrame:
-    """Accepted relations with the number of evidence triples and the first few of them."""
+    """Accepted relations with all they were judged by, the number of evidence triples and the first few of them."""
     w = Window.partitionBy("cluster_id").orderBy("idx")
     counted = evidence.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("evidence_count"))
-    shown = evidence.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "subject", "relation", "object"))), lambda t: F.concat_ws("|", t["subject"], t["relation"], t["object"])), ";").alias("sample_triples"))
-    return judged.where("accepted").join(counted, "cluster_id").join(shown, "cluster_id").select("cluster_id", "name", "domain", "range", "confidence", "evidence_count", "sample_triples")
+    first = evidence.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    part = lambda c: F.coalesce(c, F.lit("N/A")).alias(c)
+    listed = F.sort_array(F.collect_list(F.struct("_n", part("subject"), part("relation"), part("object"))))
+    shown = first.groupBy("cluster_id").agg(F.transform(listed, lambda t: t.dropFields("_n")).alias("sample_triples"))
+    told = [c for c in ("description", "reasoning") if c in judged.columns]
+    rows = judged.where("accepted").join(counted, "cluster_id").join(shown, "cluster_id")
+    return rows.select("cluster_id", "name", "domain", "range", "confidence", *told, "evidence_count", "sample_triples")
+
+
+def export_document(accepted: DataFrame, now: str) -> DataFrame:
+    """value: one JSON document, metadata and the accepted relations by cluster. A run's report, an entry a relation."""
+    entries = F.sort_array(F.collect_list(F.struct("cluster_id", F.struct(*accepted.columns).alias("r"))))
+    whole = accepted.agg(F.transform(entries, lambda x: x["r"]).alias("r"))
+    metadata = F.struct(F.size("r").alias("n_novel_relations"), F.lit(now).alias("timestamp"))
+    return whole.select(F.to_json(F.struct(metadata.alias("metadata"), F.col("r").alias("novel_relations")), {"ignoreNullFields": "false"}).alias("value"))

@@ -228,6 +228,12 @@ def sim_inter_triple(v):
     return A.inter_similarities(v.vectors(), "vec_id", ["label"], "embedding").select("label", "i", "j", r6("sim").alias("sim"))
 
 
+@query
+def sim_inter_views(v):
+    rows = K.stratify(A.embed_views(A.view_texts(A.signatures(v.pred())), v.lookup()))
+    return A.inter_view_similarities(rows, "sig_id", ["type_sig"]).select("type_sig", "i", "j", *(r6(f"sim_{x}").alias(f"sim_{x}") for x in A.VIEWS))
+
+
 @query
 def cosine_normalise(v):
     own = v.vectors().select("label", F.col("vec_id").alias("i"), (X.dot("embedding", "embedding") * 2).alias("own"))
@@ -474,4 +480,12 @@ def rejected_buckets(v):
 
 @query
 def novel_export(v):
-    return L.export(_judged(v), v.evidence())
+    shown = F.transform("sample_triples", lambda t: F.concat_ws("|", t["subject"], t["relation"], t["object"]))
+    return L.export(_judged(v), v.evidence()).select("cluster_id", "name", "domain", "range", "confidence", "evidence_count", F.array_join(shown, ";").alias("sample_triples"))
+
+
+@query
+def rejected_report(v):
+    found = L.rejected_report(_judged(v).withColumn("existing_relation_name", F.lower("name")))
+    part = lambda b, *names: F.array_join(F.transform(b, lambda x: F.concat_ws("|", *(x[n].cast("string") for n in names))), ";").alias(b)
+    return found.select(part("existing_match", "name", "matched_to", "cluster_id"), part("type_incompatible", "name", "domain", "range", "cluster_id"), part("low_confidence", "cluster_id"))

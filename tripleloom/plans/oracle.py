@@ -256,6 +256,10 @@ SQL: dict[str, str] = {
         q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS pr, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS re FROM n)
         SELECT tp, fp, fn, tn, round(pr, 6) AS "precision", round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, round(coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0), 6) AS specificity FROM q"""),
     "sim_inter_triple": e("SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id"),
+    "sim_inter_views": a("""SELECT * FROM (SELECT coalesce(a.subj_type, 'None') || ':' || coalesce(a.obj_type, 'None') AS type_sig, a.sig_id AS i, b.sig_id AS j,
+        round(coalesce(list_dot_product(a.te, b.te), 0), 6) AS sim_triple, round(coalesce(list_dot_product(a.re, b.re), 0), 6) AS sim_relation,
+        round(coalesce(list_dot_product(a.se, b.se), 0), 6) AS sim_subject, round(coalesce(list_dot_product(a.oe, b.oe), 0), 6) AS sim_object
+        FROM sige a JOIN sige b ON a.subj_type IS NOT DISTINCT FROM b.subj_type AND a.obj_type IS NOT DISTINCT FROM b.obj_type AND a.sig_id < b.sig_id)"""),
     "cosine_normalise": e("""SELECT a.vec_id AS i, b.vec_id AS j, round((greatest(-1, least(1, 2 * list_dot_product(a.e, b.e) / sqrt(greatest(2 * list_dot_product(a.e, a.e), 1e-6) * greatest(2 * list_dot_product(b.e, b.e), 1e-6)))) + 1) / 2, 6) AS value
         FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id"""),
     "cosine_distance": e("""SELECT a.vec_id AS i, b.vec_id AS j, round(1 - list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)), 6) AS distance
@@ -315,6 +319,9 @@ SQL: dict[str, str] = {
     "accept_candidates": c("SELECT cluster_id, name, reason, reason = 'accepted' AS accepted FROM judged"),
     "rejected_buckets": c("""SELECT CASE WHEN reason = 'existing_match' THEN reason WHEN reason LIKE 'invalid%' THEN 'type_incompatible' ELSE 'low_confidence' END AS bucket, count(*) AS n,
         string_agg(CAST(cluster_id AS VARCHAR), ',' ORDER BY cluster_id) AS clusters FROM judged WHERE reason <> 'accepted' GROUP BY 1"""),
+    "rejected_report": c("""SELECT coalesce(string_agg(name || '|' || lower(name) || '|' || cluster_id, ';' ORDER BY cluster_id) FILTER (reason = 'existing_match'), '') AS existing_match,
+        coalesce(string_agg(name || '|' || domain || '|' || range || '|' || cluster_id, ';' ORDER BY cluster_id) FILTER (reason LIKE 'invalid%'), '') AS type_incompatible,
+        coalesce(string_agg(CAST(cluster_id AS VARCHAR), ';' ORDER BY cluster_id) FILTER (reason = 'low_confidence'), '') AS low_confidence FROM judged"""),
     "novel_export": c(""", top AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) AS rank FROM ev)
         SELECT j.cluster_id, name, domain, range, confidence, (SELECT count(*) FROM ev WHERE ev.cluster_id = j.cluster_id) AS evidence_count,
                (SELECT string_agg(subject || '|' || relation || '|' || object, ';' ORDER BY rank) FROM top WHERE top.cluster_id = j.cluster_id AND rank <= 5) AS sample_triples

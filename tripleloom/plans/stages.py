@@ -8,6 +8,7 @@ Tables that later stages read are Parquet, reports are JSON.
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def present(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def write_text(one: DataFrame, path: str) -> None:
+    """A frame of one row, `value`, as a text file in a folder."""
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_manifest(spark: SparkSession, settings: dict, path: str) -> None:
+    """Settings and counts of a run as YAML."""
+    import yaml
+
+    write_text(spark.createDataFrame([(yaml.safe_dump(settings, sort_keys=False),)], "value string"), path)
+
+
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -141,7 +154,13 @@ def validate(spark: SparkSession, folder: str, make, top_k: int = 5, min_cluster
     classes = ontology.classes(spark.read.parquet(f"{folder}/01_ontology/full"), upper=True)
     judged = checkpoint(validation.judge(sizes.join(replies, "cluster_id", "left"), classes, min_confidence))
     readers.write_json(judged, f"{folder}/05_validation/candidates")
-    readers.write_json(validation.rejected(judged), f"{folder}/05_validation/rejected")
-    accepted = validation.export(judged, members)
+    write_text(validation.rejected_report(judged).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), f"{folder}/05_validation/rejected_candidates")
+    now = datetime.now(timezone.utc).isoformat()
+    accepted = checkpoint(validation.export(judged, members))
     readers.write_json(accepted, f"{folder}/05_validation/novel_relations")
+    write_text(validation.export_document(accepted, now), f"{folder}/05_validation/novel_relations_document")
+    n = judged.agg(F.count(F.lit(1)).alias("seen"), F.count_if("accepted").alias("accepted")).first()
+    counts = {"n_clusters_seen": members.select("cluster_id").distinct().count(), "n_novel_accepted": n["accepted"], "n_rejected": n["seen"] - n["accepted"]}
+    settings = {"top_k_representatives": top_k, "min_cluster_size": min_cluster_size, "min_confidence": min_confidence}
+    write_manifest(spark, {"validation": settings, "timestamp": now, **counts}, f"{folder}/05_validation/00_config")
     return accepted

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import time
+import urllib.error
+import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
 
 class HttpModel:
-    """Answers of a chat endpoint, None for a call that failed; fits the Validator protocol."""
+    """Answers of a chat endpoint, None for a call that failed; fits the Validator protocol.
 
-    def __init__(self, base_url: str, model: str, temperature: float = 0.0, max_tokens: int = 500, timeout: float = 60):
-        self.url, self.model, self.options, self.timeout = base_url.rstrip("/") + "/chat/completions", model, {"temperature": temperature, "max_tokens": max_tokens}, timeout
+    A batch's calls run side by side, `together` at a time. A call that the server is too busy for, or
+    that does not get through, is tried again, with a pause that doubles.
+    """
+
+    def __init__(self, base_url: str, model: str, temperature: float = 0.0, max_tokens: int = 500, timeout: float = 60, tries: int = 3, pause: float = 1.0, together: int = 8):
+        self.url, self.model, self.options = base_url.rstrip("/") + "/chat/completions", model, {"temperature": temperature, "max_tokens": max_tokens}
+        self.timeout, self.tries, self.pause, self.together = timeout, tries, pause, together
 
     def one(self, prompt: str) -> str:
-        import requests
+        asked = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.options}).encode()
+        for k in range(self.tries):
+            try:
+                request = urllib.request.Request(self.url, asked, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                    return json.load(reply)["choices"][0]["message"]["content"]
+            except urllib.error.HTTPError as e:
+                if k == self.tries - 1 or e.code < 500 and e.code != 429:
+                    raise
+            except OSError:
+                if k == self.tries - 1:
+                    raise
+            time.sleep(self.pause * 2**k)
+        raise ValueError("tries must be 1 or more")
 
-        r = requests.post(self.url, json={"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.options}, timeout=self.timeout)
-        r.raise_for_status()
-        return r.json()["choices"][0]["message"]["content"]
+    def _answer(self, prompt: str) -> str | None:
+        try:
+            return self.one(prompt)
+        except Exception:  # a failed call costs its own row
+            logging.getLogger(__name__).exception("no answer from %s", self.url)
+            return None
 
     def answer(self, prompts: list[str]) -> list[str | None]:
-        out = []
-        for p in prompts:
-            try:
-                out.append(self.one(p))
-            except Exception:  # a failed call costs its own row
-                logging.getLogger(__name__).exception("no answer from %s", self.url)
-                out.append(None)
-        return out
+        with ThreadPoolExecutor(self.together) as pool:
+            return list(pool.map(self._answer, prompts))
 
 
 class TransformerEmbedder:

@@ -81,7 +81,10 @@ class Config:
         given = yaml.safe_load(text) or {}
         return cls(**{f.name: given[f.name] for f in fields(cls) if f.name in given})
 
+    def settings(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
     def dump(self) -> str:
         import yaml
 
-        return yaml.safe_dump({f.name: getattr(self, f.name) for f in fields(self)}, sort_keys=False)
+        return yaml.safe_dump(self.settings(), sort_keys=False)
