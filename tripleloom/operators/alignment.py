@@ -84,7 +84,11 @@ def embed_from_table(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
 def embed_views(rows: DataFrame, lookup) -> DataFrame:
     """rows (with <view>_text) and <view>_emb. Each distinct text is embedded once."""
     texts = rows.select(F.explode(F.array(*(f"{v}_text" for v in VIEWS))).alias("text")).where("text is not null").distinct()
-    found = checkpoint(lookup(texts))  # distinct texts, read once for each view
+    return with_embeddings(rows, checkpoint(lookup(texts)))  # distinct texts, read once for each view
+
+
+def with_embeddings(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with <view>_text) and <view>_emb of the texts found."""
     for v in VIEWS:
         rows = rows.join(found.select(F.col("text").alias(f"{v}_text"), F.col("embedding").alias(f"{v}_emb")), f"{v}_text", "left")
     return rows
@@ -134,8 +138,10 @@ def align_signatures(triples: DataFrame, entries: DataFrame, lookup, config: Ali
     from tripleloom.operators.ontology import classes
 
     sig, entries = checkpoint(signatures(triples)), checkpoint(entries)
-    left = embed_views(view_texts(sig), lookup)
-    right = embed_views(view_texts(entries, "domain_type", "relation", "range_type"), lookup)
+    left, right = view_texts(sig), view_texts(entries, "domain_type", "relation", "range_type")
+    texts = [d.select(F.explode(F.array(*(f"{v}_text" for v in VIEWS))).alias("text")) for d in (left, right)]
+    found = checkpoint(lookup(texts[0].unionByName(texts[1]).where("text is not null").distinct()))  # each distinct text of both once
+    left, right = with_embeddings(left, found), with_embeddings(right, found)
     best = best_match(similarities(left, right, "sig_id", "ont_idx", entries.count()), "sig_id", "ont_idx")
     best = checkpoint(best)
     rows = sig.join(best, "sig_id", "left").join(entries.select("ont_idx", "domain_type", "range_type"), "ont_idx", "left")

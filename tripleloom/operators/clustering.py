@@ -26,13 +26,17 @@ def strata(triples: DataFrame) -> DataFrame:
     return rows.withColumn("group_no", F.row_number().over(Window.orderBy("first_idx")).cast("long") - 1)  # one row a type pair
 
 
-def label_pairs(members: DataFrame, cluster: list[str], label: str, emb: str) -> DataFrame:
-    """Weighted pairs of distinct labels of a cluster: a <= b, pairs (of rows), sim.
+def label_counts(members: DataFrame, cluster: list[str], label: str, emb: str) -> DataFrame:
+    """cluster, label, c (rows) and v (vector) of the distinct labels of a cluster."""
+    return members.groupBy(*cluster, label).agg(F.count(F.lit(1)).alias("c"), F.first(emb).alias("v"))
+
+
+def pairs_of(counted: DataFrame, cluster: list[str], label: str) -> DataFrame:
+    """Weighted pairs of label_counts(): a <= b, pairs (of rows), sim.
 
     The similarity of two rows depends on their labels alone, so rows are counted by label first:
     c_a * c_b pairs for two labels, c (c - 1) / 2 of similarity 1 for one.
     """
-    counted = members.groupBy(*cluster, label).agg(F.count(F.lit(1)).alias("c"), F.first(emb).alias("v"))
     a = counted.select(*cluster, F.col(label).alias("a"), F.col("c").alias("ca"), F.col("v").alias("va"))
     b = counted.select(*cluster, F.col(label).alias("b"), F.col("c").alias("cb"), F.col("v").alias("vb"))
     pairs = F.when(F.col("a") == F.col("b"), F.expr("ca * (ca - 1) div 2")).otherwise(F.expr("ca * cb"))
@@ -40,6 +44,11 @@ def label_pairs(members: DataFrame, cluster: list[str], label: str, emb: str) ->
     return a.join(b, cluster).where("a <= b").select(*cluster, "a", "b", pairs.alias("pairs"), sim.alias("sim"))
 
 
+def label_pairs(members: DataFrame, cluster: list[str], label: str, emb: str) -> DataFrame:
+    """Weighted pairs of distinct labels of a cluster: a <= b, pairs (of rows), sim."""
+    return pairs_of(label_counts(members, cluster, label, emb), cluster, label)
+
+
 def weighted_percentile(pairs: DataFrame, cluster: list[str], share: float = PERCENTILE) -> DataFrame:
     """Percentile of sim over all pairs of rows, linearly interpolated, from counts."""
     rows = pairs.where("pairs > 0").groupBy(*cluster, "sim").agg(F.sum("pairs").alias("n"))
@@ -110,15 +119,15 @@ def report(members: DataFrame, label: str = "relation", emb: str = "relation_emb
     Similarities are cosines mapped to [0, 1], null for one row alone; components are those of rows that
     are linked with another at the threshold or above, 0 where none is.
     """
-    unit = members.select("cluster_id", label, l2_normalise(emb).alias(emb))
+    counted = checkpoint(label_counts(members, ["cluster_id"], label, emb).withColumn("v", l2_normalise("v")))
     value = (F.greatest(F.least("sim", F.lit(1.0)), F.lit(-1.0)) + 1) / 2
-    pairs = checkpoint(label_pairs(unit, ["cluster_id"], label, emb).where("pairs > 0").withColumn("sim", value))
+    pairs = checkpoint(pairs_of(counted, ["cluster_id"], label).where("pairs > 0").withColumn("sim", value))
     mean = F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")
     sims = pairs.groupBy("cluster_id").agg(mean.alias("mean_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
     edges = pairs.where(F.col("sim") >= threshold)
     nodes = edges.select("cluster_id", F.explode(F.array("a", "b")).alias("node")).distinct()
     parts = components(nodes, edges, ["cluster_id"]).groupBy("cluster_id").agg(F.count_distinct("label").alias("components"))
-    sizes = members.groupBy("cluster_id", label).agg(F.count(F.lit(1)).alias("c")).groupBy("cluster_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_relations"))
+    sizes = counted.groupBy("cluster_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_relations"))
     found = sizes.join(sims, "cluster_id", "left").join(parts, "cluster_id", "left")
     return found.select("cluster_id", "n", "n_relations", "mean_sim", "min_sim", "max_sim", F.coalesce("components", F.lit(0)).cast("long").alias("components"))
 

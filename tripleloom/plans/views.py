@@ -5,27 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.checkpoint import checkpoint
 from tripleloom.operators import alignment, ontology
 
 
 class Views:
-    """Views over one folder of tables."""
+    """Views over one folder of tables. What alignment reads again and again is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.written = spark, sf_dir, {}
+
+    def once(self, name: str, make) -> DataFrame:
+        if name not in self.written:
+            self.written[name] = checkpoint(make())
+        return self.written[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def mention(self, with_none: bool = True) -> DataFrame:
+        rows = self.written.get("mention")
+        if rows is None:
+            rows = self._mention()
+        return rows if with_none else rows.where("relation != 'no_relation'")
+
+    def _mention(self) -> DataFrame:
         e, c, p = self.table("events"), self.table("customer"), self.table("part")
         rows = e.join(c, e["user_id"] == c["c_custkey"]).join(p, F.get_json_object("props", "$.k").cast("int") == p["p_partkey"])
-        rows = rows.select(
-            F.col("event_id").alias("idx"), F.concat(F.lit("s"), "event_id").alias("id"), F.concat(F.lit("user "), "user_id", F.lit(" "), "event_type", F.lit(" "), "p_name").alias("sentence"),
-            F.concat(F.lit("user "), "user_id").alias("subject"), F.col("p_name").alias("object"), F.when(F.col("event_type") == "error", "no_relation").otherwise(F.concat(F.lit("usr:"), "event_type")).alias("relation"),
+        user = F.concat(F.lit("user "), "user_id")
+        relation = F.when(F.col("event_type") == "error", "no_relation").otherwise(F.concat(F.lit("usr:"), "event_type"))
+        return rows.select(
+            F.col("event_id").alias("idx"), F.concat(F.lit("s"), "event_id").alias("id"),
+            F.concat(user, F.lit(" "), "event_type", F.lit(" "), "p_name").alias("sentence"),
+            user.alias("subject"), F.col("p_name").alias("object"), relation.alias("relation"),
             F.lower("c_mktsegment").alias("subj_type"), F.lower("p_type").alias("obj_type"), "event_type",
         )
-        return rows if with_none else rows.where("relation != 'no_relation'")
 
     def pred(self) -> DataFrame:
         """A deterministic stand-in for a classifier's output over mentions with a relation."""
@@ -49,7 +63,9 @@ class Views:
         return alignment.embed_from_table(self.table("embeddings"))
 
     def aligned(self, threshold: float = 0.90) -> DataFrame:
-        return alignment.align(self.pred(), self.parts()[0], self.lookup(), alignment.AlignmentConfig(threshold))
+        self.once("mention", self._mention)
+        known = self.once("known", lambda: self.parts()[0])
+        return alignment.align(self.pred(), known, self.lookup(), alignment.AlignmentConfig(threshold))
 
     def unaligned(self) -> DataFrame:
         """Classified triples that did not align, with type_sig, cluster_mode and relation_emb."""
