@@ -29,7 +29,7 @@ from tripleloom.llm.common import batch, chunks, id_and_text
 from tripleloom.llm.features import byte_buckets
 from tripleloom.llm.quality_rules import repeated_words
 
-BITS, MOST_SAMPLE, ROUNDS, STEPS, THRESHOLD = 13, 4096, 100, 300, 0.5
+BITS, MOST_SAMPLE, ROUNDS, STEPS, RIDGE, THRESHOLD = 13, 4096, 100, 60, 1e-5, 0.5
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 #: ASCII that is neither letter, digit, white space nor common punctuation.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-")
@@ -111,24 +111,49 @@ def features(raw: bytes, v: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by full gradient steps with momentum; both classes weigh the same."""
-    w, bias = np.zeros(SIZE), 0.0
+    """Weights and bias of a logistic regression on soft labels, by L-BFGS; both classes weigh the same."""
     if not rows:
-        return w, bias
-    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        return np.zeros(SIZE), 0.0
+    at, x = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float64)
     sizes = np.array([len(r[0]) for r in rows])  # each has its votes at least
-    row, begin = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes
+    begin = np.cumsum(sizes) - sizes
     share = float(np.clip(labels.mean(), 0.02, 0.98))
     weight = labels / share + (1 - labels) / (1 - share)
     weight /= weight.sum()
-    speed, speed_bias = np.zeros_like(w), 0.0
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        """And its gradient; the last weight is the bias."""
+        z = np.add.reduceat(x * w[at], begin) + w[-1]
+        d = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels)
+        slope = np.append(np.bincount(at, x * np.repeat(d, sizes), SIZE) + RIDGE * w[:-1], d.sum())
+        return float(weight @ (np.logaddexp(0, z) - labels * z)) + RIDGE / 2 * float(w[:-1] @ w[:-1]), slope
+
+    w, past = np.zeros(SIZE + 1), []
+    value, slope = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(x * w[at], begin) + bias, -50, 50)))
-        d = weight * (p - labels)
-        speed = 0.9 * speed - 20.0 * (np.bincount(at, x * d[row], SIZE) + 1e-5 * w)
-        speed_bias = 0.9 * speed_bias - 1.0 * d.sum()
-        w, bias = w + speed, bias + speed_bias
-    return w, float(bias)
+        step, kept = -slope, []
+        for s, y in reversed(past):
+            a = (s @ step) / (s @ y)
+            step -= a * y
+            kept.append(a)
+        if past:
+            step *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            step += (a - (y @ step) / (s @ y)) * s
+        rate = 1.0 if past else 1.0 / max(1e-12, float(np.abs(slope).sum()))
+        while True:
+            new = w + rate * step
+            new_value, new_slope = loss(new)
+            if new_value <= value + 1e-4 * rate * float(slope @ step) or rate < 1e-10:
+                break
+            rate /= 2
+        s, y = new - w, new_slope - slope
+        if s @ y > 1e-18:
+            past = [*past[-7:], (s, y)]
+        done, w, value, slope = value - new_value < 1e-7 * value, new, new_value, new_slope
+        if done:
+            break
+    return w[:-1], float(w[-1])
 
 
 PATTERNS = pa.schema([("pattern", pa.int32()), ("n", pa.int64())])
