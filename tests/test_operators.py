@@ -210,6 +210,60 @@ def test_consensus():
     assert K.eigengap(sim) == 2
 
 
+def modularity(w, label):
+    degree, total = w.sum(1), w.sum()
+    return sum((w[np.ix_(label == c, label == c)].sum() - degree[label == c].sum() ** 2 / total) / total for c in set(label))
+
+
+def test_communities_are_leidens():
+    """A ring of cliques; parts that hang together; never worse than moving nodes alone."""
+    k, size = 6, 5
+    w = np.kron(np.eye(k), np.ones((size, size)))
+    for c in range(k):
+        a, b = c * size, (c + 1) % k * size + 1
+        w[a, b] = w[b, a] = 1
+    np.fill_diagonal(w, 0)
+    got = K.communities(w)
+    assert len(set(got)) == k and all(len(set(got[c * size : (c + 1) * size])) == 1 for c in range(k))
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        w = np.triu(rng.random((18, 18)) * (rng.random((18, 18)) < 0.25), 1)
+        w = w + w.T
+        got, moved = K.communities(w), K._moved(np.where(w > 0.1, w, 0), np.where(w > 0.1, w, 0).sum(1), np.arange(18), np.where(w > 0.1, w, 0).sum(), 1.0)
+        assert modularity(np.where(w > 0.1, w, 0), got) >= modularity(np.where(w > 0.1, w, 0), moved) - 1e-9
+        for c in set(got):  # a community hangs together
+            part = np.where(w > 0.1, w, 0)[np.ix_(got == c, got == c)] > 0
+            assert len(set(K.connected(part | np.eye(len(part), dtype=bool)))) == 1
+
+
+def test_average_linkage_by_plain_means():
+    rng = np.random.default_rng(8)
+    for _ in range(10):
+        x = rng.random((9, 2))
+        counts = rng.integers(1, 4, 9)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        groups = [[i] for i in range(9)]
+        mean = lambda a, b: np.average([d[i, j] for i in a for j in b], weights=[counts[i] * counts[j] for i in a for j in b])
+        while len(groups) > 1:
+            best, a, b = min((mean(a, b), a, b) for k, a in enumerate(groups) for b in groups[k + 1 :])
+            if best >= 0.4:
+                break
+            groups = [g for g in groups if g not in (a, b)] + [a + b]
+        got = K.average_linkage(d, counts=counts)
+        assert sorted(sorted(np.flatnonzero(got == c).tolist()) for c in set(got)) == sorted(map(sorted, groups))
+
+
+def test_proposals_are_weighed_even_where_they_are_invalid(monkeypatch):
+    seen = []
+    whole = K.proposal_weight
+    monkeypatch.setattr(K, "proposal_weight", lambda *a: seen.append(whole(*a)) or seen[-1])
+    sim = np.kron(np.eye(2), np.full((5, 5), 0.9)) + 0.05
+    np.fill_diagonal(sim, 1)
+    assert set(K.consensus(sim)) == {0} and seen and not any(seen)
+    seen.clear()
+    assert len(set(K.consensus(sim, runs=50, zero_diagonal=True, early_stop=4))) == 2 and 4 <= sum(w > 0.1 for w in seen) <= 6
+
+
 def test_consensus_counts_rows():
     """Labels with counts give what their rows give, each a label of its own."""
     rng = np.random.default_rng(3)

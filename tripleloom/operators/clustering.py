@@ -282,18 +282,18 @@ def density(distance: np.ndarray, size: int = 5, samples: int = 3, counts: np.nd
     return label
 
 
-def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
-    """Greedy modularity of the rows' graph: labels move to the neighbouring community that gains most until none does."""
-    counts = np.ones(len(sim)) if counts is None else counts
-    w = np.where(sim > floor, sim, 0.0) * counts[:, None] * counts
-    own = counts * (counts - 1)  # the similarity of two rows of one label is 1
-    np.fill_diagonal(w, 0)
-    degree, label = w.sum(1) + own, np.arange(len(w))
-    total = max(degree.sum(), 1e-12)
+def _moved(w: np.ndarray, degree: np.ndarray, label: np.ndarray, total: float, resolution: float, within: np.ndarray | None = None) -> np.ndarray:
+    """Nodes move to the community that gains most until none does. within: only single nodes move, and not out of theirs."""
+    n, label = len(w), label.copy()
     for _ in range(20):
         moved = False
-        for i in range(len(w)):
-            gain = np.bincount(label, w[i], len(w)) - resolution * degree[i] * (np.bincount(label, degree, len(w)) - degree[i] * (np.arange(len(w)) == label[i])) / total
+        for i in range(n):
+            if within is not None and (label == label[i]).sum() > 1:
+                continue
+            weight = np.bincount(label, degree, n) - degree[i] * (np.arange(n) == label[i])
+            gain = np.bincount(label, w[i], n) - resolution * degree[i] * weight / total
+            if within is not None:
+                gain[np.setdiff1d(np.arange(n), label[within == within[i]])] = -np.inf
             best = int(gain.argmax())
             if gain[best] > gain[label[i]] + 1e-12:
                 label[i], moved = best, True
@@ -302,6 +302,42 @@ def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0, co
     return label
 
 
+def communities(sim: np.ndarray, floor: float = 0.1, resolution: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
+    """Leiden's method for the modularity of the rows' graph: nodes move, communities are refined into
+    parts that hang together, parts become nodes, until no part is more than one node."""
+    counts = np.ones(len(sim)) if counts is None else counts
+    w = np.where(sim > floor, sim, 0.0) * counts[:, None] * counts
+    np.fill_diagonal(w, 0)
+    degree = w.sum(1) + counts * (counts - 1)  # the similarity of two rows of one label is 1
+    total, node, label = max(degree.sum(), 1e-12), np.arange(len(w)), np.arange(len(w))
+    while True:
+        label = _moved(w, degree, label, total, resolution)
+        part = np.unique(_moved(w, degree, np.arange(len(w)), total, resolution, within=label), return_inverse=True)[1]
+        if part.max() + 1 == len(w):
+            return label[node]
+        one = np.eye(part.max() + 1)[part]
+        w, degree = one.T @ w @ one, one.T @ degree
+        np.fill_diagonal(w, 0)
+        of = np.zeros(len(w), int)
+        of[part] = label
+        node, label = part[node], np.unique(of, return_inverse=True)[1]
+
+
+def average_linkage(distance: np.ndarray, threshold: float = 0.4, counts: np.ndarray | None = None) -> np.ndarray:
+    """Groups merge by the least mean distance of their rows, as long as that is below the threshold."""
+    n = len(distance)
+    size, label = (np.ones(n) if counts is None else counts.astype(float)), np.arange(n)
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    while n > 1 and d.min() < threshold:
+        i, j = sorted(divmod(int(d.argmin()), n))
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return label
+
+
 def silhouette(distance: np.ndarray, label: np.ndarray, counts: np.ndarray | None = None) -> float:
     counts = np.ones(len(label)) if counts is None else counts
     names, at = np.unique(label, return_inverse=True)
@@ -336,35 +372,48 @@ def connected(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False, counts: np.ndarray | None = None) -> np.ndarray:
-    """Labels by weighted votes of three proposals over noisy similarities and distances.
+def proposal_weight(distance: np.ndarray, label: np.ndarray, counts: np.ndarray) -> float:
+    """The silhouette if it is above 0. A distance of a row to itself other than 0 makes it invalid, which counts 0."""
+    return max(0.0, silhouette(distance, label, counts)) if not np.diag(distance).any() else 0.0
+
 
-    With zero_diagonal=False the noisy diagonal makes every silhouette invalid: no proposal has a
-    weight and all rows are one cluster, which is the default's observable result.
+def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False, counts: np.ndarray | None = None, early_stop: int = 40) -> np.ndarray:
+    """Labels by weighted votes of three proposals a run over noisy similarities and distances.
+
+    The noise is on the diagonal too, unless zero_diagonal takes it off: then every proposal is invalid
+    and all rows are one cluster, which is the default's observable result. After early_stop
+    proposals that have a weight no run follows.
     """
     n, noises, counts = len(sim), np.random.RandomState(seed), np.ones(len(sim)) if counts is None else counts
-    votes, total = np.zeros((n, n)), 0.0
-    for _ in range(runs if zero_diagonal else 0):
+    votes, total, good = np.zeros((n, n)), 0.0, 0
+    for _ in range(runs if n > 1 else 0):
         noise = noises.normal(0, 0.01, (n, n))
         distance, near = np.clip(1 - sim + noise, 0, None), np.clip(sim + noise, 0, 1)
         distance, near = (distance + distance.T) / 2, (near + near.T) / 2
-        np.fill_diagonal(distance, 0)
-        np.fill_diagonal(near, 1)
+        if zero_diagonal:
+            np.fill_diagonal(distance, 0)
+            np.fill_diagonal(near, 1)
         rng = np.random.default_rng(seed)
-        for label, apart, least in ((spectral(near, rng, counts=counts), 1 - near, 0.0), (density(distance, counts=counts), distance, 0.1), (communities(near, counts=counts), 1 - near, 0.0)):
+        proposals = ((spectral(near, rng, counts=counts), 1 - near, 0.0), (density(distance, counts=counts), distance, 0.1), (communities(near, counts=counts), 1 - near, 0.0))
+        for label, apart, least in proposals:
             if label is None or not (kept := label >= 0).any():
                 continue
-            weight = silhouette(apart[np.ix_(kept, kept)], label[kept], counts[kept])
+            weight = proposal_weight(apart[np.ix_(kept, kept)], label[kept], counts[kept])
             if weight > least:
-                total += weight
+                total, good = total + weight, good + 1
             if weight > 0.1:
                 votes += weight * ((label[:, None] == label[None]) & kept[:, None] & kept[None])
+        if good >= early_stop:
+            break
     if total <= 0 or n < 2:
         return np.zeros(n, int)
     votes /= total
     i, j = np.triu_indices(n)
     pairs = np.where(i == j, counts[i] * (counts[i] - 1) / 2, counts[i] * counts[j])  # of rows
-    return connected(votes >= percentile(votes[i, j][pairs > 0], pairs[pairs > 0], 0.75))
+    told = (pairs > 0) & np.isfinite(votes[i, j])
+    if not told.any():
+        return average_linkage(np.nan_to_num(1 - votes, nan=1.0), counts=counts)
+    return connected(votes >= percentile(votes[i, j][told], pairs[told], 0.75))
 
 
 def mean_similarity(views: dict[str, list], names) -> np.ndarray:
