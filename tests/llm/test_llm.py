@@ -511,6 +511,20 @@ def test_nearest_neighbours(spark):
     assert ivfpq.search(frame.limit(0)).count() == 0
 
 
+def test_written_tables_can_be_removed(spark, tmp_path):
+    from tripleloom.llm.common import discard, shared_dir, table
+
+    written, given = table(spark.range(10).toDF("x"), "gone"), f"{tmp_path}/given"
+    spark.range(3).write.parquet(given)
+    place = written.inputFiles()[0].split("://")[-1].rsplit("/", 1)[0]
+    assert written.count() == 10 and shared_dir(spark).split("://")[-1].strip("/") in place
+    discard(written)
+    discard(spark.read.parquet(given))  # an input is no table of ours
+    import os
+
+    assert not os.path.exists(place) and spark.read.parquet(given).count() == 3
+
+
 def test_equal_vectors_tie_exactly(spark):
     """Queries outside groups of equal vectors: the smaller ids come first, whatever the block, in every length."""
     rng = np.random.default_rng(11)

@@ -46,6 +46,17 @@ def table(df: DataFrame, name: str, options: dict[str, str] = WRITING) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table() that nothing reads any more."""
+    spark = df.sparkSession
+    places = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    own = shared_dir(spark).split("://", 1)[-1].split(":", 1)[-1].lstrip("/")
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        if own in path.toUri().getPath():  # only what table() wrote
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     """Rows gathered by key into the session's shuffle partitions, or into `tasks` where that is more.
 
