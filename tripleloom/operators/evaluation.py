@@ -17,6 +17,8 @@ UNMAPPED = "NOVEL_UNMAPPED"
 UNKNOWN_PAIR = "UNK:UNK"
 #: Rows of a block of pairwise distances; cells of a contingency table that the driver takes.
 BLOCK, MOST_CELLS = 4096, 4_000_000
+#: Sums by row and label that a block of the silhouette holds.
+MOST_SUMS = 4_000_000
 
 
 def flat_labels(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -318,51 +320,92 @@ def dunn(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) ->
     return both.select(*by, F.round(F.try_divide("near", "wide"), 6).alias("dunn"))
 
 
-def _block_distances(rows: DataFrame, by: list[str], label: str, emb: str, most: int) -> DataFrame:
-    """by, i, li, lj and the mean distance d of row i to the other rows of lj, from all pairs of blocks."""
+def _row_silhouettes(rows: DataFrame, by: list[str], label: str, emb: str, most: int) -> DataFrame:
+    """by, value: (b - a) / max(a, b) of each row, 0 for a row alone in its cluster.
+
+    A block of rows meets every block of its group in one task, one after the other, and keeps the sums
+    of its rows' distances by label; so a row leaves once. Blocks are smaller where labels are many.
+    """
     whole = rows.where(F.col("vec_id").isNotNull() & F.col(emb).isNotNull())
-    pairs = _pairs_of_blocks(whole, by, [F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x")], most)
+    sizes = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
+    in_block = F.least(F.lit(most), F.greatest(F.lit(64), F.expr(f"{MOST_SUMS} div greatest(_k, 1)")))
+    sizes = checkpoint(sizes.select(*by, F.ceil(F.col("_n") / in_block).cast("int").alias("_blocks")))
+    joined = whole.join(sizes, [whole[c].eqNullSafe(sizes[c]) for c in by]).drop(*(sizes[c] for c in by)) if by else whole.crossJoin(F.broadcast(sizes))  # one row
+    place = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
+    row = F.struct(F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x"))
+    packed = checkpoint(joined.withColumn("p", place).groupBy(*by, "p", "_blocks").agg(F.collect_list(row).alias("a")))
+    own = packed.select(*by, "p", F.lit(-1).alias("q"), "a")
+    other = packed.select(*by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("to"), F.col("p").alias("q"), "a").select(*by, F.col("to").alias("p"), "q", "a")
+    # a task holds all blocks that a block meets, its own first
+    met = own.unionByName(other).repartition(*by, "p").sortWithinPartitions(*by, "p", "q")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = pa.schema([*((f.name, f.type) for f in packed.select(*by).limit(0).toArrow().schema), ("value", pa.float64())]) if by else pa.schema([("value", pa.float64())])
 
     def run(batches):
+        key = mine = None
         for b in batches:
-            kind = b.column("a").type.value_type.field("l").type
             for k in range(b.num_rows):
-                a, c = b.column("a")[k], b.column("b")[k]
-                i, j = (v.values.field("i").to_numpy(zero_copy_only=False) for v in (a, c))
-                li, lj, x, y = a.values.field("l").to_pylist(), c.values.field("l").to_pylist(), _vectors(a), _vectors(c)
-                names = sorted({n for n in lj if n is not None})
-                at = {n: c for c, n in enumerate(names)}
-                one = np.zeros((len(lj), len(names)))
-                for r, n in enumerate(lj):
-                    if n is not None:
-                        one[r, at[n]] = 1
-                same, sizes = b.column("p")[k].as_py() == b.column("q")[k].as_py(), (y * y).sum(1)
-                group = [pa.array([b.column(c)[k].as_py()], b.column(c).type) for c in by]
-                for lo in range(0, len(i), 256):
-                    u = x[lo : lo + 256]
-                    d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + sizes - 2 * u @ y.T, 0))
-                    n = np.tile(one.sum(0), (len(u), 1))
-                    if same:  # rows of one id are in one block
-                        own = i[lo : lo + 256, None] == j[None]
-                        d[own] = 0
-                        n -= own @ one
-                    total = d @ one
-                    r, c = (n > 0).nonzero()
-                    of = [g.take(pa.array(np.zeros(len(r), np.int64))) for g in group]
-                    yield pa.RecordBatch.from_arrays([*of, pa.array(i[lo + r]), pa.array([li[lo + z] for z in r], kind), pa.array([names[z] for z in c], kind), pa.array(total[r, c]), pa.array(n[r, c])], [*by, "i", "li", "lj", "s", "n"])
-
-    ddl = "".join(f"{c} {kinds[c]}, " for c in by) + f"i {kinds['vec_id']}, li {kinds[label]}, lj {kinds[label]}, s double, n double"
-    return pairs.mapInArrow(run, ddl).groupBy(*by, "i", "li", "lj").agg((F.sum("s") / F.sum("n")).alias("d"))
+                at, cell = tuple(b.column(c)[k].as_py() for c in (*by, "p")), b.column("a")[k]
+                i, names, x = cell.values.field("i").to_numpy(zero_copy_only=False), cell.values.field("l").to_pylist(), _vectors(cell)
+                if b.column("q")[k].as_py() < 0:
+                    if mine is not None:
+                        yield mine.values(key[:-1], schema)
+                    key, mine = at, _Sums(i, names, x)
+                else:
+                    mine.meet(i, names, x, b.column("q")[k].as_py() == at[-1])
+        if mine is not None:
+            yield mine.values(key[:-1], schema)
+
+    return met.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in by) + "value double")
+
+
+class _Sums:
+    """Of a block's rows: sums and numbers of their distances to the rows of each label met so far."""
+
+    def __init__(self, ids: np.ndarray, names: list, x: np.ndarray):
+        self.ids, self.names, self.x, self.of = ids, names, x, {}
+
+    def meet(self, ids: np.ndarray, names: list, y: np.ndarray, same: bool) -> None:
+        known = [k for k, n in enumerate(names) if n is not None]
+        ids, names, y = ids[known], [names[k] for k in known], y[known]
+        at = {n: c for c, n in enumerate(dict.fromkeys(names))}
+        one = np.zeros((len(names), len(at)))
+        one[np.arange(len(names)), [at[n] for n in names]] = 1
+        for n in at:
+            self.of.setdefault(n, np.zeros((2, len(self.ids))))
+        sizes = (y * y).sum(1)
+        for lo in range(0, len(self.ids), 256):
+            u = self.x[lo : lo + 256]
+            d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + sizes - 2 * u @ y.T, 0))
+            n = np.tile(one.sum(0), (len(u), 1))
+            if same:  # rows of one id are in one block
+                own = self.ids[lo : lo + 256, None] == ids[None]
+                d[own] = 0
+                n -= own @ one
+            total = d @ one
+            for name, c in at.items():
+                self.of[name][:, lo : lo + 256] += total[:, c], n[:, c]
+
+    def values(self, group: tuple, schema: pa.Schema) -> pa.RecordBatch:
+        own, other = np.full(len(self.ids), np.nan), np.full(len(self.ids), np.inf)
+        place = {n: k for k, n in enumerate(self.of)}
+        names = np.array([place.get(n, -1) for n in self.names])
+        for k, (total, n) in enumerate(self.of.values()):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(n > 0, total / n, np.nan)
+            mine = names == k
+            own[mine] = mean[mine]
+            other = np.where(~mine & ~np.isnan(mean), np.minimum(other, mean), other)
+        told = ~np.isnan(own) & np.isfinite(other) & (np.maximum(own, other) > 0)
+        value = np.where(told, (other - own) / np.where(told, np.maximum(own, other), 1), 0.0)
+        columns = [pa.array([g] * len(value), f.type) for g, f in zip(group, schema, strict=False)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(value)], schema=schema)
 
 
 def silhouette(rows: DataFrame, label: str, emb: str, by: list[str] | None = None, most: int = BLOCK) -> DataFrame:
     """Mean over rows of (b - a) / max(a, b); a row alone in its cluster counts 0. The whole table goes by blocks; rows without a vector are left out."""
     by = by or []
-    mean = _block_distances(rows, by, label, emb, most)
-    row = mean.groupBy(*by, "i", "li").agg(F.min(F.when(F.col("lj") == F.col("li"), F.col("d"))).alias("a"), F.min(F.when(F.col("lj") != F.col("li"), F.col("d"))).alias("b"))
-    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return row.groupBy(*by).agg(F.round(F.avg(value), 6).alias("silhouette"))
+    return _row_silhouettes(rows, by, label, emb, most).groupBy(*by).agg(F.round(F.avg("value"), 6).alias("silhouette"))
 
 
 def quality_bundle(rows: DataFrame, label: str, emb: str) -> DataFrame:
