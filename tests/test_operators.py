@@ -23,12 +23,17 @@ DATA = "/root/testdata/sf0.001"
 
 def test_fuzzy_match(spark):
     made = [("Bob", "bob smith"), ("", "x"), (None, "x"), (" ", "x")]
-    got = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "i int, a string, b string").select("i", X.fuzzy_match("a", "b").alias("f")).orderBy("i")
+    got = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(made)], "i int, a string, b string"
+    ).select("i", X.fuzzy_match("a", "b").alias("f")).orderBy("i")
     assert [r.f for r in got.collect()] == [True, False, False, True]
 
 
 def test_meaningful(spark):
-    want = {"founded_by": True, "no": False, "new_relation_x": False, "a_to_b": False, "per:a_to_b": True, "a_b_c_d": False, "related_to": True, "classification_failed": True, "temporary": False}
+    want = {
+        "founded_by": True, "no": False, "new_relation_x": False, "a_to_b": False, "per:a_to_b": True, "a_b_c_d": False,
+        "related_to": True, "classification_failed": True, "temporary": False
+    }
     got = spark.createDataFrame([(k,) for k in want], "r string").select("r", X.meaningful("r").alias("m")).collect()
     assert {r.r: r.m for r in got} == want
 
@@ -71,7 +76,9 @@ def test_last_row_wins(spark):
 
 
 def test_split_conserves(spark):
-    entries = O.entries_of(spark.createDataFrame([(f"r{i % 7}", "A", f"b{i}") for i in range(30)], "relation string, subj_type string, obj_type string"))
+    entries = O.entries_of(
+        spark.createDataFrame([(f"r{i % 7}", "A", f"b{i}") for i in range(30)], "relation string, subj_type string, obj_type string")
+    )
     known, hidden = O.split(entries, O.hidden_relations(entries))
     assert O.validate_split(known, hidden, entries).first() == (True, True, True)
     assert {r.relation for r in O.split(entries, O.hidden_relations(entries, given=["r3", "none"]))[1].collect()} == {"r3"}
@@ -140,7 +147,9 @@ def test_type_pairs_by_blocks_equal_plain_sums(spark, monkeypatch):
         wide = max((1 - unit[label == c] @ unit[label == c].T)[np.triu_indices((label == c).sum(), 1)].max() for c in set(label))
         centre = {c: x[label == c].mean(0) for c in set(label)}
         near = min(np.linalg.norm(centre[c] - centre[o]) for c in centre for o in centre if c != o)
-        assert got[pair].n_samples == len(x) and got[pair].silhouette == pytest.approx(np.mean(sil), abs=2e-6) and got[pair].dunn == pytest.approx(near / wide, abs=2e-6)
+        assert got[pair].n_samples == len(x) and got[pair].silhouette == pytest.approx(
+            np.mean(sil), abs=2e-6
+        ) and got[pair].dunn == pytest.approx(near / wide, abs=2e-6)
     summary = E.type_pair_summary(E.type_pair_quality(rows, "pair", "label", "embedding")).first()
     assert summary.n_typepairs == 4 and summary.avg_dunn == pytest.approx(np.mean([r.dunn for r in got.values() if r.dunn is not None]), abs=2e-6)
     assert E.type_pair_summary(E.type_pair_quality(rows.limit(0), "pair", "label", "embedding")).count() == 0
@@ -179,7 +188,10 @@ def test_broken_views_fall_back_to_the_relation(spark):
     assert np.isfinite(K.mean_similarity(views, A.VIEWS)).all()
     broken = views | {A.VIEWS[-1]: [[float("nan"), 0.0], *good[1:]]}
     assert not np.isfinite(K.mean_similarity(broken, A.VIEWS)).all()
-    rows = spark.createDataFrame([(r, "a", o, "a:b") for r, o in zip("pqr", "bbb", strict=True)], "relation string, subj_type string, obj_type string, type_sig string")
+    rows = spark.createDataFrame(
+        [(r, "a", o, "a:b") for r, o in zip("pqr", "bbb", strict=True)],
+        "relation string, subj_type string, obj_type string, type_sig string"
+    )
     of = {"Relation: p": good[0], "Relation: q": good[1], "Relation: r": good[2]}
 
     def lookup(texts):
@@ -229,7 +241,9 @@ def test_communities_are_leidens():
     for _ in range(20):
         w = np.triu(rng.random((18, 18)) * (rng.random((18, 18)) < 0.25), 1)
         w = w + w.T
-        got, moved = K.communities(w), K._moved(np.where(w > 0.1, w, 0), np.where(w > 0.1, w, 0).sum(1), np.arange(18), np.where(w > 0.1, w, 0).sum(), 1.0)
+        got, moved = K.communities(w), K._moved(
+            np.where(w > 0.1, w, 0), np.where(w > 0.1, w, 0).sum(1), np.arange(18), np.where(w > 0.1, w, 0).sum(), 1.0
+        )
         assert modularity(np.where(w > 0.1, w, 0), got) >= modularity(np.where(w > 0.1, w, 0), moved) - 1e-9
         for c in set(got):  # a community hangs together
             part = np.where(w > 0.1, w, 0)[np.ix_(got == c, got == c)] > 0
@@ -292,7 +306,9 @@ def test_density_takes_groups_of_unlike_density():
 
 
 def test_consensus_uses_four_views(spark):
-    rows = spark.createDataFrame([(r, "a", "b", "a:b") for r in ("p", "q", "q")], "relation string, subj_type string, obj_type string, type_sig string")
+    rows = spark.createDataFrame(
+        [(r, "a", "b", "a:b") for r in ("p", "q", "q")], "relation string, subj_type string, obj_type string, type_sig string"
+    )
     seen = []
 
     def lookup(texts):
@@ -313,11 +329,16 @@ def test_silhouette_reads_every_vector(spark):
         a, b = mean.pop(label[i]), min(m.mean() for c, m in mean.items() if c != label[i])
         values.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0.0)
     assert catalog.QUERIES["silhouette"](spark, DATA).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
-    assert E.silhouette(catalog.Views(spark, DATA).vectors(), "label", "embedding", most=100).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
+    assert E.silhouette(
+        catalog.Views(spark, DATA).vectors(), "label", "embedding", most=100
+    ).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
 
 
 def test_acceptance_order(spark):
-    made = [(0, "A", "B", True, "Low"), (1, "Z", "B", False, "Low"), (2, "A", "Z", False, "High"), (3, "A", "B", False, "Low"), (4, "A", "B", False, "Medium"), (5, None, None, None, None)]
+    made = [
+        (0, "A", "B", True, "Low"), (1, "Z", "B", False, "Low"), (2, "A", "Z", False, "High"), (3, "A", "B", False, "Low"),
+        (4, "A", "B", False, "Medium"), (5, None, None, None, None)
+    ]
     rows = spark.createDataFrame(made, "cluster_id long, domain string, range string, existing_match boolean, confidence string")
     classes = spark.createDataFrame([("a",), ("b",)], "class string")
     got = {r.cluster_id: r.reason for r in L.judge(rows, classes).collect()}
@@ -329,12 +350,18 @@ def test_failed_calls_are_rows(spark):
         def classify(self, rows):
             raise OSError("no endpoint")
 
-    samples = spark.createDataFrame([("1", "s", "a", "b", "x", "y")], "id string, sentence string, subject string, object string, subj_type string, obj_type string")
+    samples = spark.createDataFrame(
+        [("1", "s", "a", "b", "x", "y")],
+        "id string, sentence string, subject string, object string, subj_type string, obj_type string"
+    )
     assert C.classify(samples, Broken).first().triple.relation == C.FAILED
 
 
 def test_blocked_similarities_equal_broadcast(spark, monkeypatch):
-    rows = spark.createDataFrame([(str(i), *[[float(i), 1.0]] * 4) for i in range(3)], "a string, " + ", ".join(f"{v}_emb array<double>" for v in A.VIEWS))
+    rows = spark.createDataFrame(
+        [(str(i), *[[float(i), 1.0]] * 4) for i in range(3)],
+        "a string, " + ", ".join(f"{v}_emb array<double>" for v in A.VIEWS)
+    )
     right = rows.withColumnRenamed("a", "b")
     want = sorted(A.similarities(rows, right, "a", "b", 3).collect())
     assert sorted(A.similarities(rows, right, "a", "b", 10**9).collect()) == want

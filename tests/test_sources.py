@@ -16,7 +16,10 @@ from tripleloom.sources import readers
 from tripleloom.sources.models import HttpModel
 from tripleloom.streaming import resume
 
-MENTION = {"id": "x1", "token": ["Ann", "Lee", "works", "at", "Acme"], "subj_start": 0, "subj_end": 1, "obj_start": 4, "obj_end": 4, "subj_type": " PERSON ", "obj_type": "Org", "relation": "per:employee_of"}
+MENTION = {
+    "id": "x1", "token": ["Ann", "Lee", "works", "at", "Acme"], "subj_start": 0, "subj_end": 1, "obj_start": 4, "obj_end": 4,
+    "subj_type": " PERSON ", "obj_type": "Org", "relation": "per:employee_of"
+}
 
 
 def written(path, value):
@@ -27,7 +30,9 @@ def written(path, value):
 def test_mentions_of_a_json_array(spark, tmp_path):
     rows = [MENTION, {**MENTION, "id": "x2", "relation": "no_relation"}, {**MENTION, "id": "x3", "extra": {"a": 1}, "obj_end": 40}]
     got = {r.id: r for r in readers.mentions(spark, written(tmp_path / "data.json", rows)).collect()}
-    assert set(got) == {"x1", "x3"} and got["x1"].subject == "Ann Lee" and got["x1"].object == "Acme" and got["x1"].sentence == "Ann Lee works at Acme"
+    assert set(got) == {
+        "x1", "x3"
+    } and got["x1"].subject == "Ann Lee" and got["x1"].object == "Acme" and got["x1"].sentence == "Ann Lee works at Acme"
     assert readers.mentions(spark, written(tmp_path / "none.json", [])).count() == 0
 
 
@@ -36,7 +41,9 @@ def test_schema_tree_with_and_without_its_wrapper(spark, tmp_path, wrapped):
     tree = {"PERSON": {"ORG": ["per:employee_of", "per:founded"], "CITY": ["per:born_in"]}}
     path = written(tmp_path / "schema.json", {"relations": tree} if wrapped else tree)
     got = {(r.relation, r.domain_type, r.range_type) for r in readers.schema_tree(spark, path).collect()}
-    assert {(r, d.lower(), g.lower()) for r, d, g in got} == {("per:employee_of", "person", "org"), ("per:founded", "person", "org"), ("per:born_in", "person", "city")}
+    assert {(r, d.lower(), g.lower()) for r, d, g in got} == {
+        ("per:employee_of", "person", "org"), ("per:founded", "person", "org"), ("per:born_in", "person", "city")
+    }
 
 
 def test_records_leave_out_broken_lines(spark, tmp_path):
@@ -113,24 +120,43 @@ def test_endpoint_answers_in_order_and_is_asked_again(endpoint):
 
 def test_classify_and_validate_through_the_endpoint(spark, endpoint):
     url, _ = endpoint
-    samples = spark.createDataFrame([(str(i), "down" if i == 2 else "s", "a", "b", "X", "Y", f'{{"subject": "a", "relation": "r{i}", "object": "b"}}' + (" down" if i == 2 else "")) for i in range(4)], "id string, sentence string, subject string, object string, subj_type string, obj_type string, prompt string")
+    samples = spark.createDataFrame(
+        [(str(i), "down" if i == 2 else "s", "a", "b", "X", "Y", f'{{"subject": "a", "relation": "r{i}", "object": "b"}}' + (" down" if i == 2 else "")) for i in range(4)],
+        "id string, sentence string, subject string, object string, subj_type string, obj_type string, prompt string"
+    )
     found = {r.id: r.triple.relation for r in C.classify(samples, lambda: C.PromptClassifier(HttpModel(url, "m", pause=0.01))).collect()}
     assert found == {"0": "r0", "1": "r1", "2": C.FAILED, "3": "r3"}
-    asked = spark.createDataFrame([(1, '{"name": "n", "confidence": "High", "existing_match": false}'), (2, "down")], "cluster_id long, prompt string")
+    asked = spark.createDataFrame(
+        [(1, '{"name": "n", "confidence": "High", "existing_match": false}'), (2, "down")], "cluster_id long, prompt string"
+    )
     got = {r.cluster_id: (r.name, r.confidence) for r in L.validate(asked, lambda: HttpModel(url, "m", pause=0.01)).collect()}
     assert got == {1: ("n", "High"), 2: (None, None)}
 
 
 def test_export_documents(spark):
-    made = [(3, "n3", "told", "A", "B", None, "High", "why", "accepted"), (1, "n1", None, "A", "B", None, "Medium", None, "accepted"), (4, "n4", None, "A", "B", "old", "High", None, "existing_match"), (5, "n5", None, "Q", "B", None, "High", None, "invalid_domain"), (6, None, None, None, None, None, None, None, "no_reply")]
-    judged = spark.createDataFrame(made, "cluster_id long, name string, description string, domain string, range string, existing_relation_name string, confidence string, reasoning string, reason string").withColumn("accepted", F.col("reason") == "accepted")
-    evidence = spark.createDataFrame([(i, 3 if i < 7 else 1, f"s{i}", None if i == 1 else "r", "o") for i in range(9)], "idx long, cluster_id long, subject string, relation string, object string")
+    made = [
+        (3, "n3", "told", "A", "B", None, "High", "why", "accepted"),
+        (1, "n1", None, "A", "B", None, "Medium", None, "accepted"),
+        (4, "n4", None, "A", "B", "old", "High", None, "existing_match"),
+        (5, "n5", None, "Q", "B", None, "High", None, "invalid_domain"),
+        (6, None, None, None, None, None, None, None, "no_reply")
+    ]
+    judged = spark.createDataFrame(
+        made,
+        "cluster_id long, name string, description string, domain string, range string, existing_relation_name string, confidence string, reasoning string, reason string"
+    ).withColumn("accepted", F.col("reason") == "accepted")
+    evidence = spark.createDataFrame(
+        [(i, 3 if i < 7 else 1, f"s{i}", None if i == 1 else "r", "o") for i in range(9)],
+        "idx long, cluster_id long, subject string, relation string, object string"
+    )
     accepted = L.export(judged, evidence)
     whole = json.loads(L.export_document(accepted, "now").first().value)
     assert whole["metadata"] == {"n_novel_relations": 2, "timestamp": "now"}
     first, second = whole["novel_relations"]
     assert first["cluster_id"] == 1 and first["description"] is None and second["evidence_count"] == 7 and second["reasoning"] == "why"
-    assert second["sample_triples"][:2] == [{"subject": "s0", "relation": "r", "object": "o"}, {"subject": "s1", "relation": "N/A", "object": "o"}] and len(second["sample_triples"]) == 5
+    assert second["sample_triples"][:2] == [
+        {"subject": "s0", "relation": "r", "object": "o"}, {"subject": "s1", "relation": "N/A", "object": "o"}
+    ] and len(second["sample_triples"]) == 5
     report = L.rejected_report(judged).first()
     assert [tuple(x) for x in report.existing_match] == [(4, "n4", "old")] and [tuple(x) for x in report.type_incompatible] == [(5, "n5", "Q", "B")] and [tuple(x) for x in report.low_confidence] == [(6,)]
     empty = json.loads(L.export_document(accepted.limit(0), "now").first().value)
@@ -144,9 +170,14 @@ def test_stream_classifies_each_file_once(spark, tmp_path):
 
     folder = tmp_path / "in"
     folder.mkdir()
-    follow = lambda: resume.follow(spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/state", Clerk).awaitTermination()
+    follow = lambda: resume.follow(
+        spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/state", Clerk
+    ).awaitTermination()
     for k in range(3):
-        written(folder / f"{k}.json", json.dumps({"id": str(k), "sentence": "s", "subject": "a", "object": "b", "subj_type": "A", "obj_type": None}) + "\n")
+        written(
+            folder / f"{k}.json",
+            json.dumps({"id": str(k), "sentence": "s", "subject": "a", "object": "b", "subj_type": "A", "obj_type": None}) + "\n"
+        )
         follow()
     follow()
     got = sorted((r.id, r.triple.relation) for r in readers.records(spark, f"file://{tmp_path}/out").collect())

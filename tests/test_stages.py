@@ -10,7 +10,10 @@ from tripleloom.operators.alignment import HashEmbedder, embed_with
 from tripleloom.operators.classification import PromptClassifier
 from tripleloom.plans import stages
 
-TYPES = {"per:employee_of": ("PERSON", "ORG"), "per:born_in": ("PERSON", "CITY"), "org:founded_by": ("ORG", "PERSON"), "org:based_in": ("ORG", "CITY"), "per:title": ("PERSON", "TITLE")}
+TYPES = {
+    "per:employee_of": ("PERSON", "ORG"), "per:born_in": ("PERSON", "CITY"), "org:founded_by": ("ORG", "PERSON"),
+    "org:based_in": ("ORG", "CITY"), "per:title": ("PERSON", "TITLE")
+}
 HIDDEN = ["per:title"]
 
 
@@ -22,19 +25,32 @@ class Clerk:
         for p in prompts:
             words = p.split("\n")[0].split()
             relation = next(w for w in words if ":" in w and w != "Sentence:")
-            out.append(None if "broken" in words else f'Sure: {{"subject": "{words[1]}", "relation": "{relation.replace("title", "job_title")}", "object": "{words[-1]}"}}')
+            out.append(
+                None if "broken" in words else f'Sure: {{"subject": "{words[1]}", "relation": "{relation.replace("title", "job_title")}", "object": "{words[-1]}"}}'
+            )
         return out
 
 
 class Judge:
     def answer(self, prompts):
-        return [json.dumps({"name": f"r{i}", "domain": "PERSON", "range": "TITLE", "existing_match": False, "confidence": "High"}) if "PERSON to TITLE" in p else None for i, p in enumerate(prompts)]
+        return [
+            json.dumps(
+                {"name": f"r{i}", "domain": "PERSON", "range": "TITLE", "existing_match": False, "confidence": "High"}
+            ) if "PERSON to TITLE" in p else None for i,
+            p in enumerate(prompts)
+        ]
 
 
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     folder = tmp_path_factory.mktemp("data")
-    rows = [{"id": f"x{i}", "token": [f"s{i}", r, "of", "broken" if i == 7 else "fine", f"o{i}"], "subj_start": 0, "subj_end": 0, "obj_start": 4, "obj_end": 4, "subj_type": d, "obj_type": g, "relation": r} for i, (r, (d, g)) in enumerate(list(TYPES.items()) * 12)]
+    rows = [
+        {
+            "id": f"x{i}", "token": [f"s{i}", r, "of", "broken" if i == 7 else "fine", f"o{i}"], "subj_start": 0, "subj_end": 0,
+            "obj_start": 4, "obj_end": 4, "subj_type": d, "obj_type": g, "relation": r
+        } for i,
+        (r, (d, g)) in enumerate(list(TYPES.items()) * 12)
+    ]
     rows.append({**rows[0], "id": "none", "relation": "no_relation"})
     (folder / "data.json").write_text(json.dumps(rows))
     return folder

@@ -35,7 +35,10 @@ def run_all(spark: SparkSession, config: Config, now: str | None = None) -> str:
     stages.classify(spark, folder, config.data["test_path"], config.data["schema_path"], classifier_of(c["base_url"], c["model"]))
     stages.align(spark, folder, lookup, a.get("threshold", 0.90))
     stages.cluster(spark, folder, lookup, k.get("similarity_threshold", 0.60), k.get("n_consensus_runs", 3), k.get("preserve_singletons", True))
-    stages.validate(spark, folder, lambda: HttpModel(v["base_url"], v["model"]), v.get("top_k_representatives", 5), v.get("min_cluster_size", 5), v.get("min_confidence", "Medium"))
+    stages.validate(
+        spark, folder, lambda: HttpModel(v["base_url"], v["model"]), v.get("top_k_representatives", 5),
+        v.get("min_cluster_size", 5), v.get("min_confidence", "Medium")
+    )
     stages.write_manifest(spark, {**config.settings(), "finished": datetime.now(timezone.utc).isoformat()}, f"{folder}/00_config")
     return folder
 
@@ -50,12 +53,22 @@ def parser() -> argparse.ArgumentParser:
         for flag, options in flags.items():
             p.add_argument(f"--{flag.replace('_', '-')}", **options)
 
-    need, endpoint = {"required": True}, {"base_url": {"required": True}, "model": {"required": True}, "temperature": {"type": float, "default": 0.0}, "max_tokens": {"type": int, "default": 500}}
+    need, endpoint = {"required": True}, {
+        "base_url": {"required": True}, "model": {"required": True}, "temperature": {"type": float, "default": 0.0},
+        "max_tokens": {"type": int, "default": 500}
+    }
     stage("extract-schema", data=need, output=need)
     stage("classify", folder=need, data=need, schema=need, **endpoint)
     stage("align", folder=need, embedder={"default": "hash"}, threshold={"type": float, "default": 0.90})
-    stage("cluster", folder=need, embedder={"default": "hash"}, similarity_threshold={"type": float, "default": 0.60}, consensus_runs={"type": int, "default": 3}, preserve_singletons={"action": argparse.BooleanOptionalAction, "default": True})
-    stage("validate", folder=need, **endpoint, top_k={"type": int, "default": 5}, min_cluster_size={"type": int, "default": 5}, min_confidence={"choices": ["Low", "Medium", "High"], "default": "Medium"})
+    stage(
+        "cluster", folder=need, embedder={"default": "hash"}, similarity_threshold={"type": float, "default": 0.60},
+        consensus_runs={"type": int, "default": 3},
+        preserve_singletons={"action": argparse.BooleanOptionalAction, "default": True}
+    )
+    stage(
+        "validate", folder=need, **endpoint, top_k={"type": int, "default": 5}, min_cluster_size={"type": int, "default": 5},
+        min_confidence={"choices": ["Low", "Medium", "High"], "default": "Medium"}
+    )
     stage("run", config=need)
     return top
 
@@ -79,7 +92,10 @@ def main(argv: list[str] | None = None) -> None:
     elif o.stage == "cluster":
         LOG.info("%s", stages.cluster(spark, o.folder, lookup_of(o.embedder), o.similarity_threshold, o.consensus_runs, o.preserve_singletons))
     elif o.stage == "validate":
-        stages.validate(spark, o.folder, lambda: HttpModel(o.base_url, o.model, o.temperature, o.max_tokens), o.top_k, o.min_cluster_size, o.min_confidence).show()
+        stages.validate(
+            spark, o.folder, lambda: HttpModel(o.base_url, o.model, o.temperature, o.max_tokens), o.top_k, o.min_cluster_size,
+            o.min_confidence
+        ).show()
     else:
         with open(o.config) as f:
             LOG.info("%s", run_all(spark, Config.load(f.read())))

@@ -27,7 +27,12 @@ class AlignmentConfig:
 
 def view_texts(rows: DataFrame, subj: str = "subj_type", relation: str = "relation", obj: str = "obj_type") -> DataFrame:
     """rows with the four texts <view>_text; null for a missing type."""
-    return rows.withColumns({"triple_text": triple_text(subj, relation, obj), "relation_text": relation_text(relation), "subject_text": type_text(subj), "object_text": type_text(obj)})
+    return rows.withColumns(
+        {
+            "triple_text": triple_text(subj, relation, obj), "relation_text": relation_text(relation),
+            "subject_text": type_text(subj), "object_text": type_text(obj)
+        }
+    )
 
 
 class Embedder(Protocol):
@@ -133,7 +138,10 @@ def signatures(triples: DataFrame) -> DataFrame:
     return rows.withColumn("sig_id", F.md5(F.concat_ws("|", *(F.coalesce(c, F.lit("\u0000")) for c in SIGNATURE)).cast("binary")))
 
 
-def align_signatures(triples: DataFrame, entries: DataFrame, lookup, config: AlignmentConfig = AlignmentConfig(), class_set: DataFrame | None = None) -> DataFrame:
+def align_signatures(
+    triples: DataFrame, entries: DataFrame, lookup, config: AlignmentConfig = AlignmentConfig(),
+    class_set: DataFrame | None = None
+) -> DataFrame:
     """Alignment of each distinct signature."""
     from tripleloom.operators.ontology import classes
 
@@ -151,7 +159,13 @@ def align_signatures(triples: DataFrame, entries: DataFrame, lookup, config: Ali
     rows = rows.withColumn("match_type", kind).withColumn("constraint_violation", near & F.col("constraint_violation"))
     mode = F.when(F.col("match_type") == "constraint_violation", "constraint").when(F.col("match_type") == "new_triple_candidate", "relation")
     has = lambda c, v: F.when(F.col(c).isNotNull(), F.round(f"sim_{v}", 6))
-    return rows.select(*SIGNATURE, F.when(near, F.col("ont_idx")).alias("matched_ontology_idx"), "match_type", "constraint_violation", (F.col("match_type") != "known_triple").alias("to_cluster"), mode.alias("cluster_mode"), F.round("best_score", 6).alias("best_score"), F.round("sim_triple", 6).alias("triple_similarity"), F.round("sim_relation", 6).alias("relation_similarity"), has("subj_type", "subject").alias("subject_similarity"), has("obj_type", "object").alias("object_similarity"))
+    return rows.select(
+        *SIGNATURE, F.when(near, F.col("ont_idx")).alias("matched_ontology_idx"), "match_type", "constraint_violation",
+        (F.col("match_type") != "known_triple").alias("to_cluster"), mode.alias("cluster_mode"),
+        F.round("best_score", 6).alias("best_score"), F.round("sim_triple", 6).alias("triple_similarity"),
+        F.round("sim_relation", 6).alias("relation_similarity"), has("subj_type", "subject").alias("subject_similarity"),
+        has("obj_type", "object").alias("object_similarity")
+    )
 
 
 def align(triples: DataFrame, entries: DataFrame, lookup, config: AlignmentConfig = AlignmentConfig()) -> DataFrame:
@@ -163,16 +177,29 @@ def align(triples: DataFrame, entries: DataFrame, lookup, config: AlignmentConfi
 
 
 def statistics(results: DataFrame) -> DataFrame:
-    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("match_type") == "known_triple").alias("aligned"), F.count_if("to_cluster").alias("to_cluster"), F.count_if("constraint_violation").alias("violations"))
+    return results.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("match_type") == "known_triple").alias("aligned"),
+        F.count_if("to_cluster").alias("to_cluster"), F.count_if("constraint_violation").alias("violations")
+    )
 
 
 def confusion(results: DataFrame, samples: DataFrame, known: DataFrame) -> DataFrame:
     """Aligned or not against known or not, joined by position: counts, precision, recall, F1, specificity."""
-    sig = known.select(F.col("relation"), F.col("domain_type").alias("subj_type"), F.col("range_type").alias("obj_type")).distinct().withColumn("_known", F.lit(True))
+    sig = known.select(
+        F.col("relation"), F.col("domain_type").alias("subj_type"), F.col("range_type").alias("obj_type")
+    ).distinct().withColumn("_known", F.lit(True))
     truth = samples.join(sig, list(SIGNATURE), "left").select(F.col("idx").alias("classified_idx"), F.coalesce("_known", F.lit(False)).alias("known"))
     rows = results.join(truth, "classified_idx").withColumn("aligned", F.col("match_type") == "known_triple")
-    n = rows.agg(F.count_if(F.expr("aligned and known")).alias("tp"), F.count_if(F.expr("aligned and not known")).alias("fp"), F.count_if(F.expr("not aligned and known")).alias("fn"), F.count_if(F.expr("not aligned and not known")).alias("tn"))
-    n = n.withColumns({"precision": ratio("tp", F.col("tp") + F.col("fp")), "recall": ratio("tp", F.col("tp") + F.col("fn")), "specificity": ratio("tn", F.col("tn") + F.col("fp"))})
+    n = rows.agg(
+        F.count_if(F.expr("aligned and known")).alias("tp"), F.count_if(F.expr("aligned and not known")).alias("fp"),
+        F.count_if(F.expr("not aligned and known")).alias("fn"), F.count_if(F.expr("not aligned and not known")).alias("tn")
+    )
+    n = n.withColumns(
+        {
+            "precision": ratio("tp", F.col("tp") + F.col("fp")), "recall": ratio("tp", F.col("tp") + F.col("fn")),
+            "specificity": ratio("tn", F.col("tn") + F.col("fp"))
+        }
+    )
     n = n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return n.select("tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "specificity")))
 

@@ -72,11 +72,19 @@ def components(nodes: DataFrame, edges: DataFrame, group: list[str], rounds: int
 
     Least labels spread over links and jump to their own label's label; each round is written.
     """
-    both = checkpoint(edges.where("a != b").select(*group, "a", "b").unionByName(edges.where("a != b").select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = checkpoint(
+        edges.where("a != b").select(*group, "a", "b").unionByName(
+            edges.where("a != b").select(*group, F.col("b").alias("a"), F.col("a").alias("b"))
+        ).distinct()
+    )
     label = checkpoint(nodes.select(*group, "node", F.col("node").alias("label")))
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), [*group, "b"]).groupBy(*group, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = checkpoint(label.join(near, [*group, "node"], "left").select(*group, "node", F.least("label", "near").alias("to"), F.col("label").alias("was")))
+        near = both.join(
+            label.withColumnRenamed("node", "b"), [*group, "b"]
+        ).groupBy(*group, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hop = checkpoint(
+            label.join(near, [*group, "node"], "left").select(*group, "node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        )
         jump = hop.select(*group, F.col("node").alias("to"), F.col("to").alias("then"))
         new = checkpoint(hop.join(jump, [*group, "to"], "left").select(*group, "node", F.coalesce("then", "to").alias("label"), "was"))
         moved = not new.where("label != was").isEmpty()
@@ -96,21 +104,30 @@ def graph_split(members: DataFrame, cluster: list[str], label: str = "relation",
     rows = members.join(found, [*cluster, label])
     parts = rows.groupBy(*cluster, "_part").agg(F.min("idx").alias("_first"))
     firsts = rows.groupBy(*cluster).agg(F.min("idx").alias("_cluster_first"))
-    numbered = parts.join(firsts, cluster).withColumn("cluster_id", F.row_number().over(Window.orderBy("_cluster_first", "_first")).cast("long") - 1)  # one row a cluster
+    numbered = parts.join(firsts, cluster).withColumn(
+        "cluster_id", F.row_number().over(Window.orderBy("_cluster_first", "_first")).cast("long") - 1
+    )  # one row a cluster
     return checkpoint(rows.join(numbered.select(*cluster, "_part", "cluster_id"), [*cluster, "_part"]).drop("_part"))
 
 
 def cluster_similarity(members: DataFrame, label: str = "relation", emb: str = "relation_emb") -> DataFrame:
     """cluster_id, n, mean, least and largest similarity of the pairs, for clusters of two rows or more."""
     pairs = label_pairs(members, ["cluster_id"], label, emb).where("pairs > 0")
-    sims = pairs.groupBy("cluster_id").agg((F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")).alias("mean_sim"), F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"))
+    sims = pairs.groupBy("cluster_id").agg(
+        (F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")).alias("mean_sim"), F.min("sim").alias("min_sim"),
+        F.max("sim").alias("max_sim")
+    )
     return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).join(sims, "cluster_id")
 
 
 def quality(members: DataFrame, label: str = "relation", emb: str = "relation_emb") -> DataFrame:
     """total_items, total_clusters, avg_cluster_size, avg_within_cluster_similarity, of clusters of two or more."""
     rows = cluster_similarity(members, label, emb)
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_items"), F.count(F.lit(1)).alias("total_clusters"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_cluster_size"), F.round(F.coalesce(F.avg("mean_sim"), F.lit(0.0)), 6).alias("avg_within_cluster_similarity"))
+    return rows.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_items"), F.count(F.lit(1)).alias("total_clusters"),
+        F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_cluster_size"),
+        F.round(F.coalesce(F.avg("mean_sim"), F.lit(0.0)), 6).alias("avg_within_cluster_similarity")
+    )
 
 
 def report(members: DataFrame, label: str = "relation", emb: str = "relation_emb", threshold: float = 0.65) -> DataFrame:
@@ -129,7 +146,10 @@ def report(members: DataFrame, label: str = "relation", emb: str = "relation_emb
     parts = components(nodes, edges, ["cluster_id"]).groupBy("cluster_id").agg(F.count_distinct("label").alias("components"))
     sizes = counted.groupBy("cluster_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_relations"))
     found = sizes.join(sims, "cluster_id", "left").join(parts, "cluster_id", "left")
-    return found.select("cluster_id", "n", "n_relations", "mean_sim", "min_sim", "max_sim", F.coalesce("components", F.lit(0)).cast("long").alias("components"))
+    return found.select(
+        "cluster_id", "n", "n_relations", "mean_sim", "min_sim", "max_sim",
+        F.coalesce("components", F.lit(0)).cast("long").alias("components")
+    )
 
 
 def top_labels(members: DataFrame, k: int = 5) -> DataFrame:
@@ -141,7 +161,9 @@ def top_labels(members: DataFrame, k: int = 5) -> DataFrame:
 def summary(members: DataFrame) -> DataFrame:
     """Rows, clusters and singletons by mode."""
     sizes = members.groupBy("cluster_mode", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("cluster_mode").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"))
+    return sizes.groupBy("cluster_mode").agg(
+        F.sum("n").alias("items"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons")
+    )
 
 
 def merge_singletons_once(members: DataFrame, label: str = "relation", emb: str = "relation_emb", threshold: float = MERGE) -> DataFrame:
@@ -167,13 +189,20 @@ def merge_singletons_in_turn(members: DataFrame, label: str = "relation", emb: s
     the clusters' label sets plus the singletons.
     """
     size = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cluster_id")))
-    large = size.where("_n > 1").groupBy("cluster_id", F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("c"), F.first(emb).alias("v"), F.lit(None).cast("long").alias("idx"))
+    large = size.where("_n > 1").groupBy("cluster_id", F.col(label).alias("name")).agg(
+        F.count(F.lit(1)).alias("c"), F.first(emb).alias("v"), F.lit(None).cast("long").alias("idx")
+    )
     alone = size.where("_n = 1").select("cluster_id", F.col(label).alias("name"), F.lit(0).cast("long").alias("c"), F.col(emb).alias("v"), "idx")
-    both = large.select("cluster_id", "name", "c", F.col("v").cast("array<double>").alias("v"), "idx").unionByName(alone.select("cluster_id", "name", "c", F.col("v").cast("array<double>").alias("v"), "idx"))
+    both = large.select("cluster_id", "name", "c", F.col("v").cast("array<double>").alias("v"), "idx").unionByName(
+        alone.select("cluster_id", "name", "c", F.col("v").cast("array<double>").alias("v"), "idx")
+    )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         big, small = rows[rows["c"] > 0], rows[rows["c"] == 0].sort_values("cluster_id")
-        sums = {k: (np.sum([n * np.array(v) for n, v in zip(g["c"], g["v"], strict=True)], axis=0), int(g["c"].sum())) for k, g in big.groupby("cluster_id")}
+        sums = {
+            k: (np.sum([n * np.array(v) for n, v in zip(g["c"], g["v"], strict=True)], axis=0), int(g["c"].sum())) for k,
+            g in big.groupby("cluster_id")
+        }
         free, out = max(sums, default=-1) + 1, []
         for idx, v in zip(small["idx"], small["v"], strict=True):
             scored = [(float(s @ np.array(v)) / n, -k) for k, (s, n) in sums.items()]
@@ -377,7 +406,10 @@ def proposal_weight(distance: np.ndarray, label: np.ndarray, counts: np.ndarray)
     return max(0.0, silhouette(distance, label, counts)) if not np.diag(distance).any() else 0.0
 
 
-def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False, counts: np.ndarray | None = None, early_stop: int = 40) -> np.ndarray:
+def consensus(
+    sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: bool = False, counts: np.ndarray | None = None,
+    early_stop: int = 40
+) -> np.ndarray:
     """Labels by weighted votes of three proposals a run over noisy similarities and distances.
 
     The noise is on the diagonal too, unless zero_diagonal takes it off: then every proposal is invalid
@@ -394,7 +426,10 @@ def consensus(sim: np.ndarray, runs: int = 3, seed: int = 42, zero_diagonal: boo
             np.fill_diagonal(distance, 0)
             np.fill_diagonal(near, 1)
         rng = np.random.default_rng(seed)
-        proposals = ((spectral(near, rng, counts=counts), 1 - near, 0.0), (density(distance, counts=counts), distance, 0.1), (communities(near, counts=counts), 1 - near, 0.0))
+        proposals = (
+            (spectral(near, rng, counts=counts), 1 - near, 0.0), (density(distance, counts=counts), distance, 0.1),
+            (communities(near, counts=counts), 1 - near, 0.0)
+        )
         for label, apart, least in proposals:
             if label is None or not (kept := label >= 0).any():
                 continue
@@ -429,7 +464,9 @@ def mean_similarity(views: dict[str, list], names) -> np.ndarray:
     return (np.clip(mean / size[:, None] / size, -1, 1) + 1) / 2
 
 
-def consensus_labels(members: DataFrame, lookup, group: str = "type_sig", label: str = "relation", zero_diagonal: bool = False, runs: int = 3) -> DataFrame:
+def consensus_labels(
+    members: DataFrame, lookup, group: str = "type_sig", label: str = "relation", zero_diagonal: bool = False, runs: int = 3
+) -> DataFrame:
     """group, label, part: consensus over a group's rows by the mean similarity of the four views.
 
     Rows of one label and type pair have the same views, so a task holds a group's distinct labels and
@@ -447,6 +484,8 @@ def consensus_labels(members: DataFrame, lookup, group: str = "type_sig", label:
             sim = np.nan_to_num(mean_similarity(views, ("relation",)), nan=0.5)
         counts = rows["_c"].to_numpy()
         k = eigengap(sim, counts=counts) if counts.sum() > 2 else 1
-        return pd.DataFrame({group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal, counts=counts), "eigengap_k": k})
+        return pd.DataFrame(
+            {group: rows[group], label: rows[label], "part": consensus(sim, runs, zero_diagonal=zero_diagonal, counts=counts), "eigengap_k": k}
+        )
 
     return names.groupBy(group).applyInPandas(run, f"{group} string, {label} string, part long, eigengap_k long")

@@ -23,13 +23,17 @@ MOST_SUMS = 4_000_000
 
 def flat_labels(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     """idx, pred: the cluster of each row, -1 without one."""
-    return rows.select("idx").join(clusters.select("idx", "cluster_id"), "idx", "left").select("idx", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("pred"))
+    return rows.select("idx").join(clusters.select("idx", "cluster_id"), "idx", "left").select(
+        "idx", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("pred")
+    )
 
 
 def ground_truth(results: DataFrame, samples: DataFrame) -> DataFrame:
     """idx, true: by sentence id, the last sample wins; rows without one are left out."""
     w = Window.partitionBy("id").orderBy(F.desc("idx"))
-    last = samples.where("id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("id").alias("sentence_id"), F.col("relation").alias("true"))
+    last = samples.where("id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(
+        F.col("id").alias("sentence_id"), F.col("relation").alias("true")
+    )
     return results.join(last, "sentence_id").select(F.col("classified_idx").alias("idx"), "true")
 
 
@@ -38,7 +42,10 @@ def masks(rows: DataFrame, hidden: DataFrame) -> DataFrame:
     flagged = rows.join(hidden.select(F.col("relation").alias("true"), F.lit(True).alias("_h")), "true", "left")
     usable = (F.col("pred") >= 0) & (F.coalesce(F.col("true"), F.lit("")) != "") & ~F.col("aligned")
     is_hidden = F.coalesce("_h", F.lit(False))
-    return flagged.select("idx", "pred", "true", (usable & is_hidden).alias("novel_discovery"), (usable & ~is_hidden).alias("robustness_known"), usable.alias("overall_pipeline"))
+    return flagged.select(
+        "idx", "pred", "true", (usable & is_hidden).alias("novel_discovery"), (usable & ~is_hidden).alias("robustness_known"),
+        usable.alias("overall_pipeline")
+    )
 
 
 def contingency(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -53,19 +60,32 @@ def _margins(table: DataFrame) -> DataFrame:
 
 
 def bcubed(table: DataFrame) -> DataFrame:
-    m = _margins(table).agg(F.sum(F.col("n") * F.col("n") / F.col("a") / F.col("t")).alias("p"), F.sum(F.col("n") * F.col("n") / F.col("b") / F.col("t")).alias("r"))
+    m = _margins(table).agg(
+        F.sum(F.col("n") * F.col("n") / F.col("a") / F.col("t")).alias("p"),
+        F.sum(F.col("n") * F.col("n") / F.col("b") / F.col("t")).alias("r")
+    )
     p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-    return m.select(F.round(p, 6).alias("bcubed_precision"), F.round(r, 6).alias("bcubed_recall"), F.round(ratio(2 * p * r, p + r), 6).alias("bcubed_f1"))
+    return m.select(
+        F.round(p, 6).alias("bcubed_precision"), F.round(r, 6).alias("bcubed_recall"),
+        F.round(ratio(2 * p * r, p + r), 6).alias("bcubed_f1")
+    )
 
 
 def _entropy(table: DataFrame, by: str, name: str) -> DataFrame:
     sizes = table.groupBy(by).agg(F.sum("n").alias("c"))
     total = table.agg(F.sum("n").alias("t"))
-    return sizes.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(F.col("c") / F.col("t") * F.log(F.col("c") / F.col("t"))), F.lit(0.0)).alias(name))
+    return sizes.crossJoin(F.broadcast(total)).agg(
+        F.coalesce(-F.sum(F.col("c") / F.col("t") * F.log(F.col("c") / F.col("t"))), F.lit(0.0)).alias(name)
+    )
 
 
 def v_measure(table: DataFrame) -> DataFrame:
-    mi = _margins(table).agg(F.coalesce(F.sum(F.col("n") / F.col("t") * F.log(F.col("t").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b")))), F.lit(0.0)).alias("mi"))
+    mi = _margins(table).agg(
+        F.coalesce(
+            F.sum(F.col("n") / F.col("t") * F.log(F.col("t").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b")))),
+            F.lit(0.0)
+        ).alias("mi")
+    )
     one = mi.crossJoin(_entropy(table, "true", "ht")).crossJoin(_entropy(table, "pred", "hp"))  # one row each
     h, c = F.when(F.col("ht") < 1e-12, 1.0).otherwise(F.try_divide("mi", "ht")), F.when(F.col("hp") < 1e-12, 1.0).otherwise(F.try_divide("mi", "hp"))
     return one.select(F.round(ratio(2 * h * c, h + c), 6).alias("v_measure"), F.round(h, 6).alias("homogeneity"), F.round(c, 6).alias("completeness"))
@@ -73,7 +93,9 @@ def v_measure(table: DataFrame) -> DataFrame:
 
 def adjusted_rand(table: DataFrame) -> DataFrame:
     squares = lambda by, name: table.groupBy(*by).agg(F.sum("n").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias(name))
-    one = squares(["pred", "true"], "s").crossJoin(squares(["true"], "b")).crossJoin(squares(["pred"], "a")).crossJoin(table.agg(F.sum("n").cast("double").alias("t")))
+    one = squares(
+        ["pred", "true"], "s"
+    ).crossJoin(squares(["true"], "b")).crossJoin(squares(["pred"], "a")).crossJoin(table.agg(F.sum("n").cast("double").alias("t")))
     tp, fp, fn = F.col("s") - F.col("t"), F.col("b") - F.col("s"), F.col("a") - F.col("s")
     tn = F.col("t") * F.col("t") - fp - fn - F.col("s")
     value = F.when((fp == 0) & (fn == 0), 1.0).otherwise(F.try_divide(2 * (tp * tn - fn * fp), (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
@@ -189,7 +211,9 @@ def subset_metrics(rows: pd.DataFrame, collapse: bool = True) -> dict:
     collapse: clusters without a class share one label, as the metrics' definition has it.
     """
     mapping, accuracy = map_clusters(rows)
-    mapped = rows.assign(pred=[mapping.get(p, UNMAPPED if collapse else f"{UNMAPPED}:{p}") for p in rows["pred"]]).groupby(["pred", "true"], as_index=False)["n"].sum()
+    mapped = rows.assign(
+        pred=[mapping.get(p, UNMAPPED if collapse else f"{UNMAPPED}:{p}") for p in rows["pred"]]
+    ).groupby(["pred", "true"], as_index=False)["n"].sum()
     _, _, n = _counts(mapped)
     a, b, total = n.sum(1, keepdims=True), n.sum(0, keepdims=True), n.sum()
     p, r = float((n * n / a).sum() / total), float((n * n / b).sum() / total)
@@ -201,7 +225,13 @@ def subset_metrics(rows: pd.DataFrame, collapse: bool = True) -> dict:
     tp, fp, fn = s - total, float((b * b).sum()) - s, float((a * a).sum()) - s
     tn = total * total - fp - fn - s
     ari = 1.0 if fp == fn == 0 else 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))
-    return {"bcubed_precision": p, "bcubed_recall": r, "bcubed_f1": 2 * p * r / (p + r) if p + r else 0.0, "v_measure": 2 * hom * com / (hom + com) if hom + com else 0.0, "homogeneity": hom, "completeness": com, "ari": ari, "ami": adjusted_mutual_information(n), "mapping_accuracy": accuracy, "n_samples": int(rows["n"].sum()), "n_clusters": int(rows["pred"].nunique()), "n_true_classes": int(rows["true"].nunique()), "cluster_to_gt_map": {int(k): v for k, v in mapping.items()}}
+    return {
+        "bcubed_precision": p, "bcubed_recall": r, "bcubed_f1": 2 * p * r / (p + r) if p + r else 0.0,
+        "v_measure": 2 * hom * com / (hom + com) if hom + com else 0.0, "homogeneity": hom, "completeness": com, "ari": ari,
+        "ami": adjusted_mutual_information(n), "mapping_accuracy": accuracy, "n_samples": int(rows["n"].sum()),
+        "n_clusters": int(rows["pred"].nunique()), "n_true_classes": int(rows["true"].nunique()),
+        "cluster_to_gt_map": {int(k): v for k, v in mapping.items()}
+    }
 
 
 def stratified(rows: DataFrame, collapse: bool = True) -> dict[str, dict]:
@@ -224,7 +254,9 @@ def flatten_metrics(metrics: dict[str, dict]) -> dict[str, float]:
 def centroids(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
     """by, label, size, centroid."""
     keys = [*(by or []), label]
-    mean = rows.select(*keys, F.posexplode(emb).alias("p", "x")).groupBy(*keys, "p").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("size"))
+    mean = rows.select(*keys, F.posexplode(emb).alias("p", "x")).groupBy(*keys, "p").agg(
+        F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("size")
+    )
     points = F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"])
     return mean.groupBy(*keys).agg(F.max("size").alias("size"), points.alias("centroid"))
 
@@ -255,7 +287,10 @@ def calinski_harabasz(rows: DataFrame, label: str, emb: str, by: list[str] | Non
     c = _scatter(rows, label, emb, by)
     whole = centroids(rows.withColumn("_all", F.lit(1)), "_all", emb, by).select(*by, F.col("centroid").alias("mean"), F.col("size").alias("n"))
     both = c.join(whole, by) if by else c.crossJoin(F.broadcast(whole))  # one row
-    one = both.groupBy(*by).agg(F.sum(F.col("size") * F.pow(euclidean("centroid", "mean"), 2)).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    one = both.groupBy(*by).agg(
+        F.sum(F.col("size") * F.pow(euclidean("centroid", "mean"), 2)).alias("b"), F.sum("w").alias("w"),
+        F.count(F.lit(1)).alias("k"), F.max("n").alias("n")
+    )
     value = F.when(F.col("w") == 0, 1.0).otherwise(F.try_divide(F.try_divide("b", F.col("k") - 1), F.try_divide("w", F.col("n") - F.col("k"))))
     return one.select(*by, F.round(value, 6).alias("calinski_harabasz"))
 
@@ -263,7 +298,9 @@ def calinski_harabasz(rows: DataFrame, label: str, emb: str, by: list[str] | Non
 def density_separation(rows: DataFrame, label: str, emb: str) -> DataFrame:
     c = _scatter(rows, label, emb, [])
     apart = _pairs(c, label, []).agg(F.avg("d").alias("apart"))
-    return c.agg(F.avg("s").alias("within")).crossJoin(apart).select(F.round(F.col("within") / (F.col("apart") + 1e-8), 6).alias("density_separation"))  # one row each
+    return c.agg(F.avg("s").alias("within")).crossJoin(apart).select(
+        F.round(F.col("within") / (F.col("apart") + 1e-8), 6).alias("density_separation")
+    )  # one row each
 
 
 def _pairs_of_blocks(rows: DataFrame, by: list[str], columns: list, most: int) -> DataFrame:
@@ -272,7 +309,9 @@ def _pairs_of_blocks(rows: DataFrame, by: list[str], columns: list, most: int) -
     Pairs are dealt out by group and block, so a large group's are in many tasks.
     """
     sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_blocks"))
-    whole = rows.join(sizes, [rows[c].eqNullSafe(sizes[c]) for c in by]).drop(*(sizes[c] for c in by)) if by else rows.crossJoin(F.broadcast(sizes))  # one row
+    whole = rows.join(
+        sizes, [rows[c].eqNullSafe(sizes[c]) for c in by]
+    ).drop(*(sizes[c] for c in by)) if by else rows.crossJoin(F.broadcast(sizes))  # one row
     place = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
     packed = checkpoint(whole.withColumn("p", place).groupBy(*by, "p", "_blocks").agg(F.collect_list(F.struct(*columns)).alias("a")))
     keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
@@ -330,16 +369,22 @@ def _row_silhouettes(rows: DataFrame, by: list[str], label: str, emb: str, most:
     sizes = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
     in_block = F.least(F.lit(most), F.greatest(F.lit(64), F.expr(f"{MOST_SUMS} div greatest(_k, 1)")))
     sizes = checkpoint(sizes.select(*by, F.ceil(F.col("_n") / in_block).cast("int").alias("_blocks")))
-    joined = whole.join(sizes, [whole[c].eqNullSafe(sizes[c]) for c in by]).drop(*(sizes[c] for c in by)) if by else whole.crossJoin(F.broadcast(sizes))  # one row
+    joined = whole.join(
+        sizes, [whole[c].eqNullSafe(sizes[c]) for c in by]
+    ).drop(*(sizes[c] for c in by)) if by else whole.crossJoin(F.broadcast(sizes))  # one row
     place = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
     row = F.struct(F.col("vec_id").alias("i"), F.col(label).alias("l"), F.col(emb).alias("x"))
     packed = checkpoint(joined.withColumn("p", place).groupBy(*by, "p", "_blocks").agg(F.collect_list(row).alias("a")))
     own = packed.select(*by, "p", F.lit(-1).alias("q"), "a")
-    other = packed.select(*by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("to"), F.col("p").alias("q"), "a").select(*by, F.col("to").alias("p"), "q", "a")
+    other = packed.select(
+        *by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("to"), F.col("p").alias("q"), "a"
+    ).select(*by, F.col("to").alias("p"), "q", "a")
     # a task holds all blocks that a block meets, its own first
     met = own.unionByName(other).repartition(*by, "p").sortWithinPartitions(*by, "p", "q")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = pa.schema([*((f.name, f.type) for f in packed.select(*by).limit(0).toArrow().schema), ("value", pa.float64())]) if by else pa.schema([("value", pa.float64())])
+    schema = pa.schema(
+        [*((f.name, f.type) for f in packed.select(*by).limit(0).toArrow().schema), ("value", pa.float64())]
+    ) if by else pa.schema([("value", pa.float64())])
 
     def run(batches):
         key = mine = None
@@ -411,9 +456,14 @@ def silhouette(rows: DataFrame, label: str, emb: str, by: list[str] | None = Non
 def quality_bundle(rows: DataFrame, label: str, emb: str) -> DataFrame:
     """silhouette, davies_bouldin, calinski_harabasz, density_separation in one row; all null with one cluster or one a row."""
     size = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
-    for part in (silhouette(rows, label, emb), davies_bouldin(rows, label, emb), calinski_harabasz(rows, label, emb), density_separation(rows, label, emb)):
+    for part in (
+        silhouette(rows, label, emb), davies_bouldin(rows, label, emb), calinski_harabasz(rows, label, emb),
+        density_separation(rows, label, emb)
+    ):
         size = size.crossJoin(part)  # one row each
-    return size.select(*(F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_n")), F.col(c)).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "density_separation")))
+    return size.select(
+        *(F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_n")), F.col(c)).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "density_separation"))
+    )
 
 
 def type_pair_quality(rows: DataFrame, pair: str, label: str, emb: str) -> DataFrame:
@@ -425,12 +475,17 @@ def type_pair_quality(rows: DataFrame, pair: str, label: str, emb: str) -> DataF
     named = rows.withColumn(pair, F.coalesce(F.col(pair), F.lit(UNKNOWN_PAIR)))
     labels = named.groupBy(pair, label).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     sizes = checkpoint(labels.groupBy(pair).agg(F.sum("_n").alias("n_samples"), F.count(F.lit(1)).alias("n_clusters")).where("n_samples >= 3"))
-    kept = checkpoint(named.join(labels.drop("_n"), [pair, label], "left_semi").join(sizes.select(pair), pair, "left_semi").select(pair, label, "vec_id", emb))
+    kept = checkpoint(
+        named.join(labels.drop("_n"), [pair, label], "left_semi").join(sizes.select(pair), pair, "left_semi").select(pair, label, "vec_id", emb)
+    )
     found = sizes
     for part in (silhouette, calinski_harabasz, davies_bouldin, dunn):
         found = found.join(part(kept, label, emb, [pair]), pair, "left")
     valid = (F.col("n_clusters") > 1) & (F.col("n_clusters") < F.col("n_samples"))
-    return found.select(pair, *(F.when(valid, F.col(c)).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")), "dunn", "n_samples", "n_clusters")
+    return found.select(
+        pair, *(F.when(valid, F.col(c)).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")), "dunn",
+        "n_samples", "n_clusters"
+    )
 
 
 def type_pair_summary(quality: DataFrame) -> DataFrame:

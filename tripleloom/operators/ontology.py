@@ -12,7 +12,10 @@ TREE = "map<string,map<string,array<string>>>"
 
 def extract_schema(mentions: DataFrame) -> DataFrame:
     """domain, range, relations (sorted, distinct) from subj_type, obj_type, relation; incomplete rows and no_relation go."""
-    rows = mentions.select(type_upper(F.coalesce("subj_type", F.lit(""))).alias("domain"), type_upper(F.coalesce("obj_type", F.lit(""))).alias("range"), F.coalesce("relation", F.lit("")).alias("relation"))
+    rows = mentions.select(
+        type_upper(F.coalesce("subj_type", F.lit(""))).alias("domain"),
+        type_upper(F.coalesce("obj_type", F.lit(""))).alias("range"), F.coalesce("relation", F.lit("")).alias("relation")
+    )
     rows = rows.where((F.col("relation") != NO_RELATION) & (F.col("domain") != "") & (F.col("range") != "") & (F.col("relation") != ""))
     return rows.groupBy("domain", "range").agg(F.sort_array(F.collect_set("relation")).alias("relations"))
 
@@ -20,8 +23,13 @@ def extract_schema(mentions: DataFrame) -> DataFrame:
 def schema_summary(mentions: DataFrame) -> DataFrame:
     """n_domains, n_pairs, n_labels, n_skipped (rows with a part missing)."""
     missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    skipped = mentions.where(F.coalesce(F.col("relation") != NO_RELATION, F.lit(True))).agg(F.count_if(missing("subj_type") | missing("obj_type") | missing("relation")).alias("n_skipped"))
-    schema = extract_schema(mentions).agg(F.count_distinct("domain").alias("n_domains"), F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).cast("long").alias("n_labels"))
+    skipped = mentions.where(F.coalesce(F.col("relation") != NO_RELATION, F.lit(True))).agg(
+        F.count_if(missing("subj_type") | missing("obj_type") | missing("relation")).alias("n_skipped")
+    )
+    schema = extract_schema(mentions).agg(
+        F.count_distinct("domain").alias("n_domains"), F.count(F.lit(1)).alias("n_pairs"),
+        F.coalesce(F.sum(F.size("relations")), F.lit(0)).cast("long").alias("n_labels")
+    )
     return schema.crossJoin(F.broadcast(skipped))  # one row each
 
 
@@ -38,12 +46,17 @@ def explode_tree(tree: DataFrame, column: str = "tree") -> DataFrame:
     labels = ranges.select("p1", "domain", F.posexplode("ranges").alias("p2", "range", "labels"))
     rows = labels.select("p1", "domain", "p2", "range", F.posexplode("labels").alias("p3", "relation")).where(F.col("relation") != NO_RELATION)
     order = Window.orderBy("p1", "p2", "p3")  # a schema file, not a data table
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("ont_idx"), "relation", F.lower("domain").alias("domain_type"), F.lower("range").alias("range_type"))
+    return rows.select(
+        (F.row_number().over(order) - 1).cast("long").alias("ont_idx"), "relation", F.lower("domain").alias("domain_type"),
+        F.lower("range").alias("range_type")
+    )
 
 
 def entries_of(mentions: DataFrame) -> DataFrame:
     """Distinct signatures of mentions as entries, numbered in order of relation, domain, range."""
-    rows = mentions.where(F.col("relation") != NO_RELATION).select("relation", type_lower("subj_type").alias("domain_type"), type_lower("obj_type").alias("range_type")).distinct()
+    rows = mentions.where(F.col("relation") != NO_RELATION).select(
+        "relation", type_lower("subj_type").alias("domain_type"), type_lower("obj_type").alias("range_type")
+    ).distinct()
     order = Window.orderBy("relation", "domain_type", "range_type")  # signatures: an ontology's size
     return rows.select((F.row_number().over(order) - 1).cast("long").alias("ont_idx"), "relation", "domain_type", "range_type")
 
@@ -65,23 +78,36 @@ def hidden_relations(entries: DataFrame, share: float = 0.2, seed: int = 42, giv
 
 def split(entries: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known and hidden entries."""
-    return entries.join(hidden, "relation", "left_anti").select(entries.columns), entries.join(hidden, "relation", "left_semi").select(entries.columns)
+    return entries.join(
+        hidden, "relation", "left_anti"
+    ).select(entries.columns), entries.join(hidden, "relation", "left_semi").select(entries.columns)
 
 
 def split_metadata(known: DataFrame, hidden: DataFrame, mode: str = "hash") -> DataFrame:
     """One row of counts, the sorted hidden relations and the share that was hidden."""
-    one = lambda d, n: d.agg(F.count_distinct("relation").alias(f"n_{n}_relations"), F.count(F.lit(1)).alias(f"n_{n}_entries"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias(f"{n}_relations"))
+    one = lambda d, n: d.agg(
+        F.count_distinct("relation").alias(f"n_{n}_relations"), F.count(F.lit(1)).alias(f"n_{n}_entries"),
+        F.array_join(F.sort_array(F.collect_set("relation")), ",").alias(f"{n}_relations")
+    )
     both = one(known, "known").crossJoin(F.broadcast(one(hidden, "hidden")))  # one row each
     share = F.try_divide(F.col("n_hidden_relations").cast("double"), (F.col("n_known_relations") + F.col("n_hidden_relations")).cast("double"))
-    return both.select("n_known_relations", "n_hidden_relations", "n_known_entries", "n_hidden_entries", F.lit(mode).alias("split_mode"), "hidden_relations", F.round(share, 6).alias("hidden_split_ratio"))
+    return both.select(
+        "n_known_relations", "n_hidden_relations", "n_known_entries", "n_hidden_entries", F.lit(mode).alias("split_mode"),
+        "hidden_relations", F.round(share, 6).alias("hidden_split_ratio")
+    )
 
 
 def validate_split(known: DataFrame, hidden: DataFrame, original: DataFrame) -> DataFrame:
     """entries_conserved, entries_disjoint, labels_separate."""
     key = ["relation", "domain_type", "range_type"]
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    rows = count(known, "k").crossJoin(count(hidden, "h")).crossJoin(count(original, "o")).crossJoin(count(known.select(key).intersect(hidden.select(key)), "both")).crossJoin(count(known.select("relation").intersect(hidden.select("relation")), "labels"))
-    return rows.select((F.col("k") + F.col("h") == F.col("o")).alias("entries_conserved"), (F.col("both") == 0).alias("entries_disjoint"), (F.col("labels") == 0).alias("labels_separate"))
+    rows = count(known, "k").crossJoin(count(hidden, "h")).crossJoin(count(original, "o")).crossJoin(count(known.select(key).intersect(hidden.select(key)), "both")).crossJoin(
+        count(known.select("relation").intersect(hidden.select("relation")), "labels")
+    )
+    return rows.select(
+        (F.col("k") + F.col("h") == F.col("o")).alias("entries_conserved"), (F.col("both") == 0).alias("entries_disjoint"),
+        (F.col("labels") == 0).alias("labels_separate")
+    )
 
 
 def classes(entries: DataFrame, upper: bool = False) -> DataFrame:
@@ -106,6 +132,10 @@ def sample_mentions(mentions: DataFrame, known: DataFrame, hidden: DataFrame, se
 
 def same_type_relations(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     """Candidates with the relations known for their pair of types (upper-cased lookup), sorted and joined; empty without any."""
-    index = entries.groupBy(F.upper("domain_type").alias("_d"), F.upper("range_type").alias("_r")).agg(F.sort_array(F.collect_set("relation")).alias("_relations"))
+    index = entries.groupBy(
+        F.upper("domain_type").alias("_d"), F.upper("range_type").alias("_r")
+    ).agg(F.sort_array(F.collect_set("relation")).alias("_relations"))
     on = (F.upper("subj_type") == F.col("_d")) & (F.upper("obj_type") == F.col("_r"))
-    return candidates.join(index, on, "left").withColumn("same_type_relations", F.coalesce(F.array_join("_relations", ","), F.lit(""))).drop("_d", "_r", "_relations")
+    return candidates.join(index, on, "left").withColumn(
+        "same_type_relations", F.coalesce(F.array_join("_relations", ","), F.lit(""))
+    ).drop("_d", "_r", "_relations")

@@ -31,11 +31,18 @@ def large_clusters(members: DataFrame, least: int = 5) -> DataFrame:
 
 def prompts(top: DataFrame, candidates: DataFrame) -> DataFrame:
     """cluster_id, prompt: the numbered representatives, the relations known for the types, the types."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "subject", "relation", "object"))), lambda t: F.concat(t["rank"], F.lit(". "), t["subject"], F.lit(" | "), t["relation"], F.lit(" | "), t["object"]))
+    lines = F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "subject", "relation", "object"))),
+        lambda t: F.concat(t["rank"], F.lit(". "), t["subject"], F.lit(" | "), t["relation"], F.lit(" | "), t["object"])
+    )
     shown = top.groupBy("cluster_id").agg(F.array_join(lines, "\n").alias("lines"))
     known = F.when(F.col("same_type_relations") == "", "None").otherwise(F.col("same_type_relations"))
     upper = lambda c: F.coalesce(F.upper(c), F.lit("UNKNOWN"))
-    text = F.concat(F.lit("Cluster "), "cluster_id", F.lit(" of "), "cluster_size", F.lit(" triples, "), upper("subj_type"), F.lit(" to "), upper("obj_type"), F.lit(":\n"), "lines", F.lit("\nKnown relations: "), known, F.lit("\nAnswer with one JSON object: name, description, domain, range, existing_match, existing_relation_name, confidence, reasoning."))
+    text = F.concat(
+        F.lit("Cluster "), "cluster_id", F.lit(" of "), "cluster_size", F.lit(" triples, "), upper("subj_type"), F.lit(" to "),
+        upper("obj_type"), F.lit(":\n"), "lines", F.lit("\nKnown relations: "), known,
+        F.lit("\nAnswer with one JSON object: name, description, domain, range, existing_match, existing_relation_name, confidence, reasoning.")
+    )
     return shown.join(candidates, "cluster_id").select("cluster_id", text.alias("prompt"))
 
 
@@ -66,7 +73,9 @@ def validate(asked: DataFrame, make) -> DataFrame:
                 answers = [None] * len(b)
             yield pd.DataFrame({"cluster_id": b["cluster_id"], "reply": [salvage(a) for a in answers]})
 
-    return asked.select("cluster_id", "prompt").mapInPandas(run, "cluster_id long, reply string").select("cluster_id", F.from_json("reply", REPLY).alias("r")).select("cluster_id", "r.*")
+    return asked.select("cluster_id", "prompt").mapInPandas(run, "cluster_id long, reply string").select(
+        "cluster_id", F.from_json("reply", REPLY).alias("r")
+    ).select("cluster_id", "r.*")
 
 
 def judge(candidates: DataFrame, classes: DataFrame, least: str = "Medium") -> DataFrame:
@@ -75,19 +84,26 @@ def judge(candidates: DataFrame, classes: DataFrame, least: str = "Medium") -> D
     rows = candidates.join(known.withColumn("_d", F.lit(True)), F.col("domain") == F.col("_c"), "left").drop("_c")
     rows = rows.join(known.withColumn("_r", F.lit(True)), F.col("range") == F.col("_c"), "left").drop("_c")
     level = F.array_position(F.array(*(F.lit(x) for x in LEVELS)), F.col("confidence"))
-    reason = F.when(F.col("confidence").isNull(), "no_reply").when(F.col("existing_match"), "existing_match").when(F.col("_d").isNull(), "invalid_domain").when(F.col("_r").isNull(), "invalid_range").when(level < LEVELS.index(least) + 1, "low_confidence").otherwise("accepted")
+    reason = F.when(F.col("confidence").isNull(), "no_reply").when(F.col("existing_match"), "existing_match").when(F.col("_d").isNull(), "invalid_domain").when(F.col("_r").isNull(), "invalid_range").when(
+        level < LEVELS.index(least) + 1, "low_confidence"
+    ).otherwise("accepted")
     return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("_d", "_r")
 
 
 def bucket(reason: Column) -> Column:
     """The rejection bucket of a reason."""
-    return F.when(reason == "existing_match", "existing_match").when(reason.isin("invalid_domain", "invalid_range"), "type_incompatible").otherwise("low_confidence")
+    return F.when(reason == "existing_match", "existing_match").when(
+        reason.isin("invalid_domain", "invalid_range"), "type_incompatible"
+    ).otherwise("low_confidence")
 
 
 def rejected(judged: DataFrame) -> DataFrame:
     """bucket, n, clusters (sorted ids, joined) of what was not accepted."""
     rows = judged.where("not accepted").withColumn("bucket", bucket(F.col("reason")))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("cluster_id")), lambda x: x.cast("string")), ",").alias("clusters"))
+    return rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("cluster_id")), lambda x: x.cast("string")), ",").alias("clusters")
+    )
 
 
 def rejected_report(judged: DataFrame) -> DataFrame:
@@ -119,4 +135,6 @@ def export_document(accepted: DataFrame, now: str) -> DataFrame:
     entries = F.sort_array(F.collect_list(F.struct("cluster_id", F.struct(*accepted.columns).alias("r"))))
     whole = accepted.agg(F.transform(entries, lambda x: x["r"]).alias("r"))
     metadata = F.struct(F.size("r").alias("n_novel_relations"), F.lit(now).alias("timestamp"))
-    return whole.select(F.to_json(F.struct(metadata.alias("metadata"), F.col("r").alias("novel_relations")), {"ignoreNullFields": "false"}).alias("value"))
+    return whole.select(
+        F.to_json(F.struct(metadata.alias("metadata"), F.col("r").alias("novel_relations")), {"ignoreNullFields": "false"}).alias("value")
+    )

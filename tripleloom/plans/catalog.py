@@ -39,7 +39,13 @@ def load_filter_no_relation(v):
 
 def _tokens(v):
     d = v.table("documents").select(F.col("doc_id"), F.split("text", " ").alias("token"))
-    return d.select(F.col("doc_id").cast("string").alias("id"), "token", (F.col("doc_id") % 5).cast("int").alias("subj_start"), (F.col("doc_id") % 5 + 1).cast("int").alias("subj_end"), (F.col("doc_id") % 7 + 3).cast("int").alias("obj_start"), (F.col("doc_id") % 7 + 2 + F.col("doc_id") % 4).cast("int").alias("obj_end"), F.lit("  Person\t").alias("subj_type"), F.lit("CITY ").alias("obj_type"), F.when(F.col("doc_id") % 9 == 0, "no_relation").otherwise("per:city").alias("relation"))
+    return d.select(
+        F.col("doc_id").cast("string").alias("id"), "token", (F.col("doc_id") % 5).cast("int").alias("subj_start"),
+        (F.col("doc_id") % 5 + 1).cast("int").alias("subj_end"), (F.col("doc_id") % 7 + 3).cast("int").alias("obj_start"),
+        (F.col("doc_id") % 7 + 2 + F.col("doc_id") % 4).cast("int").alias("obj_end"), F.lit("  Person\t").alias("subj_type"),
+        F.lit("CITY ").alias("obj_type"),
+        F.when(F.col("doc_id") % 9 == 0, "no_relation").otherwise("per:city").alias("relation")
+    )
 
 
 @query
@@ -50,7 +56,10 @@ def span_slice_join(v):
 @query
 def normalise_types(v):
     p = v.table("part").select("p_partkey", F.concat(F.lit(" \t"), "p_type", F.lit("\n")).alias("t"))
-    return p.select("p_partkey", X.type_lower("t").alias("lower_type"), X.type_upper("t").alias("upper_type"), F.coalesce(F.nullif("t", F.lit("x")), F.lit("")).alias("with_default"))
+    return p.select(
+        "p_partkey", X.type_lower("t").alias("lower_type"), X.type_upper("t").alias("upper_type"),
+        F.coalesce(F.nullif("t", F.lit("x")), F.lit("")).alias("with_default")
+    )
 
 
 @query
@@ -174,21 +183,31 @@ def embedding_texts(v):
 
 @query
 def embed_distinct(v):
-    texts = A.view_texts(v.onto(), "domain_type", "relation", "range_type").select(F.explode(F.array(*(f"{x}_text" for x in A.VIEWS))).alias("text")).distinct()
+    texts = A.view_texts(v.onto(), "domain_type", "relation", "range_type").select(
+        F.explode(F.array(*(f"{x}_text" for x in A.VIEWS))).alias("text")
+    ).distinct()
     return v.lookup()(texts).select("text", r6(F.element_at("embedding", 1).cast("double")).alias("first"), F.size("embedding").alias("dim"))
 
 
 @query
 def l2_normalise(v):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 4))
-    return v.vectors().select("vec_id", r6(X.norm(X.l2_normalise(scaled))).alias("length"), r6(F.element_at(X.l2_normalise(scaled), 3)).alias("third"))
+    return v.vectors().select(
+        "vec_id", r6(X.norm(X.l2_normalise(scaled))).alias("length"), r6(F.element_at(X.l2_normalise(scaled), 3)).alias("third")
+    )
 
 
 @query
 def mean_pool(v):
     rows = v.vectors().groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("s"))
-    rows = rows.select("label", F.transform("s", lambda x: x["embedding"]).alias("e"), F.transform("s", lambda x: F.when(x["vec_id"] % 3 == 0, 0.0).otherwise(1.0)).alias("m"))
-    return rows.select("label", r6(F.element_at(X.masked_mean("e", "m", 64), 1)).alias("first"), r6(F.element_at(X.last_unmasked("e", "m"), 1).cast("double")).alias("last_first"))
+    rows = rows.select(
+        "label", F.transform("s", lambda x: x["embedding"]).alias("e"),
+        F.transform("s", lambda x: F.when(x["vec_id"] % 3 == 0, 0.0).otherwise(1.0)).alias("m")
+    )
+    return rows.select(
+        "label", r6(F.element_at(X.masked_mean("e", "m", 64), 1)).alias("first"),
+        r6(F.element_at(X.last_unmasked("e", "m"), 1).cast("double")).alias("last_first")
+    )
 
 
 def _sims(v):
@@ -259,7 +278,9 @@ def type_stratify(v):
 
 @query
 def graph_split_edges(v):
-    return K.split_edges(v.unaligned(), ["type_sig", "cluster_mode"], "relation", "relation_emb", 0.05).select("type_sig", "cluster_mode", "a", "b", "pairs", r6("sim").alias("sim"), r6("threshold").alias("threshold"))
+    return K.split_edges(v.unaligned(), ["type_sig", "cluster_mode"], "relation", "relation_emb", 0.05).select(
+        "type_sig", "cluster_mode", "a", "b", "pairs", r6("sim").alias("sim"), r6("threshold").alias("threshold")
+    )
 
 
 def _split(v):
@@ -395,7 +416,9 @@ def stratified_eval(v):
 @query
 def metric_flatten(v):
     rows = E.bcubed(_table(v)).withColumn("subset", F.lit("overall"))
-    return rows.unpivot(["subset"], ["bcubed_precision", "bcubed_recall", "bcubed_f1"], "metric", "value").select(F.concat_ws("_", "subset", "metric").alias("name"), "value")
+    return rows.unpivot(
+        ["subset"], ["bcubed_precision", "bcubed_recall", "bcubed_f1"], "metric", "value"
+    ).select(F.concat_ws("_", "subset", "metric").alias("name"), "value")
 
 
 @query
@@ -481,11 +504,19 @@ def rejected_buckets(v):
 @query
 def novel_export(v):
     shown = F.transform("sample_triples", lambda t: F.concat_ws("|", t["subject"], t["relation"], t["object"]))
-    return L.export(_judged(v), v.evidence()).select("cluster_id", "name", "domain", "range", "confidence", "evidence_count", F.array_join(shown, ";").alias("sample_triples"))
+    return L.export(_judged(v), v.evidence()).select(
+        "cluster_id", "name", "domain", "range", "confidence", "evidence_count",
+        F.array_join(shown, ";").alias("sample_triples")
+    )
 
 
 @query
 def rejected_report(v):
     found = L.rejected_report(_judged(v).withColumn("existing_relation_name", F.lower("name")))
-    part = lambda b, *names: F.array_join(F.transform(b, lambda x: F.concat_ws("|", *(x[n].cast("string") for n in names))), ";").alias(b)
-    return found.select(part("existing_match", "name", "matched_to", "cluster_id"), part("type_incompatible", "name", "domain", "range", "cluster_id"), part("low_confidence", "cluster_id"))
+    part = lambda b, *names: F.array_join(
+        F.transform(b, lambda x: F.concat_ws("|", *(x[n].cast("string") for n in names))), ";"
+    ).alias(b)
+    return found.select(
+        part("existing_match", "name", "matched_to", "cluster_id"),
+        part("type_incompatible", "name", "domain", "range", "cluster_id"), part("low_confidence", "cluster_id")
+    )

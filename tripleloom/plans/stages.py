@@ -64,7 +64,9 @@ def prepare(spark: SparkSession, folder: str, data: str, schema: str, hidden: li
 
 def triples_of(spark: SparkSession, folder: str) -> DataFrame:
     """Classified triples with the idx of their sample; of several records of an id, the least."""
-    records = readers.records(spark, f"{folder}/02_classification/records").groupBy("id").agg(F.min(F.struct("sentence", "triple")).alias("r")).select("id", "r.*")
+    records = readers.records(
+        spark, f"{folder}/02_classification/records"
+    ).groupBy("id").agg(F.min(F.struct("sentence", "triple")).alias("r")).select("id", "r.*")
     place = spark.read.parquet(f"{folder}/02_classification/samples").groupBy("id").agg(F.max("idx").alias("idx"))
     return classification.flatten_triples(records).withColumnRenamed("sentence_id", "id").join(place, "id")
 
@@ -115,7 +117,10 @@ def join_singletons(members: DataFrame, threshold: float) -> DataFrame:
     return members.drop("cluster_id").join(moved.join(number, ["_mode", "cluster_id"]).select("idx", F.col("_new").alias("cluster_id")), "idx")
 
 
-def cluster(spark: SparkSession, folder: str, lookup, similarity: float = clustering.SIMILARITY, runs: int = 3, preserve_singletons: bool = True, merge: float = clustering.MERGE, zero_diagonal: bool = False) -> dict[str, dict]:
+def cluster(
+    spark: SparkSession, folder: str, lookup, similarity: float = clustering.SIMILARITY, runs: int = 3,
+    preserve_singletons: bool = True, merge: float = clustering.MERGE, zero_diagonal: bool = False
+) -> dict[str, dict]:
     """Cluster what did not align; returns the metrics of the three subsets.
 
     Triples that break a constraint are one cluster before the graph split, the others one for each
@@ -124,10 +129,14 @@ def cluster(spark: SparkSession, folder: str, lookup, similarity: float = cluste
     results, triples = spark.read.parquet(f"{folder}/03_alignment/results"), triples_of(spark, folder)
     unaligned = triples.join(results.where("to_cluster").select(F.col("classified_idx").alias("idx"), "cluster_mode"), "idx")
     rows = checkpoint(clustering.stratify(embedded(unaligned, lookup)))
-    parts = clustering.consensus_labels(rows.where("cluster_mode = 'relation'"), lookup, zero_diagonal=zero_diagonal, runs=runs).select("type_sig", "relation", "part")
+    parts = clustering.consensus_labels(
+        rows.where("cluster_mode = 'relation'"), lookup, zero_diagonal=zero_diagonal, runs=runs
+    ).select("type_sig", "relation", "part")
     rows = rows.join(checkpoint(parts), ["type_sig", "relation"], "left")
     by_type = F.col("cluster_mode") == "relation"
-    rows = rows.withColumns({"stratum": F.when(by_type, F.col("type_sig")).otherwise(""), "part": F.when(by_type, F.col("part")).otherwise(0).cast("long")})
+    rows = rows.withColumns(
+        {"stratum": F.when(by_type, F.col("type_sig")).otherwise(""), "part": F.when(by_type, F.col("part")).otherwise(0).cast("long")}
+    )
     members = clustering.graph_split(rows, ["cluster_mode", "stratum", "part"], floor=similarity)
     if not preserve_singletons:
         members = join_singletons(members, merge)
@@ -147,20 +156,28 @@ def validate(spark: SparkSession, folder: str, make, top_k: int = 5, min_cluster
     """Ask about each large cluster; returns the accepted relations. make() returns a Validator."""
     members = spark.read.parquet(f"{folder}/04_clustering/members")
     sizes = checkpoint(validation.large_clusters(members, min_cluster_size))
-    top = checkpoint(validation.representatives(members.join(sizes.select("cluster_id"), "cluster_id", "left_semi"), k=top_k).drop("relation_emb", "triple_emb"))
+    top = checkpoint(
+        validation.representatives(members.join(sizes.select("cluster_id"), "cluster_id", "left_semi"), k=top_k).drop("relation_emb", "triple_emb")
+    )
     types = top.where("rank = 1").select("cluster_id", "subj_type", "obj_type")
     candidates = ontology.same_type_relations(sizes.join(types, "cluster_id"), spark.read.parquet(f"{folder}/01_ontology/known"))
     replies = checkpoint(validation.validate(validation.prompts(top, candidates), make))
     classes = ontology.classes(spark.read.parquet(f"{folder}/01_ontology/full"), upper=True)
     judged = checkpoint(validation.judge(sizes.join(replies, "cluster_id", "left"), classes, min_confidence))
     readers.write_json(judged, f"{folder}/05_validation/candidates")
-    write_text(validation.rejected_report(judged).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), f"{folder}/05_validation/rejected_candidates")
+    write_text(
+        validation.rejected_report(judged).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")),
+        f"{folder}/05_validation/rejected_candidates"
+    )
     now = datetime.now(timezone.utc).isoformat()
     accepted = checkpoint(validation.export(judged, members))
     readers.write_json(accepted, f"{folder}/05_validation/novel_relations")
     write_text(validation.export_document(accepted, now), f"{folder}/05_validation/novel_relations_document")
     n = judged.agg(F.count(F.lit(1)).alias("seen"), F.count_if("accepted").alias("accepted")).first()
-    counts = {"n_clusters_seen": members.select("cluster_id").distinct().count(), "n_novel_accepted": n["accepted"], "n_rejected": n["seen"] - n["accepted"]}
+    counts = {
+        "n_clusters_seen": members.select("cluster_id").distinct().count(), "n_novel_accepted": n["accepted"],
+        "n_rejected": n["seen"] - n["accepted"]
+    }
     settings = {"top_k_representatives": top_k, "min_cluster_size": min_cluster_size, "min_confidence": min_confidence}
     write_manifest(spark, {"validation": settings, "timestamp": now, **counts}, f"{folder}/05_validation/00_config")
     return accepted

@@ -44,10 +44,16 @@ class Views:
     def pred(self) -> DataFrame:
         """A deterministic stand-in for a classifier's output over mentions with a relation."""
         m, d = self.mention(False), F.col("idx") % 10
-        relation = F.when(d == 7, F.concat(F.lit("related_to_"), "event_type")).when(d == 8, "new_relation").when(d == 9, "classification_failed").otherwise(F.col("relation"))
+        relation = F.when(
+            d == 7, F.concat(F.lit("related_to_"), "event_type")
+        ).when(d == 8, "new_relation").when(d == 9, "classification_failed").otherwise(F.col("relation"))
         return m.select(
-            "idx", F.when(F.col("idx") % 19 != 0, F.col("id")).alias("id"), F.when(F.col("idx") % 19 != 0, F.col("sentence")).alias("sentence"), F.when(F.col("idx") % 13 == 0, F.upper("subject")).otherwise(F.col("subject")).alias("subject"),
-            F.when(F.col("idx") % 23 == 0, "someone else").otherwise(F.col("object")).alias("object"), relation.alias("relation"), "subj_type", F.when(F.col("idx") % 17 != 0, F.col("obj_type")).alias("obj_type"),
+            "idx", F.when(F.col("idx") % 19 != 0, F.col("id")).alias("id"), F.when(F.col("idx") % 19 != 0, F.col("sentence")).alias("sentence"), F.when(
+                F.col("idx") % 13 == 0, F.upper("subject")
+            ).otherwise(F.col("subject")).alias("subject"),
+            F.when(F.col("idx") % 23 == 0, "someone else").otherwise(F.col("object")).alias("object"), relation.alias("relation"), "subj_type", F.when(
+                F.col("idx") % 17 != 0, F.col("obj_type")
+            ).alias("obj_type"),
         )
 
     def onto(self) -> DataFrame:
@@ -76,22 +82,31 @@ class Views:
         texts = alignment.view_texts(rows)
         names = texts.select("relation_text").distinct().select(F.col("relation_text").alias("text"))
         vectors = self.lookup()(names).select(F.col("text").alias("relation_text"), F.col("embedding").alias("relation_emb"))
-        return texts.join(vectors, "relation_text").select("idx", "id", "subject", "object", "relation", "subj_type", "obj_type", "type_sig", "cluster_mode", "relation_emb")
+        return texts.join(vectors, "relation_text").select(
+            "idx", "id", "subject", "object", "relation", "subj_type", "obj_type", "type_sig", "cluster_mode", "relation_emb"
+        )
 
     def scored(self) -> DataFrame:
         """Vectors with a predicted cluster (label) and a true class."""
-        return self.table("embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("long").alias("pred"), F.concat(F.lit("c"), F.col("vec_id") % 7).alias("true"), (F.col("vec_id") % 11 == 0).alias("aligned"))
+        return self.table("embeddings").select(
+            F.col("vec_id").alias("idx"), F.col("label").cast("long").alias("pred"),
+            F.concat(F.lit("c"), F.col("vec_id") % 7).alias("true"), (F.col("vec_id") % 11 == 0).alias("aligned")
+        )
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
 
     def candidates(self) -> DataFrame:
         """A candidate for each type pair of unaligned triples."""
-        rows = self.pred().where("obj_type is not null and relation not like 'usr:%'").groupBy("subj_type", "obj_type").agg(F.count(F.lit(1)).alias("cluster_size"), F.min("idx").alias("first"))
+        rows = self.pred().where("obj_type is not null and relation not like 'usr:%'").groupBy("subj_type", "obj_type").agg(
+            F.count(F.lit(1)).alias("cluster_size"), F.min("idx").alias("first")
+        )
         rows = rows.withColumn("cluster_id", F.row_number().over(Window.orderBy("subj_type", "obj_type")).cast("long") - 1)  # one row a type pair
         n = F.col("cluster_size")
         return rows.select(
-            "cluster_id", "subj_type", "obj_type", "cluster_size", F.concat(F.lit("rel_"), "cluster_id").alias("name"), F.when(F.col("cluster_id") % 5 == 4, "NOWHERE").otherwise(F.upper("subj_type")).alias("domain"), F.upper("obj_type").alias("range"),
+            "cluster_id", "subj_type", "obj_type", "cluster_size", F.concat(F.lit("rel_"), "cluster_id").alias("name"), F.when(
+                F.col("cluster_id") % 5 == 4, "NOWHERE"
+            ).otherwise(F.upper("subj_type")).alias("domain"), F.upper("obj_type").alias("range"),
             (n % 7 == 0).alias("existing_match"), F.when(n % 3 == 0, "Low").when(n % 3 == 1, "Medium").otherwise("High").alias("confidence"),
         )
 

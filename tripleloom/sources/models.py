@@ -19,7 +19,10 @@ class HttpModel:
     that does not get through, is tried again, with a pause that doubles.
     """
 
-    def __init__(self, base_url: str, model: str, temperature: float = 0.0, max_tokens: int = 500, timeout: float = 60, tries: int = 3, pause: float = 1.0, together: int = 8):
+    def __init__(
+        self, base_url: str, model: str, temperature: float = 0.0, max_tokens: int = 500, timeout: float = 60, tries: int = 3,
+        pause: float = 1.0, together: int = 8
+    ):
         self.url, self.model, self.options = base_url.rstrip("/") + "/chat/completions", model, {"temperature": temperature, "max_tokens": max_tokens}
         self.timeout, self.tries, self.pause, self.together = timeout, tries, pause, together
 
@@ -66,7 +69,9 @@ class TransformerEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = []
         for k in range(0, len(texts), self.batch):
-            given = self.tokenizer(texts[k : k + self.batch], padding=True, truncation=True, max_length=self.longest, return_tensors="pt").to(self.device)
+            given = self.tokenizer(
+                texts[k : k + self.batch], padding=True, truncation=True, max_length=self.longest, return_tensors="pt"
+            ).to(self.device)
             with self.torch.no_grad():
                 state = self.model(**given).last_hidden_state.float().cpu().numpy()
             mask = given["attention_mask"].cpu().numpy()[:, :, None]

@@ -29,7 +29,9 @@ def schema_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Classification records of JSON lines; blank and broken lines are left out."""
-    return spark.read.schema(f"{RECORD}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).where("id is not null").drop("_corrupt_record")
+    return spark.read.schema(f"{RECORD}, _corrupt_record string").option(
+        "mode", "PERMISSIVE"
+    ).json(path).where("id is not null").drop("_corrupt_record")
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +40,9 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """Ontology entries of a JSON array, numbered in file order."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ':string')}>>")).alias("ont_idx", "e"))
+    raw = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ':string')}>>")).alias("ont_idx", "e")
+    )
     return raw.select(F.col("ont_idx").cast("long").alias("ont_idx"), "e.*")
 
 
@@ -59,7 +63,9 @@ def with_idx(df: DataFrame, order: list[str]) -> DataFrame:
     rows = df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # one row a partition
-    return rows.join(F.broadcast(offsets), "_p").withColumn("idx", F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_before", "_first")
+    return rows.join(F.broadcast(offsets), "_p").withColumn(
+        "idx", F.col("_before") + F.col("_m") - F.col("_first")
+    ).drop("_p", "_m", "_before", "_first")
 
 
 @dataclass(frozen=True)
