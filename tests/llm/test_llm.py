@@ -25,7 +25,11 @@ def rows():
     """Nulls, empty and endless texts, copies, near copies, repeated rows, ties."""
     rng = random.Random(5)
     base = text(rng, 300)
-    out = [(1, None), (2, ""), (3, " \n\t"), (4, base), (5, base), (6, base + " end"), (7, "x" * 30_000), (8, "one two"), (9, "one two"), (9, "one two"), (None, "no id at all"), (10, "Ünï <|endoftext|> a b  c\n\n d 's 12"), (11, " ".join(["again"] * 5000))]
+    out = [
+        (1, None), (2, ""), (3, " \n\t"), (4, base), (5, base), (6, base + " end"), (7, "x" * 30_000), (8, "one two"),
+        (9, "one two"), (9, "one two"), (None, "no id at all"), (10, "Ünï <|endoftext|> a b  c\n\n d 's 12"),
+        (11, " ".join(["again"] * 5000))
+    ]
     return out + [(i, text(rng, rng.randint(1, 200))) for i in range(12, 80)]
 
 
@@ -47,7 +51,10 @@ def test_bpe_equals_the_library():
     library, words = Tokenizer.from_file(path), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     count, encode, own = bpe.counter(path), bpe.encoder(path), packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"))
     rng = random.Random(1)
-    parts = ["a", "the", "ing", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "​", "é", "é", "Σ", "İ", "'s", "'", "!", "<|endoftext|>", "<|startoftext|>", "<|", "22", "½", "中文", "😀", "_", " "]
+    parts = [
+        "a", "the", "ing", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "​", "é", "é", "Σ", "İ", "'s",
+        "'", "!", "<|endoftext|>", "<|startoftext|>", "<|", "22", "½", "中文", "😀", "_", " "
+    ]
     for _ in range(3000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         ids = library.encode(s, add_special_tokens=False).ids
@@ -98,8 +105,12 @@ def test_texts_that_are_no_utf8(spark):
     whole = spark.createDataFrame([(i, bytes(x).decode(errors="replace"), "aa") for i, x in bad], "doc_id long, text string, lang string")
     labels, path = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), tokenizer_path("byte_bpe_50k.json")
     for run in (
-        lambda d: bpe.token_counts(d, path), lambda d: bpe.encode_decode_digests(d, path), lambda d: packing.packed_digests(d, tokenizer_path("word_bpe_49k.json")),
-        lambda d: quality_rules.assess(d, labels), lambda d: quality_rules.keep(d, labels).select("doc_id"), langid.identify, lambda d: langid.keep(d, gain=-99.0).select("doc_id"),
+        lambda d: bpe.token_counts(d, path), lambda d: bpe.encode_decode_digests(d, path), lambda d: packing.packed_digests(
+            d, tokenizer_path("word_bpe_49k.json")
+        ),
+        lambda d: quality_rules.assess(d, labels), lambda d: quality_rules.keep(d, labels).select("doc_id"), langid.identify, lambda d: langid.keep(
+            d, gain=-99.0
+        ).select("doc_id"),
         simhash.classes, lambda d: simhash.firsts(d).select("doc_id"), katz.score, weak_quality.classify,
     ):
         assert sorted(map(str, run(broken).collect())) == sorted(map(str, run(whole).collect()))
@@ -156,7 +167,9 @@ def test_first_of_each_class_by_row(spark):
     rng = random.Random(21)
     a, b, c, d = (text(rng, 120) for _ in range(4))
     made = [(5, a, 1), (5, b, 2), (7, a, 3), (None, a, 4), (None, c, 5), (None, c, 6), (8, d, 9), (8, d, 8), (8, d, 8), (9, None, 0), (10, "", 0)]
-    frame = spark.createDataFrame(made, "doc_id long, text string, _first int").withColumns({"key": F.lit(1), "fp": F.lit("x"), "label": F.lit(None).cast("string")})
+    frame = spark.createDataFrame(made, "doc_id long, text string, _first int").withColumns(
+        {"key": F.lit(1), "fp": F.lit("x"), "label": F.lit(None).cast("string")}
+    )
     for parts in (1, 5):
         kept = simhash.firsts(frame.repartition(parts))
         assert kept.columns == frame.columns
@@ -257,13 +270,17 @@ def test_log_ratio_equals_plain_sums(spark):
         n = Counter(windows(t or b""))
         llr = sum(ratio[b] * c for b, c in n.items()) / sum(n.values()) if n else 0.0
         want[(i, round(llr, 9))] += 1
-    frame = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in given], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    frame = spark.createDataFrame(
+        [(i, None if t is None else bytearray(t)) for i, t in given], "doc_id long, text binary"
+    ).selectExpr("doc_id", "cast(text as string) as text")
     labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(101, 0, 0), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules.assess(frame, labels).collect()
     assert Counter((r.doc_id, round(r.llr, 9)) for r in got) == want
     assert all(r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD) for r in got)
     cut = sorted(r.llr for r in got if not r.base_failed)[7]
-    assert {r.doc_id for r in quality_rules.assess(frame, labels, cut).where("kept").collect()} == {r.doc_id for r in got if not r.base_failed and r.llr >= cut}
+    assert {
+        r.doc_id for r in quality_rules.assess(frame, labels, cut).where("kept").collect()
+    } == {r.doc_id for r in got if not r.base_failed and r.llr >= cut}
 
 
 def test_quality_and_weak_labels_on_held_out_junk(spark):
@@ -312,7 +329,10 @@ def test_expectation_maximisation_finds_planted_accuracies():
 def test_weak_labels_on_held_out_junk_of_other_kinds(spark):
     """Faults that no labeller names: signs of other kinds, shouting, one word over and over, lists of keys."""
     rng = random.Random(31)
-    kinds = [lambda w: [x + rng.choice(["~~", "^^", "@@@", "=+="]) for x in w], lambda w: [x.upper() for x in w], lambda w: [w[0]] * len(w), lambda w: [y for x in w for y in (x, "/")]]
+    kinds = [
+        lambda w: [x + rng.choice(["~~", "^^", "@@@", "=+="]) for x in w], lambda w: [x.upper() for x in w],
+        lambda w: [w[0]] * len(w), lambda w: [y for x in w for y in (x, "/")]
+    ]
     good = [(i, "\n".join(text(rng, rng.randint(20, 90)) + "." for _ in range(rng.randint(2, 6)))) for i in range(400)]
     bad = [(1000 + i, " ".join(kinds[i % 4](text(rng, 150).split()))) for i in range(80)]
     got = {r.doc_id: r.kept for r in weak_quality.classify(spark.createDataFrame(good + bad, "doc_id long, text string"), most_sample=200).collect()}
@@ -357,7 +377,10 @@ def test_language_id_equals_plain_naive_bayes(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGS_IN_TASK", 2)
     rng = random.Random(14)
     alphabet = {"aa": "abcdé", "bb": "cdefΣ", "cc": "xyzàb", "dd": "pqr字s"}
-    made = [(i, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 25))), lang) for i, lang in enumerate(list(alphabet) * 30)]
+    made = [
+        (i, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 25))), lang) for i,
+        lang in enumerate(list(alphabet) * 30)
+    ]
     made += [(900, None, "aa"), (901, "", "bb"), (902, "12 34", "cc"), (903, "a", None), (None, "xyz", "dd"), (904, "Σ", "bb")]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
 
@@ -392,7 +415,9 @@ def test_language_id_equals_plain_naive_bayes(spark, monkeypatch):
         want[(i, best, round(1 / sum(math.exp(v - joint[best]) for v in joint.values()), 6))] += 1
     frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
     assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.identify(frame).collect()) == want
-    tied = spark.createDataFrame([(i, "same words here", lang) for i in range(1, 40) for lang in ("yy", "xx")], "doc_id long, text string, lang string")
+    tied = spark.createDataFrame(
+        [(i, "same words here", lang) for i in range(1, 40) for lang in ("yy", "xx")], "doc_id long, text string, lang string"
+    )
     assert {(r.lang_pred, round(r.score, 9)) for r in langid.identify(tied).collect()} == {("xx", 0.5)}
     monkeypatch.setattr(langid, "MOST_LANGS", 3)
     with pytest.raises(ValueError, match="languages"):
@@ -405,12 +430,18 @@ def test_language_stage_rejects_unlearned_languages(spark):
     rng = random.Random(6)
     junk = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60))
     made = [(i, text(rng, 80), "en") for i in range(200)]
-    made += [(1000 + i, junk(letters), None) for i, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрст", "αβγδεζηθικλμνξοπρσ", "的一是不了人我在有他这中大来上国"] * 10)]
+    made += [
+        (1000 + i, junk(letters), None) for i,
+        letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрст", "αβγδεζηθικλμνξοπρσ", "的一是不了人我在有他这中大来上国"] * 10)
+    ]
     kept = corpus_pipeline.language(spark, spark.createDataFrame(made, "doc_id long, text string, lang string"), "")
     assert {r.doc_id for r in kept.collect()} == set(range(200))
 
 
-@pytest.mark.parametrize(("split_bytes", "block_bytes", "fan"), [(katz.SPLIT_BYTES, katz.BLOCK_BYTES, katz.FAN), (3000, 4000, 1 << 20), (8000, 2000, 1)])
+@pytest.mark.parametrize(
+    ("split_bytes", "block_bytes", "fan"),
+    [(katz.SPLIT_BYTES, katz.BLOCK_BYTES, katz.FAN), (3000, 4000, 1 << 20), (8000, 2000, 1)]
+)
 def test_katz(docs, empty, monkeypatch, split_bytes, block_bytes, fan):
     """One split; many splits and blocks of a task, with words split by pair; messages by two hops."""
     for name, value in (("SPLIT_BYTES", split_bytes), ("BLOCK_BYTES", block_bytes), ("FAN", fan)):
@@ -492,7 +523,9 @@ def test_written_shards_of_a_hot_key_fit(spark, tmp_path):
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
-    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000 + i, x[50].tolist()) for i in range(300)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] * 8), (5200, [1.0] * 3)]
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000 + i, x[50].tolist()) for i in range(300)] + [
+        (5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] * 8), (5200, [1.0] * 3)
+    ]
     frame = spark.createDataFrame(made, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     good = [(i, np.array(v, float)) for i, v in made if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)]
     ids, unit = np.array([i for i, _ in good]), np.stack([v / np.linalg.norm(v) for _, v in good])
@@ -556,8 +589,14 @@ def test_pipeline(spark, tmp_path):
 
     rng = random.Random(3)
     base = text(rng, 200) + "."
-    made = [(i, text(rng, 150) + ".", "en") for i in range(60)] + [(100, base, "en"), (101, base, "en"), (102, "short", "en"), (103, None, "en"), (104, " ".join(["12"] * 20 + ["13 14 15"] * 20), "en")]
-    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in made], "doc_id long, text string, lang string, source string, n_chars long")
+    made = [(i, text(rng, 150) + ".", "en") for i in range(60)] + [
+        (100, base, "en"), (101, base, "en"), (102, "short", "en"), (103, None, "en"),
+        (104, " ".join(["12"] * 20 + ["13 14 15"] * 20), "en")
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, lang, "s", len(t or "")) for i, t, lang in made],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -249,6 +249,9 @@ def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for doc, ids, text in _coded(batches, path):
-            yield batch(DIGEST, doc, [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(t).hexdigest() for t in text])
+            yield batch(
+                DIGEST, doc, [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids],
+                [hashlib.sha256(t).hexdigest() for t in text]
+            )
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -83,7 +83,9 @@ def texts_of(column: pa.Array) -> list[str | None]:
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
 
 
 def chunks(batches, column: str, most_bytes: int = 16 << 20):

@@ -187,7 +187,10 @@ def _found(good: DataFrame, dim: int, rows: int, k: int, every: int) -> DataFram
             x = unit(_matrix(b.column("v"), dim)) if b.num_rows else np.empty((0, dim))
             at = nearest(x, ix.coarse)
             codes = ix.codes(x, at) if len(x) else []
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], schema=INDEXED)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id"), b.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                schema=INDEXED
+            )
 
     indexed = table(good.mapInArrow(assign, "vec_id long, v array<double>, list int, codes binary"), "lists")
     sizes = np.zeros(len(index.coarse), np.int64)
@@ -214,8 +217,12 @@ def _found(good: DataFrame, dim: int, rows: int, k: int, every: int) -> DataFram
     deal = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["bin", "block", "group", "is_query", "vec_id", "v", "list", "codes"]
-    have = indexed.join(lists, "list").join(plan, "bin").withColumns({"block": deal("blocks"), "is_query": F.lit(False)}).withColumn("group", each("groups")).select(columns)
-    want = asks.join(plan, "bin").withColumns({"group": deal("groups"), "is_query": F.lit(True), "list": F.lit(None).cast("int"), "codes": F.lit(None).cast("binary")}).withColumn("block", each("blocks")).select(columns)
+    have = indexed.join(lists, "list").join(plan, "bin").withColumns({"block": deal("blocks"), "is_query": F.lit(False)}).withColumn(
+        "group", each("groups")
+    ).select(columns)
+    want = asks.join(plan, "bin").withColumns(
+        {"group": deal("groups"), "is_query": F.lit(True), "list": F.lit(None).cast("int"), "codes": F.lit(None).cast("binary")}
+    ).withColumn("block", each("blocks")).select(columns)
 
     def rank(t: pa.Table) -> pa.Table:
         ix = shared.value

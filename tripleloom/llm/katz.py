@@ -178,7 +178,10 @@ def hopped(messages: DataFrame, to: str, splits: int) -> DataFrame:
                 rows = pa.Table.from_batches([b]).filter(pc.equal(b["to_group"], g))
                 for f in set(rows["from_group"].to_pylist()):
                     part = rows.filter(pc.equal(rows["from_group"], f)).select(LAYOUT.names)
-                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([f]), pa.array([bundled(part)], pa.binary())], ["to_group", "from_group", "body"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g]), pa.array([f]), pa.array([bundled(part)], pa.binary())],
+                        ["to_group", "from_group", "body"]
+                    )
 
     def again(t: pa.Table) -> pa.Table:
         out, rows = Rows(), pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in t["body"])
@@ -212,7 +215,10 @@ def block_rows(block: int, splits: int, docs: list[int | None], train: list[bool
     """The block, and what it asks the unigram table: its words by split, with their training counts."""
     found, stream, sizes = number_words(texts)
     out, missing, taught = Rows(), np.array([d is None for d in docs]), np.array(train)
-    out.add(block, 0, "block", packed(np.array([d or 0 for d in docs], np.int64).view(np.uint64)), packed(taught + 2 * missing), packed(sizes), packed(stream))
+    out.add(
+        block, 0, "block", packed(np.array([d or 0 for d in docs], np.int64).view(np.uint64)), packed(taught + 2 * missing),
+        packed(sizes), packed(stream)
+    )
     trained = np.bincount(stream, np.repeat(taught, sizes), len(found)).astype(np.int64)
     split = np.fromiter((zlib.crc32(w) % splits for w in found), np.int64, len(found))
     order = np.argsort(split, kind="stable")
@@ -443,7 +449,10 @@ def answer_bigrams(asks: DataFrame, splits: int, unigrams: Unigrams, cap: int, o
         total = np.bincount(pair, np.concatenate([r[4] for r in rows]), len(key)).astype(np.int64)
         seen = total > 0
         context, word, count = key[seen] >> 32, key[seen] & 0xFFFFFFFF, total[seen]
-        stats = np.stack([np.bincount(context, weight, len(us)) for weight in (count, np.ones(len(count)), *(count == r for r in range(1, K + 1)))], 1).astype(np.int64)
+        stats = np.stack(
+            [np.bincount(context, weight, len(us)) for weight in (count, np.ones(len(count)), *(count == r for r in range(1, K + 1)))],
+            1
+        ).astype(np.int64)
         rest = np.bincount(context, unigrams.p(counts_of(ws, cap, often.value))[word], len(us))
         large = stats[:, 2:].sum(1) == 0  # all counts are over K
         frequent = is_frequent(us, cap)
@@ -454,9 +463,15 @@ def answer_bigrams(asks: DataFrame, splits: int, unigrams: Unigrams, cap: int, o
             n = total[pair[mine]]
             unseen = np.bincount(np.repeat(np.arange(len(u)), lengths), n == 0, len(u)) > 0
             need = np.flatnonzero(unseen & ~frequent[of])
-            out.add(block, split, "counts", packed(n - trained), squeezed(np.packbits(large[of]).tobytes()), rises(need), packed(stats[of[need]].ravel()), rest[of[need]].astype("<f8").tobytes())
+            out.add(
+                block, split, "counts", packed(n - trained), squeezed(np.packbits(large[of]).tobytes()), rises(need),
+                packed(stats[of[need]].ravel()), rest[of[need]].astype("<f8").tobytes()
+            )
         first = begins(context)  # keys are in the order of context, then word
-        out.add(-1, split, "bigrams", code_pile(us[context[first]], ascending=True), packed(np.diff(np.append(first, len(context)))), code_pile(ws[word]), packed(count))
+        out.add(
+            -1, split, "bigrams", code_pile(us[context[first]], ascending=True),
+            packed(np.diff(np.append(first, len(context)))), code_pile(ws[word]), packed(count)
+        )
         out.add(-1, split, "sums", packed(np.concatenate([[len(count)], by_count(count)])))
         if frequent.any():
             out.add(-1, split, "frequent", packed(us[frequent]), packed(stats[frequent].ravel()), rest[frequent].astype("<f8").tobytes())
@@ -474,7 +489,9 @@ def summed(frame: DataFrame, width: int) -> np.ndarray:
             rows = np.array([unpacked(parts[0]) for _, _, parts in bodies(b)]).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T], names)
 
-    row = frame.where("kind = 'sums'").mapInArrow(run, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
+    row = frame.where("kind = 'sums'").mapInArrow(
+        run, ", ".join(f"{c} long" for c in names)
+    ).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
     return np.array(list(row), np.int64)
 
 
@@ -486,7 +503,10 @@ def frequent_contexts(frame: DataFrame, discount: Discount) -> dict[int, tuple[f
         for b in batches:
             for _, _, (u, stats, rest) in bodies(b):
                 columns = unpacked(stats).reshape(-1, K + 2).T
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(u)), *(pa.array(np.ascontiguousarray(x)) for x in columns), pa.array(np.frombuffer(rest, "<f8"))], ["u", *names, "rest"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unpacked(u)), *(pa.array(np.ascontiguousarray(x)) for x in columns), pa.array(np.frombuffer(rest, "<f8"))],
+                    ["u", *names, "rest"]
+                )
 
     columns = [*names, "rest"]
     sums = frame.where("kind = 'frequent'").mapInArrow(run, "u long, " + ", ".join(f"{c} long" for c in names) + ", rest double")
@@ -510,7 +530,12 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("gain_per_token", pa.float64())])
+RESULT = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("gain_per_token", pa.float64())
+    ]
+)
 RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, gain_per_token double"
 
 
@@ -561,6 +586,12 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
         total = lambda x: np.add.reduceat(x, k.begins)
         known, base, best = total((k.count > 0)[k.stream].astype(np.int64)), total(base[k.stream]), total(np.log10(p)[k.pair_of])
         doc = pa.array(k.docs, mask=k.missing)
-        return pa.Table.from_arrays([doc, pa.array(~k.train), pa.array(k.sizes), pa.array(known), pa.array(np.full(len(k.docs), unigrams.tokens)), pa.array(base), pa.array(best), pa.array((best - base) / k.sizes)], schema=RESULT)
+        return pa.Table.from_arrays(
+            [
+                doc, pa.array(~k.train), pa.array(k.sizes), pa.array(known), pa.array(np.full(len(k.docs), unigrams.tokens)),
+                pa.array(base), pa.array(best), pa.array((best - base) / k.sizes)
+            ],
+            schema=RESULT
+        )
 
     return by_block(blocks, splits, of_words, second.where("kind = 'counts'")).applyInArrow(lean(evaluate), RESULT_DDL)

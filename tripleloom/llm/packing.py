@@ -130,7 +130,13 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
+ARROW = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()),
+        ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()),
+        ("step_group", pa.int64())
+    ]
+)
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 2, keep_ids: bool = True) -> DataFrame:
@@ -156,7 +162,11 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, keep_ids: bool = Tr
                 offset = 0
                 for doc, start, n in window:
                     piece = ids_[doc][4 * start : 4 * (start + n)]
-                    for column, value in zip(rows, (docs_[doc], start, n, piece if keep_ids else None, zlib.crc32(piece), len(ids_[doc]) // 4, sequence, offset, tier, group), strict=True):
+                    for column, value in zip(
+                        rows,
+                        (docs_[doc], start, n, piece if keep_ids else None, zlib.crc32(piece), len(ids_[doc]) // 4, sequence, offset, tier, group),
+                        strict=True
+                    ):
                         column.append(value)
                     offset += n
                 sequence += 1
@@ -178,4 +188,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, keep_ids: bool = Tr
 
 
 def packed_digests(docs: DataFrame, path: str) -> DataFrame:
-    return pack_documents(docs, path, keep_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("tier").alias("sequence_tokens"), "step_group")
+    return pack_documents(docs, path, keep_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("tier").alias("sequence_tokens"),
+        "step_group"
+    )

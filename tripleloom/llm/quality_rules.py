@@ -28,7 +28,11 @@ BITS, ADD, PRIOR, MOST_TRUSTED, THRESHOLD = 16, 1.0, float(1 << 16), 20_000, -0.
 # Fixed values of the base rules.
 MIN_WORDS, MOST_REPEATED_PERCENT, SYMBOLS, SPACES = 50, 50, b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 COUNTS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("trusted", pa.int64())])
-RESULT = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("llr", pa.float64())])
+RESULT = pa.schema(
+    [("doc_id", pa.int64())] + [
+        (c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("llr", pa.float64())]
+)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -85,8 +89,12 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         yield batch(COUNTS, used.astype(np.int32), raw[used], trusted[used])
 
     ids = F.broadcast(trusted_ids(labels))
-    rows = id_and_text(docs).join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    sums = rows.mapInArrow(run, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
+    rows = id_and_text(docs).join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select(
+        "text", F.col("trusted_id").isNotNull().alias("trusted")
+    )
+    sums = rows.mapInArrow(run, "bucket int, raw long, trusted long").groupBy("bucket").agg(
+        F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")
+    ).toArrow()
     n = np.zeros((2, 1 << BITS))
     at = sums["bucket"].to_numpy()
     n[0, at], n[1, at] = sums["raw"].to_numpy(), sums["trusted"].to_numpy()
@@ -108,9 +116,15 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
             found = [rules(t) for t in texts]
             llr = [float(weight[byte_buckets(t, BITS)].mean()) if t else 0.0 for t in texts]
             failed = [f[0] < MIN_WORDS or 100 * f[4] > MOST_REPEATED_PERCENT * f[0] for f in found]
-            yield batch(RESULT, b.column("doc_id"), *([f[k] for f in found] for k in range(5)), failed, [not f and x >= threshold for f, x in zip(failed, llr, strict=True)], llr)
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double")
+            yield batch(
+                RESULT, b.column("doc_id"), *([f[k] for f in found] for k in range(5)), failed,
+                [not f and x >= threshold for f, x in zip(failed, llr, strict=True)], llr
+            )
+
+    return id_and_text(docs).mapInArrow(
+        run,
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
+    )
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

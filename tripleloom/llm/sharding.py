@@ -30,7 +30,10 @@ def places(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *ca
     """key, place (the hash), n_bytes, and the carried columns."""
     key = F.col(key_col).cast("string")
     place = F.conv(F.substring(F.md5(F.coalesce(key, F.lit("null")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col(key_col).alias("key"), place.alias("place"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *carried)
+    return docs.select(
+        F.col(key_col).alias("key"), place.alias("place"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *carried
+    )
 
 
 def _cell(bits: int):
@@ -44,10 +47,14 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
     finer = max(1, math.ceil(math.log2(max(1.0, (total["s"] or 0) / limit)))) + FINER
     while True:
         to = min(BITS, depth + finer)
-        cells = pending.groupBy(_cell(to).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+        cells = pending.groupBy(_cell(to).alias("cell")).agg(
+            F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi")
+        )
         level = F.explode(F.sequence(F.lit(depth), F.lit(to))).alias("depth")
         levels = cells.select("*", level).withColumn("prefix", F.expr(f"shiftright(cell, {to} - depth)"))
-        levels = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("bucket_bytes"), F.sum("n").alias("bucket_rows"), (F.min("lo") == F.max("hi")).alias("one_hash"))
+        levels = levels.groupBy("depth", "prefix").agg(
+            F.sum("b").alias("bucket_bytes"), F.sum("n").alias("bucket_rows"), (F.min("lo") == F.max("hi")).alias("one_hash")
+        )
         levels = table(levels, "levels")
         fits = (F.col("bucket_bytes") <= limit) | F.col("one_hash")
         parent = levels.where(~fits).select((F.col("depth") + 1).alias("d"), F.col("prefix").alias("p"))
@@ -70,9 +77,14 @@ def _assigned(rows: DataFrame, limit: int, carried: list[str]) -> DataFrame:
     # a row's bucket is the one whose prefix it has: all depths in use are tried in one join on depth and prefix
     depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())  # at most 61
     if not depths:
-        return rows.select("key", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "n_bytes", F.lit(0).cast("long").alias("bucket_bytes"), F.lit(0).cast("long").alias("bucket_rows"), *carried)
+        return rows.select(
+            "key", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "n_bytes",
+            F.lit(0).cast("long").alias("bucket_bytes"), F.lit(0).cast("long").alias("bucket_rows"), *carried
+        )
     tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _cell(d).alias("prefix")) for d in depths)))
-    joined = rows.select("key", "n_bytes", *carried, tries.alias("t")).select("key", "n_bytes", *carried, "t.depth", "t.prefix").join(buckets, ["depth", "prefix"])
+    joined = rows.select("key", "n_bytes", *carried, tries.alias("t")).select(
+        "key", "n_bytes", *carried, "t.depth", "t.prefix"
+    ).join(buckets, ["depth", "prefix"])
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     joined = joined.withColumn("shard", shard)
     over = (F.col("bucket_bytes") > limit) & (F.col("bucket_rows") > 1)

@@ -126,7 +126,9 @@ class Forest:
                 return
             a, b, x, y = a[open_], b[open_], x[open_], y[open_]
             np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
-            while (nearer := self.label[self.label]).tolist() != self.label.tolist() if len(self.label) < 64 else not np.array_equal(nearer := self.label[self.label], self.label):
+            while (nearer := self.label[self.label]).tolist() != self.label.tolist() if len(self.label) < 64 else not np.array_equal(
+                nearer := self.label[self.label], self.label
+            ):
                 self.label = nearer
 
 
@@ -166,7 +168,10 @@ def walk(value: np.ndarray, pairs: np.ndarray, depth: int, most: int, forest: Fo
         ones = np.concatenate([[0], np.cumsum((value >> bit) & np.uint64(1), dtype=np.int64)])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])  # where the 1-child begins
         same = (a0 == b0) & (a1 == b1)
-        child = [np.stack([a0, am, b0, bm, err], 1), np.stack([am, a1, bm, b1, err], 1), np.stack([a0, am, bm, b1, err + 1], 1), np.stack([am, a1, b0, bm, err + 1], 1)[~same]]
+        child = [
+            np.stack([a0, am, b0, bm, err], 1), np.stack([am, a1, bm, b1, err], 1), np.stack([a0, am, bm, b1, err + 1], 1),
+            np.stack([am, a1, b0, bm, err + 1], 1)[~same]
+        ]
         q = np.concatenate(child)
         q = q[(q[:, 1] > q[:, 0]) & (q[:, 3] > q[:, 2]) & (q[:, 4] <= most)]
         if len(q):
@@ -243,7 +248,10 @@ def links(fps: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRI
     """a, b: links that connect what is connected by pairs of at most `most` differing bits. fps: distinct fp."""
     n = fps.count()
     tables = tables_for(n, most, most_in_trie)
-    of_table = [F.struct(F.lit(k).alias("block"), t.bits_of(0, t.bits).alias("head"), t.bits_of(t.bits, t.bits + SPLIT_BITS).alias("child")) for k, t in enumerate(tables)]
+    of_table = [
+        F.struct(F.lit(k).alias("block"), t.bits_of(0, t.bits).alias("head"), t.bits_of(t.bits, t.bits + SPLIT_BITS).alias("child")) for k,
+        t in enumerate(tables)
+    ]
     rows = fps.select("fp", F.explode(F.array(*of_table)).alias("t")).select("t.*", "fp")
     large = table(rows.groupBy("block", "head").count().where(F.col("count") > most_in_trie), "tries")
     tasks = math.ceil(len(tables) * n / ROWS_IN_TASK)
@@ -256,7 +264,11 @@ def links(fps: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_TRI
     many = rows.join(large, ["block", "head"], "left_semi").withColumn("other", F.explode(near))
     many = many.select("block", "head", F.least("child", "other").alias("x"), F.greatest("child", "other").alias("y"), "child", "fp")
     others = sum(math.comb(SPLIT_BITS, d) for d in range(min(most, SPLIT_BITS) + 1))  # subtree pairs of a fingerprint
-    return few.unionByName(dealt(many, math.ceil(in_large * others / ROWS_IN_TASK), "block", "head", "x", "y").select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(tables, most), LINKS_DDL))
+    return few.unionByName(
+        dealt(
+            many, math.ceil(in_large * others / ROWS_IN_TASK), "block", "head", "x", "y"
+        ).select("block", "x", "y", "child", "fp").mapInArrow(_join_subtrees(tables, most), LINKS_DDL)
+    )
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -273,7 +285,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return label
         both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
-        hop = near.alias("x").join(near.select(F.col("a").alias("c"), F.col("b").alias("d")), F.col("b") == F.col("c"), "left").select("a", F.coalesce("d", "b").alias("to"))
+        hop = near.alias("x").join(
+            near.select(F.col("a").alias("c"), F.col("b").alias("d")), F.col("b") == F.col("c"), "left"
+        ).select("a", F.coalesce("d", "b").alias("to"))
         hop = table(hop, "hops")
         label = table(label.join(hop, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         for end in ("a", "b"):
@@ -301,7 +315,9 @@ def classes(docs: DataFrame, most: int = MOST_BITS, most_in_trie: int = MOST_IN_
     firsts = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(table(links(firsts.select("fp"), most, most_in_trie), "links"))
     of_print = table(_least_of(found, firsts), "components")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    return prints.join(of_print, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
+    )
 
 
 def firsts(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
@@ -333,5 +349,7 @@ def firsts(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
         return kept.drop(row_)
     once = kept.join(again, on, "left_anti").drop(row_)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = kept.join(again, on, "left_semi").groupBy(F.col("doc_id").alias(id_), F.col(row_).alias(key_)).agg(F.min_by(whole, F.to_json(whole)).alias(row_))
+    first = kept.join(again, on, "left_semi").groupBy(
+        F.col("doc_id").alias(id_), F.col(row_).alias(key_)
+    ).agg(F.min_by(whole, F.to_json(whole)).alias(row_))
     return once.unionByName(first.select(f"{row_}.*"))

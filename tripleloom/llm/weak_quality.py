@@ -76,7 +76,9 @@ def code(v: tuple[int, ...]) -> int:
     return sum((x + 1) * 3**k for k, x in enumerate(v))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int = LABELLERS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(
+    patterns: np.ndarray, counts: np.ndarray, labellers: int = LABELLERS, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each of the 3^labellers patterns; the shares of bad and of good votes of each labeller on documents of each class (bad, good); the share of good."""
     every = np.arange(3**labellers)[:, None] // 3 ** np.arange(labellers) % 3
     good, bad = (every == 2).sum(1), (every == 1).sum(1)
@@ -182,15 +184,28 @@ def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
             texts = b.column("text").to_pylist()
             v = [votes(t) for t in texts]
             at, x = zip(*(features(t, y) for t, y in zip(texts, v, strict=True)), strict=True)
-            yield batch(VECTORS, [k.astype(np.int16).tobytes() for k in at], [k.astype(np.float32).tobytes() for k in x], [float(shared.value[code(y)]) for y in v])
+            yield batch(
+                VECTORS, [k.astype(np.int16).tobytes() for k in at], [k.astype(np.float32).tobytes() for k in x],
+                [float(shared.value[code(y)]) for y in v]
+            )
 
     # the sampled texts stay in the executors, whole; their buckets and posteriors come to the driver
     keyed = rows.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
-    chosen = keyed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(most_sample)
-    found = keyed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "key"])
+    chosen = keyed.select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key")
+    ).distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(most_sample)
+    found = keyed.join(
+        F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi"
+    ).dropDuplicates(["doc_id", "key"])
     sample = found.select("text").mapInArrow(vectors, "at binary, x binary, label double").toArrow()
     sample = sample.sort_by([("label", "ascending"), ("at", "ascending"), ("x", "ascending")])
-    w, bias = fit([(np.frombuffer(at, np.int16), np.frombuffer(x, np.float32)) for at, x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)], sample["label"].to_numpy())
+    w, bias = fit(
+        [
+            (np.frombuffer(at, np.int16), np.frombuffer(x, np.float32)) for at,
+            x in zip(sample["at"].to_pylist(), sample["x"].to_pylist(), strict=True)
+        ],
+        sample["label"].to_numpy()
+    )
     model = spark.sparkContext.broadcast((w, bias, posterior))
 
     def run(batches):
@@ -202,6 +217,9 @@ def classify(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> DataFrame:
             for t, y in zip(texts, v, strict=True):
                 at, x = features(t, y)
                 score.append(1 / (1 + float(np.exp(-np.clip(x @ w[at] + bias, -50, 50)))))
-            yield batch(RESULT, b.column("doc_id"), [sum(x >= 0 for x in y) for y in v], [float(posterior[code(x)]) for x in v], score, [bool(t.strip()) and s >= THRESHOLD for t, s in zip(texts, score, strict=True)])
+            yield batch(
+                RESULT, b.column("doc_id"), [sum(x >= 0 for x in y) for y in v], [float(posterior[code(x)]) for x in v], score,
+                [bool(t.strip()) and s >= THRESHOLD for t, s in zip(texts, score, strict=True)]
+            )
 
     return rows.mapInArrow(run, "doc_id long, n_votes long, posterior double, score double, kept boolean")
