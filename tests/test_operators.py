@@ -334,6 +334,27 @@ def test_silhouette_reads_every_vector(spark):
     ).first().silhouette == pytest.approx(np.mean(values), abs=2e-6)
 
 
+def test_cosine_distances_by_blocks(spark):
+    """Every pair of a label as by the plain expression, whatever the blocks are, from more tasks than the one label."""
+    made = np.random.default_rng(5).normal(size=(60, 3)).tolist()
+    made[7], made[8], made[9], made[10], made[11] = None, [1.0, None, 2.0], [1.0, 2.0], [], [0.0] * 3
+    made[12], made[13], made[14] = [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 0.0], [1e200, 1.0, 0.0]
+    made[15], made[17], made[18] = made[16], [2.0, 1.0], [0.0, 0.0]
+    rows = [(i if i != 20 else None, x, 1 if i % 10 else 2) for i, x in enumerate(made)] + [(5, made[6], 1), (5, made[5], 1), (70, made[6], None)]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    a, b = rows.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), rows.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
+    want = a.join(b, "label").where("i < j").select("i", "j", F.round(X.cosine_distance("x", "y"), 6).alias("distance"))
+    told = lambda rows: sorted(tuple(map(cell, r)) for r in rows.collect())
+    want = told(want)
+    assert len(want) > 1400
+    for most in (2048, 7):
+        got = E.cosine_distances(rows, "vec_id", "label", "embedding", 6, most)
+        assert got.columns == ["i", "j", "distance"] and told(got) == want
+    assert got.rdd.getNumPartitions() > 20
+    assert catalog.QUERIES["cosine_distance"](spark, DATA).rdd.getNumPartitions() >= 10  # one of all labels' pairs before
+    assert E.cosine_distances(rows.where("false"), "vec_id", "label", "embedding").collect() == []
+
+
 def test_acceptance_order(spark):
     made = [
         (0, "A", "B", True, "Low"), (1, "Z", "B", False, "Low"), (2, "A", "Z", False, "High"), (3, "A", "B", False, "Low"),

@@ -17,6 +17,8 @@ UNMAPPED = "NOVEL_UNMAPPED"
 UNKNOWN_PAIR = "UNK:UNK"
 #: Rows of a block of pairwise distances; cells of a contingency table that the driver takes.
 BLOCK, MOST_CELLS = 4096, 4_000_000
+#: Rows of a block, and pairs of a batch, where all pairs are returned.
+PAIR_BLOCK, PAIR_BATCH = 2048, 1 << 18
 #: Sums by row and label that a block of the silhouette holds.
 MOST_SUMS = 4_000_000
 
@@ -303,17 +305,17 @@ def density_separation(rows: DataFrame, label: str, emb: str) -> DataFrame:
     )  # one row each
 
 
-def _pairs_of_blocks(rows: DataFrame, by: list[str], columns: list, most: int) -> DataFrame:
+def _pairs_of_blocks(rows: DataFrame, by: list[str], columns: list, most: int, place: str = "vec_id") -> DataFrame:
     """by, p, q, a, b: each pair of blocks of about `most` rows of a group, the columns' rows as arrays.
 
-    Pairs are dealt out by group and block, so a large group's are in many tasks.
+    Pairs are dealt out by group and block, so a large group's are in many tasks; rows are dealt to blocks by `place`.
     """
     sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_blocks"))
     whole = rows.join(
         sizes, [rows[c].eqNullSafe(sizes[c]) for c in by]
     ).drop(*(sizes[c] for c in by)) if by else rows.crossJoin(F.broadcast(sizes))  # one row
-    place = F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")
-    packed = checkpoint(whole.withColumn("p", place).groupBy(*by, "p", "_blocks").agg(F.collect_list(F.struct(*columns)).alias("a")))
+    block = F.pmod(F.xxhash64(place), F.col("_blocks")).cast("int")
+    packed = checkpoint(whole.withColumn("p", block).groupBy(*by, "p", "_blocks").agg(F.collect_list(F.struct(*columns)).alias("a")))
     keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
     left = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))).alias("x")
     right = packed.select(*by, F.col("p").alias("q"), F.col("a").alias("b")).alias("y")
@@ -350,6 +352,70 @@ def diameters(rows: DataFrame, label: str, emb: str, by: list[str] | None = None
     return pairs.mapInArrow(run, f"{kinds}, wide double").groupBy(*by).agg(F.max("wide").alias("wide"))
 
 
+def _by_length(cell) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """A block's ids, and by vectors' length their places and the vectors; null vectors and those that hold a null are in none."""
+    x = cell.values.field("x")
+    lengths = x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    flat, of = x.flatten(), np.repeat(np.arange(len(x)), np.maximum(lengths, 0))
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    kept = lengths.copy()
+    if flat.null_count:
+        kept[of[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    found = {}
+    for n in np.unique(kept[kept >= 0]):
+        at = np.flatnonzero(kept == n)
+        found[int(n)] = at, values[(kept == n)[of]].reshape(len(at), n)
+    return cell.values.field("i").to_numpy(zero_copy_only=False), found
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1)) + 1e-8
+
+
+def _block_distances(a, b, same: bool, digits: int | None):
+    """Arrays i, j, distance, and whether there is one, of the pairs of two blocks, some of a's rows at a time."""
+    (ids, xs), (others, ys) = _by_length(a), _by_length(b)
+    sized = {n: (*xs[n], _lengths(xs[n][1]), *ys[n], _lengths(ys[n][1])) for n in xs if n in ys}
+    step = max(1, PAIR_BATCH // len(others))
+    for lo in range(0, len(ids), step):
+        i = ids[lo : lo + step, None]
+        d, told = np.zeros((len(i), len(others))), np.zeros((len(i), len(others)), bool)
+        for at, x, u, to, y, v in sized.values():
+            part = slice(*np.searchsorted(at, (lo, lo + step)))
+            cells = np.ix_(at[part] - lo, to)
+            d[cells], told[cells] = 1 - x[part] @ y.T / (u[part, None] * v), True
+        if digits is not None:  # half away from zero, as SQL has it
+            d *= 10**digits
+            d = np.trunc(d + np.copysign(0.5, d)) / 10**digits + 0.0
+        kept = i < others if same else i != others  # within one block a pair is met both ways round
+        yield np.minimum(i, others)[kept], np.maximum(i, others)[kept], d[kept], told[kept]
+
+
+def cosine_distances(
+    rows: DataFrame, id_col: str, label: str, emb: str, digits: int | None = None, most: int = PAIR_BLOCK
+) -> DataFrame:
+    """i, j (i < j), distance of all pairs of rows of one label: one less the cosine, 1e-8 added to both lengths.
+
+    Pairs of blocks of rows are dealt out evenly, however few the labels are. The distance is null if a vector
+    is, holds a null, or is not as long as the other; a row without an id or a label is in no pair.
+    """
+    whole = rows.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(label).alias("_label"), F.col(id_col).cast("long").alias("i"), F.col(emb).alias("x")
+    ).withColumn("_place", F.monotonically_increasing_id())  # rows of one id need not be in one block
+    pairs = _pairs_of_blocks(whole, ["_label"], ["i", "x"], most, "_place").where("p <= q").select("p", "q", "a", "b")
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("distance", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                same = b.column("p")[k].as_py() == b.column("q")[k].as_py()
+                with np.errstate(invalid="ignore", over="ignore"):
+                    for i, j, d, told in _block_distances(b.column("a")[k], b.column("b")[k], same, digits):
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d, mask=~told)], schema=schema)
+
+    return pairs.repartition(max(1, pairs.count())).mapInArrow(run, "i long, j long, distance double")
+
+
 def dunn(rows: DataFrame, label: str, emb: str, by: list[str] | None = None) -> DataFrame:
     """Least distance of centroids over the largest cosine distance within a cluster (two measures, by definition)."""
     by = by or []

@@ -263,9 +263,7 @@ def cosine_normalise(v):
 
 @query
 def cosine_distance(v):
-    a = v.vectors().select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
-    b = v.vectors().select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("i < j").select("i", "j", r6(X.cosine_distance("x", "y")).alias("distance"))
+    return E.cosine_distances(v.vectors(), "vec_id", "label", "embedding", 6)
 
 
 # ---- clustering ----
