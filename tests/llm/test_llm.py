@@ -64,6 +64,22 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(own.encode(s.encode(), 2), "<u4").tolist() == [*words.encode(s, add_special_tokens=False).ids, 2]
 
 
+def test_word_pieces_go_to_the_model_and_rare_characters_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    ids = lambda s: np.frombuffer(own.encode(s.encode(), 2), "<u4").tolist()[:-1]
+    marks = "\u0130\u035b\u031e'\u0130\u0349. a\u1ac0\u0f74Z y\u1c78\u1ac4\u0334 \u0594\u0d3c \u0e21\u0eba\u1df6"  # orders by Unicode's version
+    for s in (marks, *("".join(map(chr, range(lo, lo + 64))) for lo in range(0x80, 0x3400, 64)), "".join(f" a{chr(c)}b" for c in range(0x80, 0x3400))):
+        assert ids(s) == library.encode(s, add_special_tokens=False).ids
+    plain = "Ciónradoas. don't AUX ÑOÑO!! été, ΑΣ Москва 中文 x1ü2 \x00\x7f ..."
+    want = library.encode(plain, add_special_tokens=False).ids
+    own = packing.WordTokenizer(path)
+    own.of_text = None  # the library's whole chain takes four times as long as its model
+    assert ids(plain) == want
+
+
 def test_token_counts_and_round_trip(docs, empty):
     from tokenizers import Tokenizer
 

@@ -18,6 +18,7 @@ block; bytes that aren't UTF-8 become replacement characters; an empty table giv
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -29,26 +30,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.bpe import Kept, _once
+from tripleloom.llm.bpe import PRINTABLE, Kept, _once
 from tripleloom.llm.common import batch, chunks, id_and_text
 
 TIERS = (4096, 2048, 1024, 512, 256, 128, 64)
 STEP_TOKENS = 1 << 18
 #: Tokens and rows of a block.
 BLOCK = (8 << 20, 8192)
+#: Marks that are no letters, digits or white space.
+MARKS = string.punctuation.encode()
+#: The character that stands for each byte in the model's alphabet.
+ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def _unsure() -> re.Pattern:
+    """Characters that are not in the first plane of Unicode 3.2: later ones have other forms in each version."""
+    known = "".join(c for c in map(chr, range(1 << 16)) if unicodedata.ucd_3_2_0.category(c) not in ("Cn", "Cs"))
+    return re.compile(f"[^{re.escape(known)}]")
+
+
+class Recent(Kept):
+    """Keeps the latest results, and up to as many that came before, so that frequent keys stay."""
+
+    def __init__(self, compute, most: int):
+        super().__init__(compute, most)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordTokenizer:
     """Ids by the tokenizers library, which sees each distinct word once while it is kept.
 
     The file's normaliser and pattern (lower case, pieces without white space) never look beyond
-    white space, so parts between ASCII white space can be encoded on their own.
+    white space, so parts between ASCII white space can be encoded on their own. A part is cut here
+    and its pieces go to the model; the library takes those with special strings or with characters
+    on which its Unicode tables and Python's may not agree.
     """
 
     #: The pattern of pieces in the vocabulary file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,22 +90,43 @@ class WordTokenizer:
         self.model = self.library.model.tokenize
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()))
         self.find = regex.compile(self.PIECES).findall
-        self.piece, self.part = Kept(self.of_piece, most), Kept(self.of_part, most)
+        self.unsure = _unsure()
+        # an ASCII piece is a part that is cut into itself, and is kept among them
+        self.piece, self.part = Recent(self.of_piece, most // 4), Recent(self.of_part, most)
 
     def of_piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves in the model's alphabet
-            return array("I", [t.id for t in self.model(piece)]).tobytes()
-        return self.of_text(piece)
+        piece = piece.encode().decode("latin-1")
+        if not piece.isprintable():  # bytes that do not stand for themselves in the model's alphabet
+            piece = piece.translate(ALPHABET)
+        return array("I", [t.id for t in self.model(piece)]).tobytes()
 
     def of_text(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of_part(self, part: bytes) -> bytes:
-        text = part.decode()
+        """Letters are one piece, marks after them another; the pattern cuts other parts."""
         if self.special.search(part):
+            return self.of_text(part.decode())
+        if part.isascii():
+            low = part.lower()
+            word = low.rstrip(MARKS)
+            if word.isalpha():
+                if word == part:
+                    return self.of_piece(part.decode())
+                return self.part[word] + (self.part[low[len(word) :]] if len(word) < len(low) else b"")
+            pieces = self.find(low.decode())
+            if len(pieces) == 1 and low == part:
+                return self.of_piece(pieces[0])
+            return b"".join([self.part[p.encode()] for p in pieces])
+        text = part.decode()
+        if self.unsure.search(text):
             return self.of_text(text)
-        text = text.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return b"".join(map(self.piece.__getitem__, self.find(text)))
+        text = unicodedata.normalize("NFC", text)
+        # lower() looks at a capital sigma's neighbours, the library doesn't
+        text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+        word = text.rstrip(string.punctuation)
+        pieces = [word, text[len(word) :]] if word.isalpha() else self.find(text)
+        return b"".join([self.part[p.encode()] if p.isascii() else self.piece[p] for p in pieces if p])
 
     def encode(self, text: bytes, end: int) -> bytes:
         return b"".join(map(self.part.__getitem__, text.split())) + end.to_bytes(4, "little")
