@@ -62,6 +62,7 @@ class Recent(Kept):
             value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.older = {}  # its memory goes before the copy takes some
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -80,7 +81,7 @@ class WordTokenizer:
     #: The pattern of pieces in the vocabulary file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
